@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rivulet.operators.topn import table_top
 from rivulet.operators.transforms import java_split
@@ -30,14 +31,14 @@ def weighted_avg(score: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(score.cast("long") * weight).cast("double"), F.sum(weight.cast("long")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def weighted_avg_udf(score: pd.Series, weight: pd.Series) -> float:
     """The same as a grouped-aggregate function, for SQL."""
     total = weight.sum()
     return float((score * weight).sum() / total) if total else float("nan")
 
 
-@F.udtf(returnType="word string, length int")
+@F.udtf(returnType=T.StructType([T.StructField("word", T.StringType()), T.StructField("length", T.IntegerType())]))
 class SplitWords:
     """The table function as SQL calls it: LATERAL split_words(text)."""
 
