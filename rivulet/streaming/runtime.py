@@ -11,7 +11,10 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def available_now(writer: DataStreamWriter, checkpoint: str, name: str | None = None) -> StreamingQuery:
-    """Everything that is there, in as many batches as the source makes, then the end."""
+    """Everything that is there, in as many batches as the source makes, then the end.
+
+    Not for state that lives by the clock: its batches never end.
+    """
     named = writer.queryName(name) if name else writer
     query = named.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
