@@ -29,8 +29,13 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, low: str, high: s
     return a.join(b, (F.col(key) == F.col("r_key")) & near).drop("r_key")
 
 
-def window_join(left: DataFrame, right: DataFrame, key: str, size: str, delay: str, how: str = "inner") -> DataFrame:
-    """Stream-stream join of one key and window; outer rows come once the watermark has passed the window."""
+def window_join(left: DataFrame, right: DataFrame, key: str, size: str, delay: str, how: str = "inner",
+                allowed: str | None = None) -> DataFrame:
+    """Stream-stream join of one key and window; outer rows come once the watermark has passed the window.
+
+    Allowed lateness is more delay: the same final rows, later.
+    """
+    delay = f"{delay} {allowed}" if allowed else delay
     a = left.withWatermark("l_ts", delay).withColumn("w", F.window("l_ts", size))
     b = right.withWatermark("r_ts", delay).withColumn("r_w", F.window("r_ts", size)).withColumnRenamed(key, "r_key")
     return a.join(b, (F.col(key) == F.col("r_key")) & (F.col("w") == F.col("r_w")), how)

@@ -150,6 +150,37 @@ class EventTimer(StatefulProcessor):
         pass
 
 
+class GlobalWindow(StatefulProcessor):
+    """One window without end for each key, with a trigger of its own: every n records, over the records since."""
+
+    SCHEMA = "id string, fired_at long, total long"
+    n = 4
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "vc int")
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = [v[0] for v in self.held.get()] if self.held.exists() else []
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        out = []
+        for vc in _ordered(rows)["vc"]:
+            held.append(int(vc))
+            seen += 1
+            if len(held) == self.n:
+                out.append((key[0], seen, sum(held)))
+                held = []
+        self.seen.update((seen,))
+        if held:
+            self.held.put([(v,) for v in held])
+        else:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=["id", "fired_at", "total"])
+
+    def close(self) -> None:
+        pass
+
+
 class Changelog(StatefulProcessor):
     """sum(vc) of a key as +I, then -U and +U."""
 

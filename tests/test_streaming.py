@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import running, state
+from rivulet.operators import running, state, windows
 from rivulet.sinks import writers
 from rivulet.sources import files, generators
 from rivulet.streaming import live, processors, runtime
@@ -50,6 +50,13 @@ def test_live_state_equals_replay(spark, folder, tmp_path, processor, replay, co
     assert pairs(got, *columns) == pairs(replay(spark.read.parquet(folder)), *columns)
 
 
+def test_global_window_fires_by_its_own_trigger(spark, folder, tmp_path):
+    stream = files.parquet_stream(spark, folder, SCHEMA, 1)
+    got = collected(spark, processors.stateful(stream, processors.GlobalWindow()), tmp_path, "global")
+    want = windows.count_windows(spark.read.parquet(folder), ["id"], "seq", 4, [F.sum("vc").alias("total")])
+    assert pairs(got, "id", "total") == pairs(want, "id", "total")
+
+
 def polled(spark, df, tmp_path, name, n, seconds=60):
     """For state that lives by the clock: such a query never runs out of batches, so it is stopped."""
     query = writers.in_memory(df, name).option("checkpointLocation", str(tmp_path / name)).start()
