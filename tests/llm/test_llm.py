@@ -131,6 +131,13 @@ def test_simhash_brute_force(spark, docs):
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_one_of_each_group_stays(spark):
+    data = [(5, "a b c d"), (3, "A b c d"), (3, "A b c d"), (9, "quite another text here"), (None, "a b c d"), (None, "x y")]
+    kept = simhash.keep_first(odd(spark, data))
+    assert sorted(str(r["doc_id"]) for r in collected(kept)) == ["3", "9", "None", "None"]
+    assert kept.columns == odd(spark).columns
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(30, 45), max_size=4), min_size=1, max_size=60))
 def test_spanning_tree_reaches_all(flips):
