@@ -12,13 +12,13 @@ fingerprint. The same guarantee is had from fewer rows, in two steps:
    parity) or its 32 variants within the half radius (even parity), each with
    the three blocks. These keys have 40 bits and more; about 107 rows a
    fingerprint. Keys with a few fingerprints give pairs, which are verified.
-2. Full balls, for the fingerprints of crowded keys. Odd ones emit themselves and
-   all 992 variants of two bits inside one half; even ones emit their 64
-   variants of one bit: a pair at 1 or 3 bits meets at an odd variant. For pairs
-   of odd ones at 2 bits, odd ones also emit their 64 variants of one bit. All
-   that meet at an odd variant with an even one (or with the variant itself)
-   are within 3 bits of it, so that a star of links replaces all pairs: the
-   rows stay linear in the group, however large it is, and no link is lost.
+2. Crowded keys. All pairs of a key with many fingerprints would grow with its
+   square. There a task walks from fingerprint to fingerprint, each time to those
+   not yet reached within 3 bits, and hands on the tree of its steps: a link less
+   than it has fingerprints, and the same components. A key fixes 40 bits, so
+   that it holds 2^24 fingerprints of 8 bytes at most; beyond WALK_UP_TO the
+   walk looks up the variants of a fingerprint in the sorted key instead of
+   comparing it with all, so that its time is linear in the key.
 
 Groups are the connected components of the links, by repeated min-label
 hooking and pointer jumping on tables of distinct fingerprints. Equal
@@ -33,6 +33,7 @@ the id and the text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,9 @@ SEED = 42
 #: Shingles of one text that are hashed before their bits are added up.
 BLOCK = 65536
 
-#: Keys that hold more fingerprints than this go to the full balls.
+#: Keys that hold more fingerprints than this are walked; than that, by looking up variants.
 PAIRS_UP_TO = 8
+WALK_UP_TO = 20_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -119,26 +121,60 @@ def folded_balls(fps: DataFrame) -> DataFrame:
     return halves.select(F.explode(F.concat(*parts)).alias("key"), "fp")
 
 
-def full_balls(fps: DataFrame) -> DataFrame:
-    """(point, fp, near): near marks those that all at an odd point are within RADIUS of."""
-    odd = F.bit_count("fp") % 2 == 1
-    singles = F.transform(_bits(64), lambda b: F.col("fp").bitwiseXOR(b))
-
-    def pairs(low: int) -> Column:
-        bits = _bits(low + 32, low)
-        return F.flatten(
-            F.transform(
-                bits,
-                lambda a, i: F.transform(
-                    F.slice(bits, i + 2, F.lit(31) - i), lambda b: F.col("fp").bitwiseXOR(a).bitwiseXOR(b)
-                ),
-            )
-        )
-
-    far = F.when(odd, F.concat(pairs(0), pairs(32))).otherwise(F.array().cast("array<bigint>"))
-    close = F.when(odd, F.concat(F.array("fp"), singles)).otherwise(singles)
-    rows = lambda points, near: fps.select(F.explode(points).alias("point"), "fp", F.lit(near).alias("near"))
-    return rows(close, True).unionByName(rows(far, False))
+def _near_all(fps: np.ndarray, left: np.ndarray, at: int) -> np.ndarray:
+    """Of the places in left, those within RADIUS of the one at."""
+    return left[np.bitwise_count(fps[left] ^ fps[at]) <= RADIUS]
+
+
+def _near_variants(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, at: int) -> np.ndarray:
+    """The same by looking up every variant; left marks places that are not reached. fps: sorted."""
+    variants = fps[at] ^ masks
+    place = np.minimum(fps.searchsorted(variants), len(fps) - 1)
+    place = place[fps[place] == variants]
+    return place[left[place]]
+
+
+def spanning_tree(fps: np.ndarray, walk_up_to: int = WALK_UP_TO) -> list[tuple[int, int]]:
+    """(place, place) in distinct, sorted fps: links within RADIUS that reach all that such links reach."""
+    steps: list[tuple[int, int]] = []
+    few = len(fps) <= walk_up_to
+    if few:
+        left, masks = np.arange(len(fps)), np.zeros(0, dtype=np.uint64)
+    else:
+        left = np.ones(len(fps), dtype=bool)
+        varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+        bits = [1 << b for b in range(64) if varying >> b & 1]
+        masks = np.array([sum(c) for n in range(1, RADIUS + 1) for c in combinations(bits, n)], dtype=np.uint64)
+    for start in range(len(fps)):
+        if few:
+            if not len(left):
+                break
+            if left[0] != start:
+                continue
+            left = left[1:]
+        elif not left[start]:
+            continue
+        else:
+            left[start] = False
+        waiting = [start]
+        while waiting:
+            at = waiting.pop()
+            if few:
+                found = _near_all(fps, left, at)
+                left = np.setdiff1d(left, found, assume_unique=True) if len(found) else left
+            else:
+                found = _near_variants(fps, masks, left, at)
+                left[found] = False
+            steps += [(at, int(f)) for f in found]
+            waiting += found.tolist()
+    return steps
+
+
+def _walk(rows: pd.DataFrame) -> pd.DataFrame:
+    fps = np.unique(rows["fp"].to_numpy().astype(np.int64).view(np.uint64))
+    steps = np.array(spanning_tree(fps), dtype=np.int64).reshape(-1, 2)
+    ends = fps.view(np.int64)[steps]
+    return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -161,17 +197,9 @@ def links(fps: DataFrame) -> DataFrame:
         ).alias("p")
     ).select("p.a", "p.b")
 
-    crowd = met.where(F.col("n") > PAIRS_UP_TO).select("fp").distinct()
-    by_point = Window.partitionBy("point")
-    hub = F.min(F.when(F.col("near"), F.col("fp"))).over(by_point)
-    starred = (
-        full_balls(crowd)
-        .withColumn("hub", hub)
-        .where(F.col("hub").isNotNull() & (F.col("hub") != F.col("fp")))
-        .select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
-    )
+    walked = met.where(F.col("n") > PAIRS_UP_TO).groupBy("key").applyInPandas(_walk, "a long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    return paired.unionByName(starred).distinct().where(near)
+    return paired.unionByName(walked).distinct().where(near)
 
 
 def components(edges: DataFrame) -> DataFrame:
