@@ -180,7 +180,9 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs within RADIUS. fps: distinct."""
     by_key = Window.partitionBy("key")
-    met = folded_balls(fps).withColumn("n", F.count("*").over(by_key)).where("n > 1")
+    # the fingerprints are few bytes, their keys a hundred times as many: spread them first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = folded_balls(fps.repartition(parts, "fp")).withColumn("n", F.count("*").over(by_key)).where("n > 1")
     met = checkpointed(met.select("key", "fp", "n"))
 
     few = met.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
@@ -247,7 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = first.join(smallest, first.fp == smallest.node, "left").select(
         "fp", F.coalesce("least", "first").alias("component_id")
     )
-    return marked.join(named, "fp").select(
+    # read from a table, both sides are shuffled for this join alone, and Spark can split a fingerprint with many rows
+    return marked.join(checkpointed(named), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
