@@ -256,8 +256,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; one row of equal ids."""
-    found = near_duplicates(docs, id_col, text_col).select("doc_id", "component_id")
+    """The rows of docs whose id is the smallest of its group; one row of equal ids.
+
+    A row without an id cannot be told from its copies by it and stays.
+    """
+    named = docs.where(docs[id_col].isNotNull())
+    found = near_duplicates(named, id_col, text_col).select("doc_id", "component_id")
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(kept, docs[id_col] == kept["doc_id"], "left_semi")
-    return rows.dropDuplicates([id_col])
+    rows = named.join(kept, named[id_col] == kept["doc_id"], "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(docs[id_col].isNull()))
