@@ -31,8 +31,9 @@ def flat_map_cases(df: DataFrame, cases: dict[str, list[str]], field: str = "id"
 
 def java_split(text: Column) -> Column:
     """Words between single spaces; trailing empty words are dropped, one of an empty text is kept."""
-    parts = F.split(F.regexp_replace(text, " +$", ""), " ")
-    return F.filter(parts, lambda x: ~((x == "") & (text != "") & (F.trim(text) == "")))
+    blank = (text != "") & (F.trim(text) == "")
+    none = F.array().cast("array<string>")
+    return F.when(blank, none).otherwise(F.split(F.regexp_replace(text, " +$", ""), " "))
 
 
 def tokenise(lines: DataFrame, column: str = "value") -> DataFrame:
