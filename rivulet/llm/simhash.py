@@ -28,6 +28,14 @@ Defined results: a null text counts as empty; texts without words have the
 fingerprint zero and link like any other; a null doc_id is never the smallest
 id of a group; repeated rows give repeated rows and an empty table none; only
 the id and the text are read.
+
+keep_first, the pipeline's stage, has links of its own: texts whose sets of
+five-word shingles have a Jaccard similarity of ALIKE or more. A text of fewer
+words is its own shingle. Texts meet in one of BANDS keys of BAND_ROWS MinHash
+values each, where a pair of similarity 0.8 is missed with a chance of
+(1 - 0.8^4)^32 = 5e-8 and a more alike one with less, and every link is verified
+on the whole sets. Texts of equal sets are one node; crowded keys are walked to
+a spanning tree as above, with the sets of the key's texts in memory.
 """
 
 from __future__ import annotations
@@ -55,6 +63,14 @@ BLOCK = 65536
 PAIRS_UP_TO = 8
 WALK_UP_TO = 20_000
 
+#: The pipeline's stage: words in a shingle, the least similarity of a link, MinHash keys and values in a key.
+STAGE_SHINGLE = 5
+ALIKE = 0.8
+BANDS, BAND_ROWS = 32, 4
+#: Shingles whose MinHash values are taken at once.
+SKETCH_BLOCK = 1024
+_FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The 64 bits of a text; bytes.lower and bytes.split treat just A-Z and the contract's spaces."""
@@ -177,16 +193,10 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within RADIUS. fps: distinct."""
-    by_key = Window.partitionBy("key")
-    # the fingerprints are few bytes, their keys a hundred times as many: spread them first
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = folded_balls(fps.repartition(parts, "fp")).withColumn("n", F.count("*").over(by_key)).where("n > 1")
-    met = checkpointed(met.select("key", "fp", "n"))
-
-    few = met.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
-    paired = few.select(
+def _pairs(met: DataFrame, node: str) -> DataFrame:
+    """(a, b): all pairs of the nodes in keys that hold few."""
+    few = met.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(node)).alias("g"))
+    return few.select(
         F.explode(
             F.flatten(
                 F.transform(
@@ -199,6 +209,16 @@ def links(fps: DataFrame) -> DataFrame:
         ).alias("p")
     ).select("p.a", "p.b")
 
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all pairs within RADIUS. fps: distinct."""
+    by_key = Window.partitionBy("key")
+    # the fingerprints are few bytes, their keys a hundred times as many: spread them first
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = folded_balls(fps.repartition(parts, "fp")).withColumn("n", F.count("*").over(by_key)).where("n > 1")
+    met = checkpointed(met.select("key", "fp", "n"))
+
+    paired = _pairs(met, "fp")
     walked = met.where(F.col("n") > PAIRS_UP_TO).groupBy("key").applyInPandas(_walk, "a long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     return paired.unionByName(walked).distinct().where(near)
@@ -255,13 +275,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def shingle_set(text: str | None, size: int = STAGE_SHINGLE) -> np.ndarray:
+    """The distinct hashed shingles of a text, sorted; none of a text without words."""
+    w = (text or "").encode().lower().split()
+    shingles = zip(*(w[k:] for k in range(size)), strict=False) if len(w) > size else [w] if w else []
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in shingles), dtype=np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """The MinHash keys of a set."""
+    if not len(found):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(found), SKETCH_BLOCK):
+        values = (found[at : at + SKETCH_BLOCK, None] ^ _FLIP) * _TIMES
+        np.minimum(least, values.min(axis=0), out=least)
+    # the flips, odd and apart, tell bands and places in them from each other
+    return ((least ^ (least >> np.uint64(29))) * _FLIP).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def alike_tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(place, place): links of similarity ALIKE or more that reach all that such links reach."""
+    sizes = np.array([len(s) for s in sets])
+    ends = sizes.cumsum()
+    places = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], ends[:-1])
+    known = np.zeros(int(ends[-1]), dtype=bool)
+    steps: list[tuple[int, int]] = []
+    left = np.arange(len(sets))
+    while len(left):
+        waiting, left = [int(left[0])], left[1:]
+        flat = None
+        while waiting and len(left):
+            at = waiting.pop()
+            if flat is None:
+                flat = np.concatenate([places[k] for k in left])
+                starts = np.concatenate([[0], sizes[left].cumsum()[:-1]])
+            known[places[at]] = True
+            shared = np.add.reduceat(known[flat], starts, dtype=np.int64)
+            known[places[at]] = False
+            near = shared / (sizes[left] + sizes[at] - shared) >= ALIKE
+            if near.any():
+                found, left, flat = left[near].tolist(), left[~near], None
+                steps += [(at, f) for f in found]
+                waiting += found
+    return steps
+
+
+def _walk_alike(rows: pd.DataFrame) -> pd.DataFrame:
+    nodes = rows["node"].to_numpy().astype(np.int64)
+    steps = np.array(alike_tree(rows["found"].tolist()), dtype=np.int64).reshape(-1, 2)
+    ends = nodes[steps]
+    return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+
+def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of similarity ALIKE or more.
+
+    first: node, t (the hash of one of its texts) and keys; rows: text.
+    """
+
+    @F.pandas_udf("array<long>")
+    def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t).view(np.int64) for t in texts])
+
+    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = first.select("node", "keys").repartition(parts, "node").select(F.explode("keys").alias("key"), "node")
+    met = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    met = checkpointed(met)
+    # only texts that met another give their sets
+    wanted = first.join(met.select("node").distinct(), "node", "left_semi").select("node", "t")
+    texts = rows.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t").select("node", sets_of("text").alias("found"))
+    sets = checkpointed(texts.groupBy("node").agg(F.first("found").alias("found")))
+
+    walked = (
+        met.where(F.col("n") > PAIRS_UP_TO).join(sets, "node").groupBy("key").applyInPandas(_walk_alike, "a long, b long")
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    paired = (
+        _pairs(met, "node")
+        .distinct()
+        .join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+        .where(shared / (F.size("x") + F.size("y") - shared) >= ALIKE)
+        .select("a", "b")
+    )
+    return paired.unionByName(walked).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id (the smallest id of its near copies) for every row of docs."""
+    short_batches(docs.sparkSession)
+
+    @F.pandas_udf("node long, keys array<long>")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [shingle_set(t) for t in texts]
+            nodes = np.array([xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "keys": [band_keys(f) for f in found]})
+
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    marked = rows.select("doc_id", F.xxhash64("text").alias("t"), sketched("text").alias("s"))
+    marked = checkpointed(marked.select("doc_id", "t", "s.node", "s.keys"))
+    first = marked.groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min("t").alias("t"), F.first("keys").alias("keys")
+    )
+    first = checkpointed(first)
+    groups = components(alike_links(first, rows))
+    smallest = (
+        groups.join(first, "node").groupBy("root").agg(F.min("first").alias("least")).join(groups, "root").select("node", "least")
+    )
+    named = first.join(smallest, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
+    return marked.select("doc_id", "node").join(checkpointed(named), "node").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group; one row of equal ids.
 
     A row without an id cannot be told from its copies by it and stays.
     """
     named = docs.where(docs[id_col].isNotNull())
-    found = near_duplicates(named, id_col, text_col).select("doc_id", "component_id")
+    found = near_copies(named, id_col, text_col)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = named.join(kept, named[id_col] == kept["doc_id"], "left_semi").dropDuplicates([id_col])
     return rows.unionByName(docs.where(docs[id_col].isNull()))

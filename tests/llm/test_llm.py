@@ -138,6 +138,48 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == odd(spark).columns
 
 
+def brute_alike(texts):
+    """texts: list of (id, text). The smallest ids of the components of five-word-shingle similarity 0.8 or more."""
+    sets = {}
+    for i, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    least = {i: i for i in sets}
+
+    def top(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((top(i), top(j)))
+                least[b] = a
+    return {i for i in ids if top(i) == i}
+
+
+def test_stage_finds_near_copies(spark, docs):
+    """Copies with edits far beyond op5's three bits, in few and in crowded keys, and texts just below the similarity."""
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    data, i = [*docs.items()], 20_000
+    for size, copies, edits in ((400, 1, 6), (400, 1, 9), (400, 40, 4), (200, 25, 3), (60, 1, 1), (60, 1, 2), (5, 2, 0), (3, 2, 0)):
+        base = words(size)
+        for _ in range(copies + 1):
+            copy = list(base)
+            for at in rng.choice(size, edits, replace=False):
+                copy[at] = f"edit{i}"
+            data.append((i, " ".join(copy)))
+            i += 1
+    far = [a for a, b in zip(data[-110:], data[-109:]) if (brute_fingerprint(a[1]) ^ brute_fingerprint(b[1])).bit_count() > 3]
+    assert far
+    kept = {r["doc_id"] for r in collected(simhash.keep_first(odd(spark, data)))}
+    assert kept == brute_alike(data)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(30, 45), max_size=4), min_size=1, max_size=60))
 def test_spanning_tree_reaches_all(flips):
