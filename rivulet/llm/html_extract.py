@@ -5,8 +5,12 @@ containers' classes) share what their path collects: characters outside links
 and punctuation, each per block. These two ratios are smoothed along the page,
 fused by multiplication, and weighted by what the path's elements are for
 (article and main for content; nav, aside, forms and the like never). Paths
-above a share of the page's highest value are content, and a heading follows
-the block after it. Kept blocks are returned whole, in page order.
+above a share of the page's highest value choose the region: the article or main
+that holds one of them, else the element that holds them all, if it is neither
+the body nor the page. Every block of the region that is not marked outside is
+content, however short. Without such an element, only those paths are content,
+and a heading follows the block after it. Kept blocks are returned whole, in page
+order.
 
 Defined results: a null or empty page, or one without content, has an empty
 text; unclosed or crossed elements and a page cut off inside a tag are read as
@@ -36,6 +40,7 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
 INSIDE = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 #: Words in a class or an id that mark what is not the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -70,10 +75,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Block:
-    __slots__ = ("path", "parts", "links", "heading", "kind")
+    __slots__ = ("path", "holders", "parts", "links", "heading", "kind")
 
-    def __init__(self, path: tuple[str, ...], heading: bool, kind: int) -> None:
-        self.path, self.heading, self.kind = path, heading, kind
+    def __init__(self, path: tuple[str, ...], holders: tuple[tuple[int, int], ...], heading: bool, kind: int) -> None:
+        self.path, self.holders, self.heading, self.kind = path, holders, heading, kind
         self.parts: list[str] = []
         self.links = 0
 
@@ -83,8 +88,9 @@ class Block:
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page with text in them, in page order. kind: 1 inside, -1 outside, else 0."""
-    # stack of (tag, label in the path, kind)
-    stack: list[tuple[str, str, int]] = []
+    # stack of (tag, label in the path, kind, number of the element in the page)
+    stack: list[tuple[str, str, int, int]] = []
+    opened = 0
     done: list[Block] = []
     now: Block | None = None
 
@@ -103,13 +109,14 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if text.isspace():
                 return
-            kinds = [k for _, _, k in stack]
+            kinds = [k for _, _, k, _ in stack]
             kind = -1 if -1 in kinds else 1 if 1 in kinds else 0
-            path = tuple(label for tag, label, _ in stack if tag not in INLINE)
-            now = Block(path, any(tag in HEADINGS for tag, _, _ in stack), kind)
+            path = tuple(label for tag, label, _, _ in stack if tag not in INLINE)
+            holders = tuple((n, k) for tag, _, k, n in stack if tag not in INLINE and tag not in PAGE)
+            now = Block(path, holders, any(tag in HEADINGS for tag, _, _, _ in stack), kind)
             done.append(now)
         now.parts.append(text)
-        if any(tag == "a" for tag, _, _ in stack):
+        if any(tag == "a" for tag, _, _, _ in stack):
             now.links += len(text)
 
     at, raw = 0, ""
@@ -146,12 +153,25 @@ def blocks(html: str) -> list[Block]:
         marked = OUTSIDE_WORDS.intersection(re.split(r"[^a-z]+", names)) if names and tag not in ("html", "body") else ()
         kind = -1 if tag in OUTSIDE or marked else 1 if tag in INSIDE else 0
         if not m[3].endswith("/"):
-            stack.append((tag, f"{tag}.{names}" if names else tag, kind))
+            opened += 1
+            stack.append((tag, f"{tag}.{names}" if names else tag, kind, opened))
     if not raw:
         add(_CUT.sub("", html[at:]))
     return done
 
 
+def region(winners: list[Block]) -> set[int]:
+    """The numbers of the elements whose blocks are content: what holds the blocks of the winning paths."""
+    inside = {next(n for n, k in b.holders if k > 0) for b in winners if b.kind > 0}
+    if inside or not winners:
+        return inside
+    common = winners[0].holders
+    for b in winners[1:]:
+        same = [x == y for x, y in zip(common, b.holders, strict=False)]
+        common = common[: same.index(False) if False in same else len(same)]
+    return {common[-1][0]} if common else set()
+
+
 def main_text(html: str | None) -> str:
     found = [(b, b.text()) for b in blocks(html or "")]
     found = [(b, t) for b, t in found if t]
@@ -178,6 +198,8 @@ def main_text(html: str | None) -> str:
         best[b.path] = max(best.get(b.path, 0.0), v)
     least = SHARE * max(best.values(), default=0.0)
     keep = [best[b.path] > 0 and best[b.path] >= least for b, _ in found]
+    chosen = region([b for (b, _), k in zip(found, keep, strict=True) if k])
+    keep = [k or b.kind >= 0 and any(n in chosen for n, _ in b.holders) for (b, _), k in zip(found, keep, strict=True)]
     for i in range(len(found) - 2, -1, -1):
         if found[i][0].heading and found[i][0].kind >= 0:
             keep[i] = keep[i] or keep[i + 1]

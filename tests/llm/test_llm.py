@@ -357,6 +357,20 @@ def test_html(spark, sf_dir):
     assert got == [(1, "", 0), (2, "", 0), (3, "", 0), (4, "x", 1), (4, "x", 1)]
 
 
+@pytest.mark.parametrize("holder", ["article", "main", "div class=story"])
+def test_html_keeps_short_blocks_between_long_ones(holder):
+    long = "A long sentence of the article, with marks; and more words in it. " * 9
+    page = (
+        f"<html><body><nav><p>Home, more.</p></nav><{holder}><p>{long}</p><p>{long}</p><h2>What to buy</h2><ul><li>Milk<li>Flour"
+        "<li>Two eggs</ul><h2>Sizes</h2><table><tr><th>Size<td>Number<tr><td>Small<td>12</table><h2>Code</h2><pre>x = 1</pre>"
+        f"<figure><figcaption>A picture</figcaption></figure><div class=share>Share</div><h2>End</h2><p>{long}</p><p>{long}</p>"
+        f"</{holder.split()[0]}><footer>Foot.</footer></body></html>"
+    )
+    short = ["What to buy", "Milk", "Flour", "Two eggs", "Sizes", "Size", "Number", "Small", "12", "Code", "x = 1", "A picture", "End"]
+    want = [long.strip(), long.strip(), *short, long.strip(), long.strip()]
+    assert html_extract.main_text(page) == "\n\n".join(want)
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_toxicity", "toxic", 0.7), ("op4_quality_classifier", "quality", 0.9)])
 def test_classifiers_on_held_out_labels(spark, name, label, least):
     folder = "/root/testdata/sf0.01"
