@@ -1,25 +1,25 @@
 """LM scoring by a weighted backoff automaton.
 
-Training counts every token of every training text, and every pair of adjacent
-tokens that are both frequent: a pair is no more frequent than its tokens, so
-this loses no pair that could become a state's arc. Tokens and pairs that make
-up RATE of the training tokens or more enter the automaton, which therefore has
-1 / RATE states and 1 / RATE arcs at most, whatever the corpus: that bound is
-what makes it fit for broadcast. All other tokens keep their exact counts in a
-distributed table.
-
-A state is the last token (or none, the root). Its arcs hold the discounted
-log-probability of a pair; the failure arc to the root holds the state's backoff
+Training counts every token of every training text and every pair of adjacent
+tokens. A pair that occurs LEAST times or more is an arc, at any size of the
+corpus; a state is the last token (or none, the root). An arc holds the discounted
+log-probability of its pair; the failure arc to the root holds the state's backoff
 weight, so that the probabilities after any state sum to 1. The root has every
-known token, add-one smoothed, and one unseen token. Scoring reads a text once
-from left to right: the arc taken, or the failure arc and the root's. What the
-root gives a rare token is looked up by a join: each task emits (token, text,
-times) for those and sums come back by text.
+known token, add-one smoothed, and one unseen token.
+
+The score is a sum: for each token what the root and the failure arc from the
+token give, and for each arc taken what it gives beyond those. Both are rows of
+tables that grow with the corpus. Tokens and pairs that make up RATE of the
+training tokens or more, 1 / RATE of each at most, are broadcast and looked up in
+the task that reads the text; all others by a join: each task emits (token or
+pair, text, times) for those and sums come back by text. RATE decides only where
+an arc is looked up. A bitmap of a fixed size spares the join most pairs that are
+no arcs; a pair that it lets through by chance meets nothing.
 
 Defined results: a null or empty text is its end token alone; a null doc_id
 trains and is not held out; repeated rows count as often as they occur and each
 gets its row; an empty table gives an empty result; only the id and the text are
-read. Tokens are told apart by 64-bit hashes.
+read. Tokens and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,9 +37,12 @@ from xxhash import xxh64_intdigest
 from rivulet.llm.common import checkpointed, remainder, short_batches
 
 FOLDS, HELD_OUT = 7, 2
-#: The share of the training tokens that puts a token or a pair into the automaton.
+#: The share of the training tokens that puts a token or a pair into the broadcast tables.
 RATE = 1e-6
+#: The times that make a pair an arc.
 LEAST = 2
+#: The bitmap of pairs has this power of two of bits, in words of 64.
+BITMAP = 27
 DISCOUNT = 0.75
 #: No word can contain it.
 END = b"\n"
@@ -64,20 +67,32 @@ def places(ids: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == ids, at, -1)
 
 
-def _summed(texts: DataFrame, keys_of) -> DataFrame:
-    """(id, c): how often keys_of gives each key over all texts."""
+def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit id of each pair of tokens."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _summed(texts: DataFrame, pairs: bool) -> DataFrame:
+    """(id, c): how often each token occurs over all texts; or (a, b, c): each pair."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting, n = [], 0
-        keys = keys_of()
 
         def flush() -> pd.DataFrame:
-            ids, c = np.unique(np.concatenate(waiting), return_counts=True)
-            return pd.DataFrame({"id": ids, "c": c.astype(np.int64)})
+            ids = np.concatenate(waiting)
+            if not pairs:
+                ids, c = np.unique(ids, return_counts=True)
+                return pd.DataFrame({"id": ids, "c": c.astype(np.int64)})
+            a, b = ids[:-1], ids[1:]
+            a, b = a[a != END_ID], b[a != END_ID]
+            _, at, c = np.unique(pair_ids(a, b), return_index=True, return_counts=True)
+            return pd.DataFrame({"a": a[at], "b": b[at], "c": c.astype(np.int64)})
 
         for batch in batches:
             for text in batch["text"]:
-                got = keys(text)
+                got = token_ids(text)
                 waiting.append(got)
                 n += len(got)
             if n >= FLUSH:
@@ -86,11 +101,13 @@ def _summed(texts: DataFrame, keys_of) -> DataFrame:
         if n:
             yield flush()
 
-    return texts.mapInPandas(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    keys = ["a", "b"] if pairs else ["id"]
+    counted = texts.mapInPandas(count, ", ".join(f"{k} long" for k in [*keys, "c"]))
+    return counted.groupBy(*keys).agg(F.sum("c").alias("c"))
 
 
 def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n: int, v: int) -> dict:
-    """Arrays of the automaton. head and pairs (place * len(head) + place) are sorted."""
+    """The tables' values as arrays, for a corpus in memory. head and pairs (place * len(head) + place) are sorted."""
     size = max(len(head), 1)
     root = np.log10((counts + 1) / (n + v + 1)) if len(head) else np.zeros(0)
     before = pairs // size
@@ -101,50 +118,77 @@ def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_coun
     return {"head": head, "root": root, "pairs": pairs, "arc": np.log10(p) if len(p) else p, "fail": fail}
 
 
-def traverse(model: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For adjacent texts: each token's place or -1, the log10 that the arcs give it, and the root's.
+def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    found = df.orderBy("id").toArrow()
+    return {k: found.column(k).to_numpy() for k in df.columns}
 
-    Where the place is -1, the root's part is missing from both.
+
+def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
+    """The table of tokens and arcs, what of it is broadcast, and the numbers of tokens and of distinct ones.
+
+    The table has id, known (1 for a token), and what id adds to base and score.
     """
-    at = places(ids, model["head"])
-    state = np.concatenate([[-1], np.where(ids[:-1] == END_ID, -1, at[:-1])])
-    known = at >= 0
-    root = np.zeros(len(ids))
-    root[known] = model["root"][at[known]]
-    score = root + np.where(state >= 0, model["fail"][state], 0.0)
-    both = np.nonzero(known & (state >= 0))[0]
-    if len(both) and len(model["pairs"]):
-        key = state[both] * len(model["head"]) + at[both]
-        arc = places(key, model["pairs"])
-        score[both[arc >= 0]] = model["arc"][arc[arc >= 0]]
-    return at, score, root
 
+    @F.pandas_udf("long")
+    def named(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(pair_ids(a.to_numpy().astype(np.int64), b.to_numpy().astype(np.int64)))
 
-def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
-    """Counts of all training tokens, the automaton, and the numbers of tokens and of distinct ones."""
-    spark = docs.sparkSession
     texts = docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
-    counts = checkpointed(_summed(texts, lambda: token_ids))
+    counts = checkpointed(_summed(texts, pairs=False))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(LEAST, math.ceil(n * RATE))
-    found = counts.where(F.col("c") >= least).orderBy("id").toArrow()
-    head, c = (found.column(k).to_numpy().astype(np.int64) for k in ("id", "c"))
-    sent = spark.sparkContext.broadcast(head)
-
-    def pairs_of():
-        frequent = sent.value
+    root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
 
-        def keys(text: str | None) -> np.ndarray:
-            at = places(token_ids(text), frequent)
-            a, b = at[:-1], at[1:]
-            both = (a >= 0) & (b >= 0)
-            return a[both] * len(frequent) + b[both]
+    arcs = checkpointed(_summed(texts, pairs=True).where(F.col("c") >= LEAST))
+    ends = counts.select(F.col("id").alias("b"), root.alias("root"))
+    arcs = checkpointed(arcs.join(ends, "b").select("a", "b", "c", "root"))
+    states = arcs.groupBy("a").agg(
+        F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum(F.pow(F.lit(10.0), "root")).alias("freed")
+    )
+    rest = lambda x: F.greatest(1 - x, F.lit(1e-12))
+    fail = F.log10(rest(F.col("taken") / F.col("c")) / rest(F.col("freed")))
+    tokens = counts.join(states, counts.id == states.a, "left").select(
+        "id", "c", root.alias("base"), F.coalesce(fail, F.lit(0.0)).alias("fail")
+    )
+    tokens = checkpointed(tokens)
+    begins = tokens.select(F.col("id").alias("a"), F.col("c").alias("ca"), "fail")
+    beyond = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - F.col("root") - F.col("fail")
+    pairs = checkpointed(arcs.join(begins, "a").select(named("a", "b").alias("id"), "c", beyond.alias("score")))
+
+    tokens = tokens.select("id", "c", "base", (F.col("base") + F.col("fail")).alias("score"))
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - BITMAP}) & 63 as int))")
+    word = F.shiftrightunsigned("id", 64 - BITMAP + 6).alias("id")
+    words = _arrays(pairs.select(word, bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits")))
+    bitmap = np.zeros(1 << BITMAP - 6, dtype=np.int64)
+    bitmap[words["id"]] = words["bits"]
+    head = {
+        "tokens": _arrays(tokens.where(F.col("c") >= least).drop("c")),
+        "pairs": _arrays(pairs.where(F.col("c") >= least).drop("c")),
+        "bitmap": bitmap,
+    }
+    table = tokens.select("id", F.lit(1).alias("known"), "base", "score").unionByName(
+        pairs.select("id", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")
+    )
+    return table, head, n, v
 
-        return keys
 
-    arcs = _summed(texts, pairs_of).where(F.col("c") >= least).orderBy("id").toArrow()
-    pairs, pc = (arcs.column(k).to_numpy().astype(np.int64) for k in ("id", "c"))
-    return counts, automaton(head, c, pairs, pc, n, v), n, v
+def traverse(head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For adjacent texts: each token's place or -1, what the broadcast tables give to its base and score,
+    the id of the pair that ends in it, and whether that must be looked up elsewhere.
+    """
+    tokens, arcs = head["tokens"], head["pairs"]
+    at = places(ids, tokens["id"])
+    base, score = np.zeros(len(ids)), np.zeros(len(ids))
+    known = at >= 0
+    base[known], score[known] = tokens["base"][at[known]], tokens["score"][at[known]]
+    pair = np.concatenate([ids[:1], pair_ids(ids[:-1], ids[1:])])
+    paired = np.concatenate([[False], ids[:-1] != END_ID])
+    arc = places(pair, arcs["id"])
+    taken = paired & (arc >= 0)
+    score[taken] += arcs["score"][arc[taken]]
+    place = (pair.view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
+    maybe = (head["bitmap"][place >> 6] >> (place & 63)) & 1
+    return at, base, score, pair, paired & ~taken & (maybe == 1)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +196,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    counts, model, n, v = train(rows)
-    sent = spark.sparkContext.broadcast(model)
+    model, head, n, v = train(rows)
+    sent = spark.sparkContext.broadcast(head)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
@@ -164,39 +208,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             lengths = np.array([len(i) for i in ids])
             starts = np.concatenate([[0], lengths.cumsum()[:-1]])
             flat = np.concatenate(ids)
-            at, score, root = traverse(machine, flat)
-            whole = [np.add.reduceat(x, starts) for x in ((at >= 0).astype(np.int64), root, score)]
+            at, base, got, pair, missing = traverse(machine, flat)
+            sums = [lengths, *[np.add.reduceat(x, starts) for x in ((at >= 0).astype(np.int64), base, got)]]
             row = np.repeat(np.arange(len(ids)), lengths)
             rare = at < 0
-            tail = pd.DataFrame({"row": row[rare], "id": flat[rare]}).value_counts(["row", "id"], sort=False)
-            of = tail.index.get_level_values(0).to_numpy().astype(np.int64)
+            of = np.concatenate([row[rare], row[missing]])
+            names = np.concatenate([flat[rare], pair[missing]])
+            # a pair's times are negative: unknown tokens count, unknown pairs do not
+            sign = np.repeat(np.array([1, -1], np.int32), [rare.sum(), missing.sum()])
+            order = np.lexsort((names, of))
+            of, names, sign = of[order], names[order], sign[order]
+            new = np.nonzero(np.r_[len(of) > 0, (of[1:] != of[:-1]) | (names[1:] != names[:-1])][: len(of)])[0]
+            times = np.diff(np.r_[new, len(of)]).astype(np.int32) * sign[new]
             key = batch.column("key").to_numpy()
-            m = len(of)
-            join = lambda a, b: np.concatenate([a, b])
+            own = np.column_stack([x.astype(np.float64) for x in sums])
+            offsets = np.r_[np.arange(len(ids) + 1) * 4, np.full(len(new), len(ids) * 4)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(join(key, tail.index.get_level_values(1).to_numpy().astype(np.int64))),
-                    pa.array(join(key, key[of])),
-                    pa.array(join(np.zeros(len(ids), np.int32), tail.to_numpy().astype(np.int32))),
-                    pa.array(join(lengths, np.zeros(m, np.int64))),
-                    *[pa.array(join(x, np.zeros(m, x.dtype))) for x in whole],
+                    pa.array(np.concatenate([key, names[new]])),
+                    pa.array(np.concatenate([key, key[of[new]]])),
+                    pa.array(np.concatenate([np.zeros(len(ids), np.int32), times])),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.ravel())),
                 ],
-                names=["id", "key", "times", "n_tokens", "known", "base", "score"],
+                names=["id", "key", "times", "own"],
             )
 
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    parts = keyed.select("key", "text").mapInArrow(
-        walk, "id long, key long, times int, n_tokens long, known long, base double, score double"
-    )
+    parts = keyed.select("key", "text").mapInArrow(walk, "id long, key long, times int, own array<double>")
     # a row with times = 0 is a text's own; its id is no token and what it may meet is not used
-    met = parts.join(counts, "id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    part = F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
+    met = parts.join(model, "id", "left")
+    unseen = F.when(F.col("times") > 0, -math.log10(n + v + 1)).otherwise(0.0)
+    times = F.abs("times")
+    own = lambda k: F.coalesce(F.get("own", F.lit(k)), F.lit(0.0))
     sums = met.groupBy("key").agg(
         F.sum(F.when(F.col("times") == 0, 1).otherwise(0)).alias("copies"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + part).alias("base_score"),
-        F.sum(F.col("score") + part).alias("score"),
+        F.sum(own(0)).alias("n_tokens"),
+        F.sum(own(1) + times * F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.sum(own(2) + times * F.coalesce("base", unseen)).alias("base_score"),
+        F.sum(own(3) + times * F.coalesce("score", unseen)).alias("score"),
     )
     per_text = sums.select(
         "key",

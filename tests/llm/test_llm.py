@@ -286,6 +286,18 @@ def test_lm_brute_force(spark, docs):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
+def test_lm_rate_does_not_choose_arcs(spark, docs, monkeypatch):
+    """What is broadcast, little, some or all of it, changes no score: every pair that occurs twice is an arc."""
+    data = [*ODD, *list(docs.items())[:60]]
+    got = []
+    for rate in (0.9, 1e-2, 1e-6):
+        monkeypatch.setattr(lm, "RATE", rate)
+        got.append(sorted((str(r["doc_id"]), *list(r.values())[1:]) for r in collected(lm.score(odd(spark, data)))))
+    assert [g[:5] for g in got[0]] == [g[:5] for g in got[1]] == [g[:5] for g in got[2]]
+    for other in got[:2]:
+        assert np.allclose([g[5:] for g in other], [g[5:] for g in got[2]], rtol=1e-9)
+
+
 def test_automaton_sums_to_one():
     head = np.array([1, 5, 9])
     m = lm.automaton(head, np.array([6, 3, 2]), np.array([1, 5]), np.array([4, 2]), 12, 4)
