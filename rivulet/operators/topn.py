@@ -11,7 +11,11 @@ from rivulet.operators.windows import time_windows
 
 def window_top(df: DataFrame, value: str, n: int, size: str, slide: str | None = None, ts: str = "ts") -> DataFrame:
     """The n most frequent values of each window with their counts; ties by the smaller value."""
-    counts = time_windows(df, [value], [F.count("*").alias("n")], size, slide, ts)
+    return top_counts(time_windows(df, [value], [F.count("*").alias("n")], size, slide, ts), value, n)
+
+
+def top_counts(counts: DataFrame, value: str, n: int) -> DataFrame:
+    """The n highest counts of each window, for counts of whole windows."""
     place = F.row_number().over(Window.partitionBy("w_start", "w_end").orderBy(F.desc("n"), value))
     return counts.withColumn("place", place).where(F.col("place") <= n)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.topn import window_top
+from rivulet.operators.topn import top_counts
 
 
 def windowed(stream: DataFrame, keys: list[str], aggregates: list[Column], size: str, slide: str | None = None,
@@ -66,9 +66,18 @@ def late_rows(ts: str, delay_seconds: float, on_time: Callable[[DataFrame, int],
     return write
 
 
-def ranked(n: int, sink: Callable[[DataFrame, int], None], size: str, ts: str = "ts") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the Top-N of the windows in a batch."""
-    return lambda batch, number: sink(window_top(batch, "vc", n, size, ts=ts), number)
+def window_counts(stream: DataFrame, value: str, size: str, slide: str | None = None, delay: str = "0 seconds",
+                  ts: str = "ts") -> DataFrame:
+    """The count of each value and window, for ranked. To be written in append mode: once, when the window is over."""
+    return windowed(stream, [value], [F.count("*").alias("n")], size, slide, delay, ts=ts)
+
+
+def ranked(value: str, n: int, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over window_counts: the Top-N of the windows that a batch finishes, ties by the smaller value.
+
+    The watermark ends all counts of a window in one batch, so that a window is ranked once and whole.
+    """
+    return lambda batch, number: sink(top_counts(batch, value, n), number)
 
 
 def with_latest(config: Callable[[], DataFrame], value: str, default: int, sink: Callable[[DataFrame, int], None]

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet.operators import running, state, windows
+from rivulet.operators import running, state, topn, windows
 from rivulet.sinks import writers
 from rivulet.sources import files, generators
 from rivulet.streaming import live, processors, runtime
@@ -89,6 +89,22 @@ def test_windows_with_enough_delay(spark, folder, tmp_path):
     assert pairs(got, "id", "s") == pairs(want, "id", "s")
 
 
+def test_live_top_equals_replay(spark, tmp_path):
+    """Windows whose rows come in several batches, one file each."""
+    data = [(i, (i * 5) % 40 if i < 30 else 200, (i * 7) % 4) for i in range(36)]
+    folder = str(tmp_path / "in")
+    for k in range(0, 36, 6):
+        part = spark.createDataFrame(data[k : k + 6], "seq long, s long, vc int")
+        part.select("seq", F.lit("a").alias("id"), F.timestamp_seconds("s").alias("ts"), "vc").coalesce(1).write.mode("append").parquet(folder)
+    found = []
+    sink = live.ranked("vc", 2, lambda batch, _: found.extend(pairs(batch, "w_start", "vc", "n", "place")))
+    counts = live.window_counts(files.parquet_stream(spark, folder, SCHEMA, 1), "vc", "10 seconds", delay="60 seconds")
+    runtime.available_now(counts.writeStream.outputMode("append").foreachBatch(sink), str(tmp_path / "cp"))
+    replay = topn.window_top(spark.read.parquet(folder), "vc", 2, "10 seconds")
+    over = replay.where(F.col("w_start") < F.timestamp_seconds(F.lit(100)))
+    assert found and sorted(found) == pairs(over, "w_start", "vc", "n", "place")
+
+
 def test_restart_goes_on_where_it_stopped(spark, folder, tmp_path):
     def run():
         stream = files.parquet_stream(spark, folder, SCHEMA)
