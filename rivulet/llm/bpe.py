@@ -14,8 +14,9 @@ Vocabulary and special tokens are read from a byte-level tokenizer.json, whose
 path is a parameter; the merges run in tiktoken, which takes the same ranks.
 
 Defined results: a null text counts as empty and has no tokens; a special
-token's string is its one id; repeated rows give repeated rows and an empty
-table none; only the id and the text are read.
+token's string is its one id; a text of any length is encoded whole; repeated rows
+give repeated rows and an empty table none; only the id and the text are read,
+whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import short_batches
+from rivulet.llm.common import in_parts
 
 #: Fixed value: the pattern by which byte-level BPE splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,7 +166,7 @@ def coded(text: Column, path: str) -> Column:
     @F.pandas_udf("ids binary, decoded string")
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(path)
-        for texts in batches:
+        for texts in in_parts(batches):
             ids = [words.encode(t) for t in texts]
             yield pd.DataFrame(
                 {"ids": [i.astype("<u4").tobytes() for i in ids], "decoded": [words.decode(i) for i in ids]}
@@ -176,7 +177,6 @@ def coded(text: Column, path: str) -> Column:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary), decoded and n_tokens for every row of docs."""
-    short_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return rows.select("doc_id", coded(F.col("text"), path).alias("c")).select(
         "doc_id", "c.ids", "c.decoded", (F.octet_length("c.ids") / 4).cast("long").alias("n_tokens")

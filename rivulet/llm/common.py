@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +13,43 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-#: Rows in an Arrow batch: whole texts stay whole, so a batch is kept short.
-BATCH_ROWS = 256
+#: Rows and characters that a task works on at once. A longer text is a part by itself.
+PART_ROWS, PART_CHARS = 256, 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps a Python worker's memory to a few hundred texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_parts(batches: Iterable[pd.Series]) -> Iterator[pd.Series]:
+    """The texts of Arrow batches, some at a time: Spark bounds a batch's bytes, but not what is made of it."""
+    for texts in batches:
+        start, chars = 0, 0
+        for end, text in enumerate(texts):
+            chars += len(text or "")
+            if end > start and (chars > PART_CHARS or end - start == PART_ROWS):
+                yield texts.iloc[start:end]
+                start, chars = end, len(text or "")
+        if start < len(texts):
+            yield texts.iloc[start:]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of its own only for a local session that names none."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="rivulet-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint.
-
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only a
-    session that names none (a local test) gets a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="rivulet-checkpoint-"))
+    """df cut from its lineage by a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

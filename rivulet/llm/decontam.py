@@ -6,28 +6,34 @@ Aho-Corasick scan for all pieces finds every candidate place, and Myers'
 bit-parallel distance verifies the stretch around it. Both sides are compared
 in a normal form: lower case, with one space for ASCII punctuation and spaces.
 
-The benchmark is broadcast in slices of SLICE_CHARS characters at most, each a
-pass over the documents, so that a task's automaton is bounded whatever the
-benchmark's size. Places are verified as the scan meets them; nothing is
-gathered for a document but its best distance for each item.
-
-Defined results: null and empty texts match nothing; items with fewer than
-MIN_CHARS characters in normal form are too short to be told from chance and
-are skipped; repeated items or documents give repeated rows of a pair; empty
-tables give none; only ids and texts are read.
+Items with fewer than MIN_CHARS characters have no budget, and occur where whole
+words do: a part of a word is no hit.
+
+The benchmark passes through the driver a slice at a time, of SLICE_CHARS
+characters or one item, and each slice is broadcast for a pass of its own over the
+documents, so that a task holds one automaton of bounded size whatever the
+benchmark's. Places are verified as the scan meets them; nothing is gathered for
+a document but its best distance for each item.
+
+Defined results: null and empty texts match nothing, as do items without letters
+or digits; of several places of an item in a document the nearest counts;
+documents of any length are scanned whole; repeated items or documents give
+repeated rows of a pair; empty tables give none; only ids and texts are read,
+whatever other columns are named.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import short_batches
+from rivulet.llm.common import in_parts
 
 EDIT_EVERY = 20
 MIN_CHARS = 40
@@ -43,7 +49,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(n_chars: int) -> int:
-    return n_chars // EDIT_EVERY
+    return n_chars // EDIT_EVERY if n_chars >= MIN_CHARS else 0
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -109,6 +115,10 @@ class Matcher:
                 start = last + 1 - length - offset
                 if found.get(n) == 0 or seen.get(n) == start:
                     continue
+                if length < MIN_CHARS and len(item) == length:  # a short item, whole
+                    if text[start - 1 : start] in ("", " ") and text[last + 1 : last + 2] in ("", " "):
+                        found[n] = 0
+                    continue
                 seen[n] = start
                 if text.startswith(item, max(start, 0)):
                     found[n] = 0
@@ -127,7 +137,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     rows = benchmark.select(benchmark[id_col].alias("item_id"), benchmark[text_col].alias("text"))
     for row in rows.toLocalIterator():
         item = normal(row["text"])
-        if len(item) < MIN_CHARS:
+        if not item:
             continue
         if part and size + len(item) > SLICE_CHARS:
             yield part
@@ -145,30 +155,43 @@ def _search(sent: Broadcast):
     @F.pandas_udf(KIND)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(sent.value)
-        for texts in batches:
+        for texts in in_parts(batches):
             got = [sorted(matcher.matches(normal(t)).items()) for t in texts]
             rows = [[{"item_id": matcher.items[n][0], "distance": d} for n, d in g] for g in got]
             yield pd.Series(rows, dtype=object)
 
-    return search
+    # so declared, it is evaluated once, and not again for what a filter asks of it
+    return search.asNondeterministic()
 
 
-def hits(spark: SparkSession, benchmark: DataFrame, text: Column) -> Column:
-    """Array of (item_id, distance) of the items within a text; empty where nothing matches."""
-    found = [_search(spark.sparkContext.broadcast(items))(text) for items in _slices(benchmark, "item_id", "text")]
-    return F.concat(*found) if found else F.array().cast(KIND)
+def _hits(rows: DataFrame, benchmark: DataFrame) -> Iterator[DataFrame]:
+    """rows with hits, an array of (item_id, distance), for each slice of the benchmark."""
+    for items in _slices(benchmark, "item_id", "text"):
+        search = _search(rows.sparkSession.sparkContext.broadcast(items))
+        yield rows.withColumn("hits", search("text"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance: the benchmark items that documents hold, within the edit budget."""
-    short_batches(docs.sparkSession)
-    found = docs.select(
-        docs[id_col].alias("doc_id"), hits(docs.sparkSession, benchmark, docs[text_col]).alias("hits")
-    )
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    none = rows.limit(0).select("doc_id", F.lit(None).cast("array<struct<item_id:long,distance:int>>").alias("hits"))
+    parts = [part.select("doc_id", "hits") for part in _hits(rows, benchmark)]
+    found = reduce(DataFrame.union, parts) if parts else none
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with docs' columns."""
-    short_batches(docs.sparkSession)
-    return docs.where(F.size(hits(docs.sparkSession, benchmark, docs[text_col])) == 0)
+    """The rows of docs that hold no benchmark item, with docs' columns.
+
+    One slice is a filter. With more, the texts that hold an item are found slice by slice, as two hashes, and
+    their rows left out by a join.
+    """
+    slices = [docs.sparkSession.sparkContext.broadcast(items) for items in _slices(benchmark, "item_id", "text")]
+    if len(slices) < 2:
+        return docs.where(F.size(_search(slices[0])(docs[text_col])) == 0) if slices else docs
+    rows = docs.select(docs[text_col].alias("text"))
+    found = [rows.select("text", F.size(_search(s)("text")).alias("n")).where("n > 0") for s in slices]
+    hashes = lambda text: (F.xxhash64(text), F.xxhash64(text, F.lit(1)))
+    bad = reduce(DataFrame.union, found).select(*[h.alias(f"__h{k}") for k, h in enumerate(hashes(F.col("text")))]).distinct()
+    same = [F.col(f"__h{k}") == h for k, h in enumerate(hashes(docs[text_col]))]
+    return docs.join(bad, same, "left_anti")

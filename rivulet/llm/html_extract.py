@@ -1,21 +1,29 @@
 """HTML extraction by tag-path ratios.
 
-A page is cut into blocks; the blocks with one root-to-leaf tag path (with the
-containers' classes) share what their path collects: characters outside links
-and punctuation, each per block. These two ratios are smoothed along the page,
-fused by multiplication, and weighted by what the path's elements are for
-(article and main for content; nav, aside, forms and the like never). Paths
-above a share of the page's highest value choose the region: the article or main
-that holds one of them, else the element that holds them all, if it is neither
-the body nor the page. Every block of the region that is not marked outside is
-content, however short. Without such an element, only those paths are content,
-and a heading follows the block after it. Kept blocks are returned whole, in page
-order.
+A page is cut into blocks. The blocks with one root-to-leaf tag path (with the
+elements' classes) share what their path collects: characters outside links and
+punctuation, both over the square root of its blocks, so that neither one long
+notice nor many short entries pass for an article. The two ratios are smoothed
+over neighbours below one element and fused by multiplication. Paths above SHARE
+of the page's highest value are the content paths, and the innermost element that
+holds all their blocks is the content region: the article or main around it, if
+there is one. Every block of the region is content, however short, but for those
+in elements that are marked, by tag or class, as no part of an article; marks on
+the region's own ancestors count for nothing. Where only the page itself holds
+all content paths, their blocks are content, with the plain blocks between them
+and the headings before them. Kept blocks are returned whole, in page order.
+
+What elements are for only adjusts the ratios: MARKED and INSIDE weigh a path.
+
+A page is read in one pass, in time linear in its length: script, style and the
+like end at their own end tag alone, quotes that never end are plain characters,
+and elements nested deeper than MAX_DEPTH count as their ancestor at that depth.
 
 Defined results: a null or empty page, or one without content, has an empty
 text; unclosed or crossed elements and a page cut off inside a tag are read as
-far as they go; repeated rows give repeated rows, an empty table none; only the
-id, the url and the html are read.
+far as they go; a page of any length is read whole; of paths with one value all
+count; repeated rows give repeated rows, an empty table none; only the id, the url
+and the html are read, whatever else the table's columns are named.
 """
 
 from __future__ import annotations
@@ -28,26 +36,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import short_batches
+from rivulet.llm.common import in_parts
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
+RAW = frozenset("script style textarea title iframe".split())
+SKIPPED = frozenset("noscript template svg math object canvas".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small "
-    "span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small "
+    "span strike strong sub sup time tt u var".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog button select fieldset head".split())
+PLAIN = HEADINGS | frozenset("p ul ol li dl dt dd table thead tbody tr td th caption pre blockquote figure figcaption".split())
+OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset head".split())
 INSIDE = frozenset("article main".split())
-PAGE = frozenset("html body".split())
-#: Words in a class or an id that mark what is not the article.
+#: Words in a class or an id that mark what is not the article, and words that may stand beside them.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter notice overlay "
+    "cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice overlay "
     "pager pagination popup promo promoted recommended related replies respond share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+BESIDE_WORDS = frozenset(
+    "area article articles bar block body bottom box button buttons container content entry form global group header inner "
+    "item items left links list main page panel post posts reader right section site text top user wrap wrapper".split()
+)
 #: An element closed by the start of one of these, as in the HTML standard.
 CLOSES = {
     "li": frozenset(["li"]),
@@ -58,161 +71,268 @@ CLOSES = {
     "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option"]),
 }
+_LISTS = frozenset(["ul", "ol", "dl", "table", "select"])
+_HOLDERS = frozenset(["td", "th", "li", "dd", "div", "article", "section", "main", "blockquote"])
+_P = frozenset(["p"])
+_NONE: frozenset[str] = frozenset()
 
-#: The weight of a path inside INSIDE, and the share of the highest value that is content.
-INSIDE_WEIGHT = 50.0
-SHARE = 0.05
+#: Weights of paths inside INSIDE and of marked ones; the share of the highest value that makes a content path.
+INSIDE_WEIGHT, MARKED_WEIGHT = 3.0, 0.1
+SHARE = 0.3
+#: The share of the content paths' text that makes one container of a page the content region.
+MOST = 0.9
 #: Weights of a block's neighbours and itself.
 SMOOTH = (0.25, 0.5, 0.25)
+#: Elements that are open at once.
+MAX_DEPTH = 512
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
-)
-_CUT = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_UNQUOTED = re.compile(r"[^\"'>]*")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
-class Block:
-    __slots__ = ("path", "holders", "parts", "links", "heading", "kind")
+def tags(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text before it, name, attributes) for each tag; names of end tags begin with /. The last has no name."""
+    at, begun, quotes, endless = 0, 0, True, set()
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            yield html[begun:at], "", ""
+            at = begun = len(html) if end < 0 else end + 3
+            continue
+        if html[at + 1 : at + 2] in ("!", "?"):
+            end = html.find(">", at)
+            yield html[begun:at], "", ""
+            at = begun = len(html) if end < 0 else end + 1
+            continue
+        m = _NAME.match(html, at + 1)
+        if m is None:
+            at += 1
+            continue
+        end = m.end()
+        while quotes:
+            end = _UNQUOTED.match(html, end).end()
+            if html[end : end + 1] == ">":
+                break
+            end = html.find(html[end], end + 1) + 1 if end < len(html) else 0
+            if not end:
+                quotes = False  # they do not pair up from here on
+        if not quotes:
+            end = html.find(">", m.end())
+        yield html[begun:at], m[0].lower(), html[m.end() : max(end, m.end())]
+        if end < 0:
+            return
+        at = begun = end + 1
+        name = m[0].lower()
+        if (name in RAW or name in SKIPPED) and name not in endless and html[end - 1] != "/":
+            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
+            if close:
+                at = begun = close.end()
+            elif name in RAW:
+                return
+            else:
+                endless.add(name)
+    yield html[begun:], "", ""
 
-    def __init__(self, path: tuple[str, ...], holders: tuple[tuple[int, int], ...], heading: bool, kind: int) -> None:
-        self.path, self.holders, self.heading, self.kind = path, holders, heading, kind
-        self.parts: list[str] = []
-        self.links = 0
 
-    def text(self) -> str:
-        return _SPACE.sub(" ", unescape("".join(self.parts))).strip()
+def is_marked(names: str) -> bool:
+    """Whether a class or id says that an element is no part of an article: every word of it must be known."""
+    for name in names.split():
+        words = _WORDS.findall(name)
+        known = [w in OUTSIDE_WORDS for w in words]
+        if any(known) and all(k or w in BESIDE_WORDS for k, w in zip(known, words, strict=True)):
+            return True
+    return False
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page with text in them, in page order. kind: 1 inside, -1 outside, else 0."""
-    # stack of (tag, label in the path, kind, number of the element in the page)
-    stack: list[tuple[str, str, int, int]] = []
-    opened = 0
-    done: list[Block] = []
-    now: Block | None = None
+class Page:
+    """The elements and the blocks of a page. An element's parent comes before it; the first is the page."""
 
-    def close(tags: frozenset[str] | set[str], within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
+    def __init__(self, html: str) -> None:
+        self.parent, self.depth, self.tag, self.path = [0], [0], [""], [0]
+        # the last marked element and the last header of its own chain, and whether an article or main is above it
+        self.marked, self.headed, self.inside = [-1], [-1], [-1]
+        self.element: list[int] = []
+        self.texts: list[str] = []
+        self.linked: list[int] = []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._read(html)
 
-    def add(text: str) -> None:
-        nonlocal now
-        if not text:
-            return
-        if now is None:
-            if text.isspace():
+    def _open(self, tag: str, attributes: str, parent: int) -> int:
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
+        me = len(self.parent)
+        page = self.depth[parent] < 2 and tag in ("html", "body")
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.tag.append(tag)
+        label = (self.path[parent], f"{tag}.{names}" if names and not page else tag)
+        self.path.append(self._paths.setdefault(label, len(self._paths) + 1))
+        marked = not page and (tag in OUTSIDE or bool(names) and tag not in HEADINGS and is_marked(names))
+        self.marked.append(me if marked else self.marked[parent])
+        self.headed.append(me if tag == "header" else self.headed[parent])
+        self.inside.append(me if tag in INSIDE else self.inside[parent])
+        return me
+
+    def _read(self, html: str) -> None:
+        stack: list[tuple[str, int]] = []
+        open_tags: dict[str, int] = {}
+        parts: list[str] = []
+        links = 0
+
+        def close(names: frozenset[str], within: frozenset[str]) -> None:
+            if not any(open_tags.get(n) for n in names):
                 return
-            kinds = [k for _, _, k, _ in stack]
-            kind = -1 if -1 in kinds else 1 if 1 in kinds else 0
-            path = tuple(label for tag, label, _, _ in stack if tag not in INLINE)
-            holders = tuple((n, k) for tag, _, k, n in stack if tag not in INLINE and tag not in PAGE)
-            now = Block(path, holders, any(tag in HEADINGS for tag, _, _, _ in stack), kind)
-            done.append(now)
-        now.parts.append(text)
-        if any(tag == "a" for tag, _, _, _ in stack):
-            now.links += len(text)
-
-    at, raw = 0, ""
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        end_tag, tag = m[1], (m[2] or "").lower()
-        if raw:
-            if end_tag and tag == raw:
-                raw, at = "", m.end()
-            continue
-        add(html[at : m.start()])
-        at = m.end()
-        if not tag:
-            continue
-        if tag == "br":
-            add(" ")
-            continue
-        if tag in RAW and not end_tag:
-            raw = "" if m[3].endswith("/") else tag
-            continue
-        if tag not in INLINE:
-            now = None
-        if end_tag:
-            close({tag}, frozenset() if tag not in INLINE else frozenset(["p", "div", "td", "li", "article"]))
-            continue
-        if tag in VOID:
-            continue
-        if tag in CLOSES:
-            close(CLOSES[tag], frozenset(["ul", "ol", "dl", "table", "select"]))
-        elif tag not in INLINE:
-            close({"p"}, frozenset(["td", "th", "li", "div", "article", "section"]))
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if m[3] else ""
-        marked = OUTSIDE_WORDS.intersection(re.split(r"[^a-z]+", names)) if names and tag not in ("html", "body") else ()
-        kind = -1 if tag in OUTSIDE or marked else 1 if tag in INSIDE else 0
-        if not m[3].endswith("/"):
-            opened += 1
-            stack.append((tag, f"{tag}.{names}" if names else tag, kind, opened))
-    if not raw:
-        add(_CUT.sub("", html[at:]))
-    return done
-
-
-def region(winners: list[Block]) -> set[int]:
-    """The numbers of the elements whose blocks are content: what holds the blocks of the winning paths."""
-    inside = {next(n for n, k in b.holders if k > 0) for b in winners if b.kind > 0}
-    if inside or not winners:
-        return inside
-    common = winners[0].holders
-    for b in winners[1:]:
-        same = [x == y for x, y in zip(common, b.holders, strict=False)]
-        common = common[: same.index(False) if False in same else len(same)]
-    return {common[-1][0]} if common else set()
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in names:
+                    for tag, _ in stack[k:]:
+                        open_tags[tag] -= 1
+                    del stack[k:]
+                    return
+                if stack[k][0] in within:
+                    return
+
+        def end_block() -> None:
+            nonlocal parts, links
+            text = _SPACE.sub(" ", unescape("".join(parts))).strip() if parts else ""
+            if text:
+                self.element.append(stack[-1][1] if stack else 0)
+                self.texts.append(text)
+                self.linked.append(links)
+            parts, links = [], 0
+
+        for text, name, attributes in tags(html):
+            if text:
+                parts.append(text)
+                if open_tags.get("a"):
+                    links += len(text)
+            if not name:
+                continue
+            if name == "br":
+                parts.append(" ")
+                continue
+            ends = name[0] == "/"
+            tag = name[1:] if ends else name
+            inline = tag in INLINE
+            if not inline and tag not in VOID and tag not in RAW and tag not in SKIPPED or tag == "hr":
+                end_block()
+            if ends:
+                close(frozenset([tag]), _HOLDERS if inline else _NONE)
+                continue
+            if tag in VOID or tag in RAW or tag in SKIPPED:
+                continue
+            if tag in CLOSES:
+                close(CLOSES[tag], _LISTS)
+            elif not inline:
+                close(_P, _HOLDERS)
+            if attributes.endswith("/") and not inline or len(stack) >= MAX_DEPTH:
+                continue
+            above = stack[-1][1] if stack else 0
+            stack.append((tag, above if inline else self._open(tag, attributes, above)))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+        end_block()
+
+    def values(self) -> list[float]:
+        """The value of each block's path: its two ratios, smoothed and fused, where they are highest."""
+        paths = [self.path[e] for e in self.element]
+        sums: dict[int, list[int]] = {}
+        for p, text, linked in zip(paths, self.texts, self.linked, strict=True):
+            s = sums.setdefault(p, [0, 0, 0])
+            s[0] += max(len(text) - linked, 0)
+            s[1] += len(_PUNCTUATION.findall(text))
+            s[2] += 1
+        holder = [self.parent[e] for e in self.element]
+        n = len(paths)
+        best: dict[int, float] = {}
+        for i, p in enumerate(paths):
+            ratios = []
+            for k in (0, 1):
+                total = 0.0
+                for step, weight in zip((-1, 0, 1), SMOOTH, strict=True):
+                    j = i + step
+                    s = sums[paths[j] if 0 <= j < n and holder[j] == holder[i] else p]
+                    total += weight * s[k] / s[2] ** 0.5
+                ratios.append(total)
+            e = self.element[i]
+            weight = (MARKED_WEIGHT if self.marked[e] >= 0 else 1.0) * (INSIDE_WEIGHT if self.inside[e] >= 0 else 1.0)
+            best[p] = max(best.get(p, 0.0), ratios[0] * (1 + ratios[1]) * weight)
+        return [best[p] for p in paths]
+
+    def is_page(self, e: int) -> bool:
+        return e == 0 or self.tag[e] in ("html", "body")
+
+    def region(self, chosen: list[bool]) -> int:
+        """The innermost element that holds all chosen blocks; the article or main around it, if there is one.
+
+        Of the page, or of an element that holds nothing but containers, the container with MOST of the text counts.
+        """
+        n = len(self.parent)
+        held, chars, mixed, largest = [0] * n, [0] * n, [False] * n, [0] * n
+        for e, c, text, linked in zip(self.element, chosen, self.texts, self.linked, strict=True):
+            held[e] += c
+            chars[e] += max(len(text) - linked, 0) * c
+            mixed[e] = True
+        for e in range(n - 1, 0, -1):
+            above = self.parent[e]
+            held[above] += held[e]
+            chars[above] += chars[e]
+            if self.tag[e] in PLAIN:
+                mixed[above] = mixed[above] or mixed[e]
+            elif self.marked[e] != e and self.headed[e] != e and (chars[e] > chars[largest[above]] or not largest[above]):
+                largest[above] = e
+        at = max((e for e, h in enumerate(held) if h == held[0]), key=self.depth.__getitem__)
+        while self.tag[at] in PLAIN and self.parent[at]:  # a single paragraph or list: what it stands in
+            at = self.parent[at]
+        while self.inside[at] < 0 and largest[at] and (self.is_page(at) or not mixed[at]):
+            if chars[largest[at]] < MOST * chars[at]:
+                break
+            at = largest[at]
+        return self.inside[at] if self.inside[at] >= 0 else at
+
+    def within(self, e: int, region: int) -> bool:
+        while self.depth[e] > self.depth[region]:
+            e = self.parent[e]
+        return e == region
+
+    def kept(self) -> list[bool]:
+        values = self.values()
+        least = SHARE * max(values, default=0.0)
+        chosen = [v > 0 and v >= least for v in values]
+        if not any(chosen):
+            return chosen
+        region = self.region(chosen)
+        depth = self.depth[region]
+        whole = self.is_page(region)
+        first, last = chosen.index(True), len(chosen) - chosen[::-1].index(True)
+        keep = []
+        for i, e in enumerate(self.element):
+            mark = max(self.marked[e], self.headed[e] if whole else -1)
+            clear = self.within(e, region) and (mark < 0 or self.depth[mark] <= depth)
+            if whole:
+                clear = clear and (chosen[i] or first < i < last and self.tag[e] in PLAIN)
+            keep.append(clear)
+        if whole and not any(keep):
+            keep = chosen
+        for i in range(len(keep) - 2, -1, -1):  # a heading belongs to the block after it
+            e = self.element[i]
+            if self.tag[e] in HEADINGS and self.marked[e] < 0:
+                keep[i] = keep[i] or keep[i + 1]
+        return keep
 
 
 def main_text(html: str | None) -> str:
-    found = [(b, b.text()) for b in blocks(html or "")]
-    found = [(b, t) for b, t in found if t]
-    totals: dict[tuple[str, ...], list[int]] = {}
-    for b, t in found:
-        sums = totals.setdefault(b.path, [0, 0, 0])
-        sums[0] += max(len(t) - b.links, 0)
-        sums[1] += len(_PUNCTUATION.findall(t))
-        sums[2] += 1
-    chars = [totals[b.path][0] / totals[b.path][2] for b, _ in found]
-    points = [totals[b.path][1] / totals[b.path][2] for b, _ in found]
-
-    def smooth(x: list[float]) -> list[float]:
-        wide = [x[0], *x, x[-1]] if x else []
-        return [sum(w * v for w, v in zip(SMOOTH, wide[i : i + 3], strict=True)) for i in range(len(x))]
-
-    values = [
-        c * (1 + p) * (0 if b.kind < 0 else INSIDE_WEIGHT if b.kind > 0 else 1)
-        for (b, _), c, p in zip(found, smooth(chars), smooth(points), strict=True)
-    ]
-    # a path counts as its best block does: smoothing must not split a path
-    best: dict[tuple[str, ...], float] = {}
-    for (b, _), v in zip(found, values, strict=True):
-        best[b.path] = max(best.get(b.path, 0.0), v)
-    least = SHARE * max(best.values(), default=0.0)
-    keep = [best[b.path] > 0 and best[b.path] >= least for b, _ in found]
-    chosen = region([b for (b, _), k in zip(found, keep, strict=True) if k])
-    keep = [k or b.kind >= 0 and any(n in chosen for n, _ in b.holders) for (b, _), k in zip(found, keep, strict=True)]
-    for i in range(len(found) - 2, -1, -1):
-        if found[i][0].heading and found[i][0].kind >= 0:
-            keep[i] = keep[i] or keep[i + 1]
-    return "\n\n".join(t for (_, t), k in zip(found, keep, strict=True) if k)
+    page = Page(html or "")
+    return "\n\n".join(t for t, k in zip(page.texts, page.kept(), strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for every row of pages."""
-    short_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for htmls in batches:
+        for htmls in in_parts(batches):
             yield htmls.map(main_text)
 
     rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import checkpointed, remainder, short_batches
+from rivulet.llm.common import PART_ROWS, checkpointed, remainder
 
 FOLDS, HELD_OUT = 7, 2
 #: The share of the training tokens that puts a token or a pair into the broadcast tables.
@@ -194,16 +194,13 @@ def traverse(head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
     spark = docs.sparkSession
-    short_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     model, head, n, v = train(rows)
     sent = spark.sparkContext.broadcast(head)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, b.num_rows, PART_ROWS)):
             ids = [token_ids(t) for t in batch.column("text").to_pylist()]
             lengths = np.array([len(i) for i in ids])
             starts = np.concatenate([[0], lengths.cumsum()[:-1]])

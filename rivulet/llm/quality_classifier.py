@@ -14,9 +14,12 @@ is fitted on the pooled vectors of a bounded sample of labelled documents
 a part of the sample that training has not seen, calibrates its probabilities.
 
 Defined results: a null or empty text is pooled to zeros and gets the score of
-that; without labels of both classes every score is 1; a null doc_id is not held
-out; repeated rows give repeated rows and an empty table none; labels, lang,
-source and ids are never inputs of a score.
+that; without labels of both classes every score is 1; where the part for
+training lacks a class, the whole sample trains and the temperature is 1; of
+several labels of one id the highest counts; a null doc_id is not held out; a text
+of any length is pooled whole, BLOCK words at a time; repeated rows give repeated
+rows and an empty table none; labels, lang, source and ids are never inputs of a
+score, and no other column is read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import labelled_sample, remainder, short_batches
+from rivulet.llm.common import in_parts, labelled_sample, remainder
 
 FOLDS, HELD_OUT = 5, 0
 PER_CLASS = 4000
@@ -55,7 +58,7 @@ class Units(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        shape = _RUNS.sub(r"\1", word.translate(_KINDS))[:12]
+        shape = _RUNS.sub(r"\1", word.translate(_KINDS))
         value = (xxh64_intdigest(word) % BUCKETS) * SHAPES + xxh64_intdigest(shape, 1) % SHAPES
         self[word] = value
         return value
@@ -80,17 +83,20 @@ def units(texts: Iterable[str | None], known: Units) -> tuple[np.ndarray, np.nda
 
 def context_sums(words: np.ndarray, shapes: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> np.ndarray:
     """For each bucket, the sum of the index vectors around its words. Never across texts."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    given = index[words] + index[shapes]
-    around = np.zeros_like(given)
-    for k in range(1, REACH + 1):
-        same = (row[k:] == row[:-k])[:, None]
-        around[k:] += given[:-k] * same
-        around[:-k] += given[k:] * same
-    out = np.empty((BUCKETS + SHAPES, SIZE))
-    both = np.concatenate([words, shapes])
-    for d in range(SIZE):
-        out[:, d] = np.bincount(both, np.tile(around[:, d], 2), BUCKETS + SHAPES)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((BUCKETS + SHAPES, SIZE))
+    for at in range(0, len(words), BLOCK):
+        low, high = max(at - REACH, 0), at + BLOCK + REACH
+        row, given = rows[low:high], index[words[low:high]] + index[shapes[low:high]]
+        around = np.zeros_like(given)
+        for k in range(1, REACH + 1):
+            same = (row[k:] == row[:-k])[:, None]
+            around[k:] += given[:-k] * same
+            around[:-k] += given[k:] * same
+        around = around[at - low : at - low + BLOCK]
+        both = np.concatenate([words[at : at + BLOCK], shapes[at : at + BLOCK]])
+        for d in range(SIZE):
+            out[:, d] += np.bincount(both, np.tile(around[:, d], 2), BUCKETS + SHAPES)
     return out
 
 
@@ -101,8 +107,8 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, index = Units(), index_vectors()
         total = np.zeros((BUCKETS + SHAPES, SIZE))
-        for batch in batches:
-            total += context_sums(*units(batch["text"], known), index)
+        for texts in in_parts(batch["text"] for batch in batches):
+            total += context_sums(*units(texts, known), index)
         met = np.nonzero(total.any(axis=1))[0]
         yield pd.DataFrame(total[met].astype(np.int64), columns=names).assign(bucket=met)
 
@@ -190,14 +196,13 @@ class Network:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
     spark = docs.sparkSession
-    short_batches(spark)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     sent = spark.sparkContext.broadcast(context_vectors(rows))
 
     @F.pandas_udf("array<double>")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Units()
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.Series(list(pooled(list(texts), sent.value, known)), dtype=object)
 
     sample = labelled_sample(rows, labels, "quality", FOLDS, HELD_OUT, PER_CLASS, "quality")
@@ -209,14 +214,17 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         labelled = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
         share = float(labelled.agg(F.avg("quality")).first()[0])
         weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+        if len(set(y[part])) < 2:  # too few to set some apart: the temperature stays 1
+            part[:] = True
         network = Network(x[part], y[part], weight[part])
-        network.calibrate(x[~part], y[~part], weight[~part])
+        if not part.all():
+            network.calibrate(x[~part], y[~part], weight[~part])
     trained = spark.sparkContext.broadcast(network)
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, net = Units(), trained.value
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.Series(net.score(pooled(list(texts), sent.value, known)) if net else np.ones(len(texts)))
 
     return rows.select(

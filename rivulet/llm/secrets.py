@@ -1,33 +1,45 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field beside them.
 
 The patterns are the base. The field tags the tokens around every place that
-could hold a secret as begin, inside or outside, from the token's shape, the
-neighbouring words and features of the whole file, and Viterbi's algorithm gives
-the best tags. Only a token with a digit and MIN_TOKEN characters may be begin
-or inside (a constraint of the model, so a chain falls apart between such
-tokens and only the stretches around them need decoding).
-
-It is trained here: the base's matches in a bounded sample of documents
-(SAMPLE_DOCS, MAX_CHARS) are its labels, and every stretch is learnt twice, once
-with its neighbours hidden, so that shape counts by itself where no telling word
-is near. Spans of the field that touch a base span are dropped.
+could hold a secret as begin, inside or outside, from the token's shape, the words
+and marks next to it and features of the whole file, and Viterbi's algorithm gives
+the best tags. Such a place is a token of MIN_TOKEN characters with a digit, or
+one that follows a colon or an equals sign; a chain falls apart between these
+places, as everything far from them is outside.
+
+It is trained here. The base's matches are its labels: of the documents of
+MAX_CHARS characters at most, SAMPLE_DOCS with a base match and SAMPLE_DOCS with
+digits but without a match, by a hash of the text, of which SAMPLE_CHAINS chains
+each are learnt. A chain is learnt as it is, and with its neighbours hidden, so that
+shape counts by itself. As the base knows few forms, MADE more chains come from each
+place of a secret: in the words that stand there, with a secret of another alphabet,
+length and build after another naming word, or with something else that has digits
+(a date, a number, an address, a version) in its place. Documents without a match
+may hold secrets that the base misses; so a first field, which has not seen them,
+leaves out those of their chains in which it finds one. Spans of the field that
+touch a base span are dropped.
 
 Defined results: a null text counts as empty and has no spans; a field that saw
-no base match adds none; repeated rows give repeated rows and an empty table
-none; only the id and the text are read.
+no base match adds none; a text of any length is scanned whole, in time linear in
+it; of tag sequences that tie the one of lower tags counts; repeated rows give
+repeated rows and an empty table none; only the id and the text are read, whatever
+other columns are named.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import short_batches
+from rivulet.llm.common import in_parts
 
 #: The base patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "crf")
@@ -38,17 +50,41 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
 
-SAMPLE_DOCS, MAX_CHARS, SAMPLE_STRETCHES = 6000, 20_000, 2000
-MIN_TOKEN = 12
+#: The base in one expression, to tell documents with a match apart.
+ANY_BASE = (
+    r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"
+    r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
+)
+SAMPLE_DOCS, MAX_CHARS, SAMPLE_CHAINS = 2000, 20_000, 2000
+#: Chains made for a place of a secret, more of them in a sample of fewer texts; tokens of a chain learnt together.
+MADE, MADE_TEXTS, CHAIN = 6, 300, 12
+MIN_TOKEN = 6
 BEFORE, AFTER = 6, 3
-EPOCHS, RATE, RIDGE = 150, 0.1, 1e-3
+EPOCHS, RATE, RIDGE = 70, 0.1, 1e-3
 OUT, BEGIN, INSIDE = 0, 1, 2
-
-_DIGIT_TOKEN = re.compile(r"[A-Za-z0-9+/_.@-]*[0-9][A-Za-z0-9+/_.@-]*")
+#: Alphabets, naming words and what stands between word and secret, for made chains.
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+ALPHABETS = (
+    _DIGITS + "ABCDEF",
+    _DIGITS + _LOWER,
+    _DIGITS + _LOWER + _LOWER.upper(),
+    _DIGITS + _LOWER + _LOWER.upper() + "+/",
+    _DIGITS + _LOWER + _LOWER.upper() + "_-",
+    _DIGITS + _LOWER.upper(),
+)
+NAMES = (
+    "aws_secret_access_key", "pwd", "private_key", "auth_key", "Bearer", "credentials", "passphrase", "client_secret",
+    "access_token", "key", "auth", "signature", "",
+)
+BETWEEN = (" = ", ": ", "=", " ", ' = "', ': "', " => '", "='", " is ")
+
+# tried at the start of a token only, and never twice at one character
+_PLACE = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z+/_.@-]*+[0-9][A-Za-z0-9+/_.@-]*+|(?<=[:=])\s?[\"']?[A-Za-z0-9+/_.@-]++")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.@-]+|[^\sA-Za-z0-9+/_.@-]")
 _KEYWORD = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|bearer|private|signature")
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
+Chain = tuple[list[list[str]], list[bool], list[int]]  # feature names, whether a token may be a secret, tags
 
 
 def base_spans(text: str) -> list[Span]:
@@ -68,17 +104,21 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
 
 
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets around the tokens that may be secrets; stretches that meet are one."""
+    """Token offsets around the places that may be secrets; stretches that meet are one."""
     out: list[list[tuple[int, int]]] = []
     reach = -1
-    for m in _DIGIT_TOKEN.finditer(text):
-        if m.end() - m.start() < MIN_TOKEN:
+    for m in _PLACE.finditer(text):
+        start, end = m.span()
+        while start < end and text[start] in " \t\n\r\"'":
+            start += 1
+        if end - start < MIN_TOKEN:
             continue
-        low = max(m.start() - 80, 0)
-        before = [t.span() for t in _TOKEN.finditer(text, low, m.start())]
+        low = max(start - 80, 0)
+        before = [t.span() for t in _TOKEN.finditer(text, low, start)]
         if low and before and not text[low - 1].isspace():
             before = before[1:]  # the cut may have split it
-        after = [t.span() for t in _TOKEN.finditer(text, m.start(), min(m.end() + 60, len(text)))][: AFTER + 1]
+        after = [t.span() for t in _TOKEN.finditer(text, start, min(end + 60, len(text)))][: AFTER + 1]
+        after[-1] = _TOKEN.match(text, after[-1][0]).span()  # whole, beyond the 60 characters too
         tokens = [*before[-BEFORE:], *after]
         if tokens[0][0] < reach:
             out[-1] += [t for t in tokens if t[0] >= reach]
@@ -96,7 +136,7 @@ def _shape(token: str) -> list[str]:
     upper = sum(c.isupper() for c in token)
     kinds = "0" * (digits > 0) + "a" * (lower > 0) + "A" * (upper > 0) + "." * (digits + lower + upper < n)
     turns = sum(a.isalpha() != b.isalpha() for a, b in zip(token, token[1:], strict=False))
-    return [
+    names = [
         "kinds " + kinds,
         f"length {min(n // 4, 12)}",
         f"kinds {kinds} length {min(n // 8, 6)}",
@@ -107,12 +147,25 @@ def _shape(token: str) -> list[str]:
         "mail" if "@" in token else "no mail",
         f"dots {min(token.count('.'), 3)}",
     ]
+    if digits and n - digits and n >= 12:
+        names.append("long mixture")
+    return names
+
+
+def _word(token: str) -> str:
+    """A neighbour as a feature: marks and short words themselves, other tokens by what they are made of."""
+    if len(token) == 1:
+        return token
+    if len(token) <= 24 and token.replace("_", "").replace("-", "").isalpha():
+        return token.lower()
+    return "number" if token.isdigit() else "mixture"
 
 
 def features(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> list[list[str]]:
     """The feature names of each token. hide: without neighbours."""
     strings = [text[a:b] for a, b in tokens]
     keyed = [bool(_KEYWORD.search(s)) and len(s) < 24 for s in strings]
+    near = ["", "", *map(_word, strings), ""]
     file = [
         "file " + "".join("y" if mark in text else "n" for mark in ("=", "{", ";", "@")),
         f"file length {min(len(text).bit_length() // 3, 7)}",
@@ -121,16 +174,22 @@ def features(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> li
     for i, s in enumerate(strings):
         names = ["bias", *_shape(s), *file]
         if not hide:
-            names.append("key near" if any(keyed[max(i - 4, 0) : i]) else "no key near")
-            names.append("before " + (strings[i - 1] if i and len(strings[i - 1]) == 1 else "word"))
-            names.append("after " + (strings[i + 1] if i + 1 < len(strings) and len(strings[i + 1]) == 1 else "word"))
-            names.append("second before " + (strings[i - 2] if i > 1 and len(strings[i - 2]) == 1 else "word"))
+            close = any(keyed[max(i - 4, 0) : i])
+            names += [
+                "key near" if close else "no key near",
+                f"before {near[i + 1]}",
+                f"second before {near[i]}",
+                f"after {near[i + 3]}",
+            ]
+            if close and len(s) >= MIN_TOKEN:
+                names.append("key near a long token" + " with digits" * any(c.isdigit() for c in s))
         out.append(names)
     return out
 
 
 def possible(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
-    return [b - a >= MIN_TOKEN and any(c.isdigit() for c in text[a:b]) for a, b in tokens]
+    """Words of fewer characters are no secrets; marks may go on with one."""
+    return [b - a >= MIN_TOKEN or text[a:b] == "=" for a, b in tokens]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -145,15 +204,12 @@ class Field:
         self.index, self.weights, self.moves = index, weights, moves
 
     @classmethod
-    def train(cls, chains: list[tuple[list[list[str]], list[bool], list[int]]]) -> Field | None:
-        """chains: feature names, whether a token may be a secret, tags. None without secrets."""
+    def train(cls, chains: list[Chain], epochs: int = EPOCHS) -> Field | None:
+        """None for chains without secrets."""
         if not any(any(tags) for _, _, tags in chains):
             return None
-        index: dict[str, int] = {"": 0}
-        for names, _, _ in chains:
-            for each in names:
-                for name in each:
-                    index.setdefault(name, len(index))
+        seen_names = Counter(name for names, _, _ in chains for each in names for name in each)
+        index = {"": 0} | {name: k for k, name in enumerate((x for x, c in seen_names.items() if c > 1), 1)}
         n, t = len(chains), max(len(tags) for _, _, tags in chains)
         width = max(len(each) for names, _, _ in chains for each in names)
         x = np.zeros((n, t, width), dtype=np.int64)
@@ -162,17 +218,18 @@ class Field:
         real = np.zeros((n, t), dtype=bool)
         for k, (names, may, tags) in enumerate(chains):
             for i, each in enumerate(names):
-                x[k, i, : len(each)] = [index[name] for name in each]
+                x[k, i, : len(each)] = [index.get(name, 0) for name in each]
                 y[k, i], barred[k, i], real[k, i] = tags[i], not may[i], True
         gold = np.eye(3)[y] * real[..., None]
+        flat = x[real].ravel()
         w, a = np.zeros((len(index), 3)), np.zeros((3, 3))
         seen = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)]
-        for step in range(1, EPOCHS + 1):
-            unary, pair = cls._expected(w, a, x, barred, real)
-            gw = np.zeros_like(w)
-            diff = gold - unary
-            for f in range(width):
-                np.add.at(gw, x[:, :, f], diff)
+        for step in range(1, epochs + 1):
+            s = np.zeros((n, t, 3))
+            s[real] = w[flat].reshape(-1, width, 3).sum(axis=1)
+            unary, pair = cls._expected(s, a, barred, real)
+            diff = np.repeat((gold - unary)[real], width, axis=0)
+            gw = np.stack([np.bincount(flat, diff[:, k], len(index)) for k in range(3)], axis=1)
             gw[0] = 0
             ga = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum((0, 1)) - pair
             for p, g, m, v in ((w, gw / n - RIDGE * w, seen[0], seen[1]), (a, ga / n - RIDGE * a, seen[2], seen[3])):
@@ -181,12 +238,6 @@ class Field:
                 p += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return cls(index, w, a)
 
-    @staticmethod
-    def _scores(w: np.ndarray, x: np.ndarray, barred: np.ndarray) -> np.ndarray:
-        s = w[x].sum(axis=-2)
-        s[barred, 1:] = -1e4
-        return s
-
     @staticmethod
     def _allowed(a: np.ndarray) -> np.ndarray:
         a = a.copy()
@@ -194,9 +245,10 @@ class Field:
         return a
 
     @classmethod
-    def _expected(cls, w, a, x, barred, real) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tags of each token and expected transitions, by forward and backward sums."""
-        s, a = cls._scores(w, x, barred), cls._allowed(a)
+    def _expected(cls, s, a, barred, real) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tags of each token and expected transitions for scores s, by forward and backward sums."""
+        s[barred, 1:] = -1e4
+        a = cls._allowed(a)
         s[:, 0, INSIDE] = -1e4
         t = s.shape[1]
         f, b = [s[:, 0]], [np.zeros_like(s[:, 0])]
@@ -241,41 +293,99 @@ class Field:
         return out
 
 
-def chains(text: str) -> Iterator[tuple[list[list[str]], list[bool], list[int]]]:
+def _tagged(text: str, tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> tuple[list[bool], list[int]]:
+    may, tags, of = possible(text, tokens), [], None
+    for (a, b), could in zip(tokens, may, strict=True):
+        part = next((p for p in parts if a < p[1] and p[0] < b), None) if could else None
+        tags.append(OUT if part is None else INSIDE if part == of else BEGIN)
+        of = part
+    return may, tags
+
+
+def _drawn(rng: np.random.Generator, alphabet: str, low: int, high: int) -> str:
+    return "".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(low, high)))
+
+
+def _secret(rng: np.random.Generator) -> str:
+    alphabet = ALPHABETS[rng.integers(len(ALPHABETS))]
+    build = rng.integers(6)
+    if build == 0:  # a word with digits, as people choose it
+        return _drawn(rng, _LOWER, 5, 9) + _drawn(rng, _DIGITS, 2, 5) + _drawn(rng, ALPHABETS[2], 0, 5)
+    if build == 1:  # parts with dots
+        return ".".join(_drawn(rng, ALPHABETS[4], 16, 60) for _ in range(3))
+    if build == 2:  # a maker's prefix
+        return _drawn(rng, _LOWER + _LOWER.upper(), 2, 5) + "_-"[rng.integers(2) :][:1] + _drawn(rng, ALPHABETS[2], 20, 44)
+    return _drawn(rng, alphabet, 20, 64) + "=" * int(build == 3)
+
+
+def _other(rng: np.random.Generator) -> str:
+    n = lambda low, high: str(rng.integers(low, high))
+    word = lambda: _drawn(rng, _LOWER, 3, 12)
+    return (
+        lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}:{n(10, 60)}:{n(10, 60)}Z",
+        lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 90)}-{word()}{n(1, 9)}",
+        lambda: f"https://www.{word()}.com/{n(2000, 2030)}/{word()}-{word()}{n(1, 99)}.html",
+        lambda: f"{n(900, 999)}-{n(1, 9)}-{n(10, 99)}-{n(100000, 999999)}-{n(0, 9)}",
+        lambda: f"{word()}.{n(10, 99)}@{word()}{n(0, 9)}.example.com",
+        lambda: f"{word()}-{word()}-{word()}",
+        lambda: f"{n(100000, 999999)}-{word()[:1].upper()}{n(1, 9)}",
+        lambda: n(10**9, 10**16),
+        lambda: ".".join(n(0, 256) for _ in range(4)),
+        lambda: f"+{n(1, 99)} ({n(100, 999)}) {n(100, 999)}-{n(1000, 9999)}",
+    )[rng.integers(10)]()
+
+
+def _chain(text: str, tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> Iterator[Chain]:
+    """One chain with its neighbours and one without them, cut to CHAIN tokens."""
+    may, tags = _tagged(text, tokens, parts)
+    for hide in (False, True):
+        names = features(text, tokens, hide)
+        for at in range(0, len(tokens), CHAIN):
+            cut = tags[at : at + CHAIN]
+            yield names[at : at + CHAIN], may[at : at + CHAIN], [BEGIN if cut[0] else OUT, *cut[1:]]
+
+
+def chains(text: str, made: int = MADE) -> Iterator[Chain]:
+    """What is learnt from a text: its own chains, and the ones made in place of its secrets."""
     parts = secret_parts(text)
+    rng = np.random.default_rng(len(text))
+    pick = lambda among: among[rng.integers(len(among))]
     for tokens in stretches(text):
-        may, tags, of = possible(text, tokens), [], None
-        for (a, b), could in zip(tokens, may, strict=True):
-            part = next((p for p in parts if a < p[1] and p[0] < b), None) if could else None
-            tags.append(OUT if part is None else INSIDE if part == of else BEGIN)
-            of = part
-        yield features(text, tokens), may, tags
-        yield features(text, tokens, hide=True), may, tags
+        yield from _chain(text, tokens, parts)
+        for start, end in [p for p in parts if any(a <= p[0] < b for a, b in tokens)][:1]:
+            left = text[max(start - 120, 0) : start].split()[:-3]
+            for k in range(made):
+                name = pick(NAMES)
+                lead = " ".join(left) + (f" {name}{pick(BETWEEN)}" if name else " ")
+                value = _other(rng) if k % 3 == 2 else _secret(rng)
+                whole = lead + value + text[end : end + 60]
+                span = [] if k % 3 == 2 else [(len(lead), len(lead) + len(value))]
+                for around in stretches(whole):
+                    yield from _chain(whole, around, span)
 
 
 def fit(docs: DataFrame) -> Field | None:
     """A field trained on the base's matches in a bounded sample of docs (doc_id, text)."""
-    chosen = (
-        docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.xxhash64("doc_id", F.lit("secrets")).alias("order"))
-        .orderBy("order", "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("doc_id")
-        .distinct()
-    )
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.length("text") <= MAX_CHARS)
-    telling = texts.where(F.col("text").rlike("[A-Za-z0-9+/_.@-]{12}")).where(F.col("text").rlike("[0-9]"))
-    ranked = telling.withColumn("order", F.xxhash64("text")).orderBy("order").limit(SAMPLE_STRETCHES)
-    found = [c for r in ranked.collect() for c in chains(r["text"])]
-    return Field.train([c for c in found if len(c[2]) <= 60][: 4 * SAMPLE_STRETCHES])
+    short = docs.select("text").where((F.length("text") <= MAX_CHARS) & F.col("text").rlike("[0-9]"))
+    found: list[list[Chain]] = []
+    for telling in (F.col("text").rlike(ANY_BASE), ~F.col("text").rlike(ANY_BASE)):
+        texts = [r["text"] for r in short.where(telling).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()]
+        made = max(MADE, MADE_TEXTS * MADE // max(len(texts), 1))
+        found.append(list(islice((c for text in texts for c in chains(text, made)), SAMPLE_CHAINS)))
+    first = Field.train(found[0], EPOCHS // 2)
+    if first is None:
+        return None
+    return Field.train(found[0] + [c for c in found[1] if not any(first.decode(*c[:2]))], EPOCHS)
 
 
 def scan(text: str, field: Field | None) -> list[Span]:
     found = base_spans(text)
     if field is not None:
-        added = [
-            (a, 3, b) for a, b in field.spans(text) if not any(a < e and s < b for s, _, e in found)
-        ]
+        ends = [e for _, _, e in found]
+        top = list(accumulate(ends, max))
+        # of the base spans that begin before a span's end, the one that reaches furthest
+        before = lambda b: bisect_left(found, (b,))
+        added = [(a, 3, b) for a, b in field.spans(text) if not before(b) or top[before(b) - 1] <= a]
         found = sorted([*found, *added])
     return found
 
@@ -287,7 +397,7 @@ def secret_spans(docs: DataFrame, text: Column) -> Column:
     @F.pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         field = sent.value
-        for texts in batches:
+        for texts in in_parts(batches):
             rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t or "", field)] for t in texts]
             yield pd.Series(rows, dtype=object)
 
@@ -296,7 +406,6 @@ def secret_spans(docs: DataFrame, text: Column) -> Column:
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans for every row of docs."""
-    short_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     return rows.select("doc_id", secret_spans(rows, F.col("text")).alias("spans"))
 
@@ -314,13 +423,12 @@ def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs with every secret replaced by [SECRET] and n_chars to match; columns as they were."""
-    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text")))
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         field = sent.value
-        for texts in batches:
+        for texts in in_parts(batches):
             found = ([{"start": s, "end": e} for s, _, e in scan(t or "", field)] for t in texts)
             yield pd.Series([redact(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
 

@@ -15,10 +15,13 @@ fingerprint. The same guarantee is had from fewer rows, in two steps:
 2. Crowded keys. All pairs of a key with many fingerprints would grow with its
    square. There a task walks from fingerprint to fingerprint, each time to those
    not yet reached within 3 bits, and hands on the tree of its steps: a link less
-   than it has fingerprints, and the same components. A key fixes 40 bits, so
-   that it holds 2^24 fingerprints of 8 bytes at most; beyond WALK_UP_TO the
-   walk looks up the variants of a fingerprint in the sorted key instead of
-   comparing it with all, so that its time is linear in the key.
+   than it has fingerprints, and the same components. A key with more than SPLIT_FROM
+   fingerprints is split first: of four interleaved quarters of the bits, two
+   fingerprints within 3 bits have one in common, so each fingerprint goes to the
+   four keys made of the key and a quarter. A key leaves about 24 bits open, 6 in a
+   quarter, so that none of the four holds more than some 2^18 fingerprints; beyond
+   WALK_UP_TO the walk looks up the variants of a fingerprint in the sorted key
+   instead of comparing it with all, so that its time is linear in the key.
 
 Groups are the connected components of the links, by repeated min-label
 hooking and pointer jumping on tables of distinct fingerprints. Equal
@@ -26,8 +29,10 @@ fingerprints never expand: they are one node.
 
 Defined results: a null text counts as empty; texts without words have the
 fingerprint zero and link like any other; a null doc_id is never the smallest
-id of a group; repeated rows give repeated rows and an empty table none; only
-the id and the text are read.
+id of a group; a text of any length is hashed whole, BLOCK shingles at a time; of
+ids that tie for the smallest the group has one value; repeated rows give repeated
+rows and an empty table none; only the id and the text are read, whatever other
+columns are named.
 
 keep_first, the pipeline's stage, has links of its own: texts whose sets of
 five-word shingles have a Jaccard similarity of ALIKE or more. A text of fewer
@@ -35,11 +40,15 @@ words is its own shingle. Texts meet in one of BANDS keys of BAND_ROWS MinHash
 values each, where a pair of similarity 0.8 is missed with a chance of
 (1 - 0.8^4)^32 = 5e-8 and a more alike one with less, and every link is verified
 on the whole sets. Texts of equal sets are one node; crowded keys are walked to
-a spanning tree as above, with the sets of the key's texts in memory.
+a spanning tree as above, in blocks of about BLOCK_SHINGLES shingles, which bounds
+a task's memory. A key of several blocks needs links between them too: its texts
+are compared with one of them, and where that leaves the key in several components
+every two blocks of it are walked together, so that no link is lost.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -50,7 +59,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import checkpointed, short_batches
+from rivulet.llm.common import checkpointed, in_parts
 
 RADIUS = 3
 SHINGLE = 3
@@ -59,16 +68,20 @@ SEED = 42
 #: Shingles of one text that are hashed before their bits are added up.
 BLOCK = 65536
 
-#: Keys that hold more fingerprints than this are walked; than that, by looking up variants.
+#: Keys that hold more fingerprints than this are walked; than that, by looking up variants; than that, are split.
 PAIRS_UP_TO = 8
 WALK_UP_TO = 20_000
+SPLIT_FROM = 1 << 16
+#: Every fourth bit, from each of the first four.
+QUARTERS = [0x1111111111111111, 0x2222222222222222, 0x4444444444444444, 0x8888888888888888 - (1 << 64)]
 
 #: The pipeline's stage: words in a shingle, the least similarity of a link, MinHash keys and values in a key.
 STAGE_SHINGLE = 5
 ALIKE = 0.8
 BANDS, BAND_ROWS = 32, 4
-#: Shingles whose MinHash values are taken at once.
+#: Shingles whose MinHash values are taken at once, and those in a block of a crowded key.
 SKETCH_BLOCK = 1024
+BLOCK_SHINGLES = 4_000_000
 _FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -90,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("long")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).select(
@@ -150,9 +163,9 @@ def _near_variants(fps: np.ndarray, masks: np.ndarray, left: np.ndarray, at: int
     return place[left[place]]
 
 
-def spanning_tree(fps: np.ndarray, walk_up_to: int = WALK_UP_TO) -> list[tuple[int, int]]:
-    """(place, place) in distinct, sorted fps: links within RADIUS that reach all that such links reach."""
-    steps: list[tuple[int, int]] = []
+def spanning_tree(fps: np.ndarray, walk_up_to: int = WALK_UP_TO) -> np.ndarray:
+    """Rows (place, place) in distinct, sorted fps: links within RADIUS that reach all that such links reach."""
+    from_, to = array("q"), array("q")
     few = len(fps) <= walk_up_to
     if few:
         left, masks = np.arange(len(fps)), np.zeros(0, dtype=np.uint64)
@@ -181,15 +194,16 @@ def spanning_tree(fps: np.ndarray, walk_up_to: int = WALK_UP_TO) -> list[tuple[i
             else:
                 found = _near_variants(fps, masks, left, at)
                 left[found] = False
-            steps += [(at, int(f)) for f in found]
-            waiting += found.tolist()
-    return steps
+            reached = found.tolist()
+            from_.extend([at] * len(reached))
+            to.extend(reached)
+            waiting += reached
+    return np.column_stack([np.frombuffer(x, dtype=np.int64) for x in (from_, to)])
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:
     fps = np.unique(rows["fp"].to_numpy().astype(np.int64).view(np.uint64))
-    steps = np.array(spanning_tree(fps), dtype=np.int64).reshape(-1, 2)
-    ends = fps.view(np.int64)[steps]
+    ends = fps.view(np.int64)[spanning_tree(fps)]
     return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
@@ -219,7 +233,10 @@ def links(fps: DataFrame) -> DataFrame:
     met = checkpointed(met.select("key", "fp", "n"))
 
     paired = _pairs(met, "fp")
-    walked = met.where(F.col("n") > PAIRS_UP_TO).groupBy("key").applyInPandas(_walk, "a long, b long")
+    crowds = met.where(F.col("n").between(PAIRS_UP_TO + 1, SPLIT_FROM)).select("key", "fp")
+    quarters = F.array(*[F.xxhash64("key", F.lit(q), F.col("fp").bitwiseAND(F.lit(m))) for q, m in enumerate(QUARTERS)])
+    split = met.where(F.col("n") > SPLIT_FROM).select(F.explode(quarters).alias("key"), "fp")
+    walked = crowds.unionByName(split).groupBy("key").applyInPandas(_walk, "a long, b long")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     return paired.unionByName(walked).distinct().where(near)
 
@@ -255,7 +272,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row of docs."""
-    short_batches(docs.sparkSession)
     marked = checkpointed(fingerprints(docs, id_col, text_col))
     first = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = components(links(first.select("fp")))
@@ -328,19 +344,53 @@ def _walk_alike(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b), those whose sets have a similarity of ALIKE or more."""
+    shared = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
+        .where(shared / (F.size("x") + F.size("y") - shared) >= ALIKE)
+        .select("a", "b")
+    )
+
+
+def _crowded_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within crowded keys (key, node, size). See the module's text for keys of several blocks."""
+    whole = Window.partitionBy("key")
+    blocks = F.ceil(F.sum("size").over(whole) / BLOCK_SHINGLES).cast("int")
+    dealt = crowds.withColumn("blocks", blocks).withColumn("hub", F.min("node").over(whole))
+    dealt = checkpointed(dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    walk = lambda df, keys: df.join(sets, "node").groupBy(*keys).applyInPandas(_walk_alike, "a long, b long")
+    inside = walk(dealt.select("key", "block", "node"), ["key", "block"])
+    wide = dealt.where("blocks > 1")
+    if not wide.limit(1).count():
+        return inside
+    stars = wide.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    known = checkpointed(inside.unionByName(_verified(stars, sets)).distinct())
+    labelled = wide.join(components(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = labelled.withColumn("apart", F.min("root").over(whole) != F.max("root").over(whole)).where("apart")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))
+    both = parted.select("key", "node", "block", F.explode(others).alias("other")).select(
+        "key", "node", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    return known.unionByName(walk(both, ["key", "low", "high"]))
+
+
 def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similarity ALIKE or more.
 
-    first: node, t (the hash of one of its texts) and keys; rows: text.
+    first: node, t (the hash of one of its texts), size (of its set) and keys; rows: text.
     """
 
     @F.pandas_udf("array<long>")
     def sets_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
     parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = first.select("node", "keys").repartition(parts, "node").select(F.explode("keys").alias("key"), "node")
+    spread = first.select("node", "size", "keys").repartition(parts, "node")
+    spread = spread.select(F.explode("keys").alias("key"), "node", "size")
     met = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     met = checkpointed(met)
     # only texts that met another give their sets
@@ -348,54 +398,40 @@ def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
     texts = rows.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t").select("node", sets_of("text").alias("found"))
     sets = checkpointed(texts.groupBy("node").agg(F.first("found").alias("found")))
 
-    walked = (
-        met.where(F.col("n") > PAIRS_UP_TO).join(sets, "node").groupBy("key").applyInPandas(_walk_alike, "a long, b long")
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    paired = (
-        _pairs(met, "node")
-        .distinct()
-        .join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-        .where(shared / (F.size("x") + F.size("y") - shared) >= ALIKE)
-        .select("a", "b")
-    )
-    return paired.unionByName(walked).distinct()
+    crowded = _crowded_links(met.where(F.col("n") > PAIRS_UP_TO).select("key", "node", "size"), sets)
+    return _verified(_pairs(met, "node").distinct(), sets).unionByName(crowded).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id (the smallest id of its near copies) for every row of docs."""
-    short_batches(docs.sparkSession)
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t): of every group of near copies the row with the smallest id, by the hash t of its text."""
 
-    @F.pandas_udf("node long, keys array<long>")
+    @F.pandas_udf("node long, size long, keys array<long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in in_parts(batches):
             found = [shingle_set(t) for t in texts]
             nodes = np.array([xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "keys": [band_keys(f) for f in found]})
+            yield pd.DataFrame({"node": nodes, "size": [len(f) for f in found], "keys": [band_keys(f) for f in found]})
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    marked = rows.select("doc_id", F.xxhash64("text").alias("t"), sketched("text").alias("s"))
-    marked = checkpointed(marked.select("doc_id", "t", "s.node", "s.keys"))
-    first = marked.groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min("t").alias("t"), F.first("keys").alias("keys")
-    )
-    first = checkpointed(first)
-    groups = components(alike_links(first, rows))
-    smallest = (
-        groups.join(first, "node").groupBy("root").agg(F.min("first").alias("least")).join(groups, "root").select("node", "least")
+    marked = rows.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row"), sketched("text").alias("s"))
+    first = marked.groupBy("s.node").agg(
+        F.min("row").alias("row"), F.first("s.size").alias("size"), F.first("s.keys").alias("keys")
     )
-    named = first.join(smallest, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return marked.select("doc_id", "node").join(checkpointed(named), "node").select("doc_id", "component_id")
+    first = checkpointed(first.select("node", "row", F.col("row.t").alias("t"), "size", "keys"))
+    groups = components(alike_links(first.select("node", "t", "size", "keys"), rows))
+    named = first.select("node", "row").join(groups, "node", "left")
+    return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; one row of equal ids.
+    """Of every group of near copies the row of docs with the smallest id; one of equal rows.
 
-    A row without an id cannot be told from its copies by it and stays.
+    Rows are told apart by id and text: of several texts with one id each is judged by itself. A row without
+    an id cannot be told from its copies by it and stays.
     """
     named = docs.where(docs[id_col].isNotNull())
-    found = near_copies(named, id_col, text_col)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = named.join(kept, named[id_col] == kept["doc_id"], "left_semi").dropDuplicates([id_col])
+    kept = representatives(named, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("t").alias("__kept"))
+    rows = named.withColumn("__t", F.xxhash64(named[text_col]))
+    same = (rows[id_col] == F.col("__id")) & (rows["__t"] == F.col("__kept"))
+    rows = rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__t"]).drop("__t")
     return rows.unionByName(docs.where(docs[id_col].isNull()))

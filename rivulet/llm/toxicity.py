@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import labelled_sample, remainder, short_batches
+from rivulet.llm.common import in_parts, labelled_sample, remainder
 
 FOLDS, HELD_OUT = 4, 2
 PER_CLASS, MAX_CHARS = 1500, 20_000
@@ -117,7 +117,7 @@ def _dictionary(size: int, samples: list[bytes], **segments: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, samples, **segments).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
@@ -127,7 +127,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     # each sample counts several times, since the trainer asks for many times the dictionary's size
     return (
         _dictionary(TOXIC_BYTES, [s for s in samples if s] * 3, **WORDY),
-        _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)][:40_000]),
+        _dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)]),
     )
 
 
@@ -209,7 +209,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: Column) -> Column:
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
         savings = Savings(m["toxic"], m["ordinary"])
-        for texts in batches:
+        for texts in in_parts(batches):
             x = np.array([savings.features(t) for t in texts]).reshape(len(texts), len(m["mean"]))
             z = ((x - m["mean"]) / m["spread"]) @ m["weights"][:-1] + m["weights"][-1]
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -219,7 +219,6 @@ def scored(docs: DataFrame, labels: DataFrame, text: Column) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs."""
-    short_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     judged = rows.select("doc_id", scored(rows, labels, F.col("text")).alias("score"))
     return judged.select(
@@ -232,5 +231,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score below CUT_OFF, with docs' columns."""
-    short_batches(docs.sparkSession)
     return docs.where(scored(docs, labels, docs["text"]) < CUT_OFF)

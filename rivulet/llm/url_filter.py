@@ -1,14 +1,19 @@
 """URL filters: a broadcast trie over reversed host labels, then path segments.
 
 Rules form one trie: the labels of the rule's host from the right, then the
-whole segments of its path, then the rest of its last segment as a prefix. A
-url is walked once and the deepest rule that fits decides, allow or block. The
-rules are a parameter of bounded size (MAX_RULES), which is what is broadcast.
+whole segments of its path, then the rest of its last segment, which is a prefix. A
+url is walked once and the longest rule that fits decides, allow or block. A
+node keeps the prefixes that end below it in a dictionary, with their lengths
+apart, so that a lookup costs as many steps as there are lengths, whatever the
+number of rules. The rules are a parameter of bounded size (MAX_RULES), which is
+what is broadcast.
 
 Defined results: a url that is null or has no :// has an empty host and path
 and no rule; a url that no rule fits gets the default verdict; of two rules for
-one host and path, the later one counts; repeated rows give repeated rows and
-an empty table none; only the id and the url are read.
+one host and path, the later one counts, of two of one length the one with more
+of the host; a url of any length is walked whole; repeated rows give repeated rows
+and an empty table none; only the id and the url are read, whatever other columns
+are named.
 """
 
 from __future__ import annotations
@@ -33,44 +38,56 @@ DEFAULT = "allow"
 MAX_RULES = 1_000_000
 
 
-def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
-    """Nested dicts. A node's "ends" lists (prefix of the next segment, rule, verdict)."""
-    top: dict = {"host": {}, "path": {}, "ends": []}
+class Node:
+    """hosts and paths: the children by label and by segment; ends: prefix -> (rule, verdict); lengths: of the prefixes."""
+
+    __slots__ = ("hosts", "paths", "ends", "lengths")
+
+    def __init__(self) -> None:
+        self.hosts: dict[str, Node] = {}
+        self.paths: dict[str, Node] = {}
+        self.ends: dict[str, tuple[str, str]] = {}
+        self.lengths: set[int] = set()
+
+
+def build_trie(rules: Iterable[tuple[str, str]]) -> Node:
+    top = Node()
     for verdict, rule in rules:
         if verdict not in ("allow", "block"):
             raise ValueError(f"a verdict is allow or block, not {verdict!r}")
         host, slash, path = rule.partition("/")
         node = top
         for label in reversed(host.lower().split(".")):
-            node = node["host"].setdefault(label, {"host": {}, "path": {}, "ends": []})
+            node = node.hosts.setdefault(label, Node())
+        prefix = ""
         if slash:
-            *whole, last = path.split("/")
+            *whole, prefix = path.split("/")
             for segment in ["", *whole]:
-                node = node["path"].setdefault(segment, {"host": {}, "path": {}, "ends": []})
-        else:
-            last = ""
-        node["ends"] = [e for e in node["ends"] if e[1] != rule] + [(last, rule, verdict)]
-        node["ends"].sort(key=lambda e: len(e[0]))
+                node = node.paths.setdefault(segment, Node())
+        node.ends[prefix] = (rule, verdict)
+        node.lengths.add(len(prefix))
     return top
 
 
-def longest(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
-    """The rule that fits with the most host labels, then the longest path, and its verdict."""
+def longest(trie: Node, host: str, path: str) -> tuple[str | None, str | None]:
+    """The longest rule that fits, and its verdict."""
     best: tuple[str | None, str | None] = (None, None)
+    size = -1
     segments = path.split("/")
-    node = trie
+    node: Node | None = trie
     for label in reversed(host.split(".")):
-        node = node["host"].get(label)
+        node = node.hosts.get(label)
         if node is None:
             break
         below = node
         for depth, segment in enumerate(segments):
-            for prefix, rule, verdict in below["ends"]:
-                if segment.startswith(prefix):
-                    best = rule, verdict
-            if depth + 1 == len(segments) or segment not in below["path"]:
+            for n in below.lengths:
+                found = below.ends.get(segment[:n]) if n <= len(segment) else None
+                if found and len(found[0]) >= size:
+                    best, size = found, len(found[0])
+            if depth + 1 == len(segments) or segment not in below.paths:
                 break
-            below = below["path"][segment]
+            below = below.paths[segment]
     return best
 
 
