@@ -4,21 +4,28 @@ A window over the key alone would give a frequent key to one task. So the order
 is cut into chunks: a window over (key, chunk) aggregates within the chunk, and
 what the key's earlier chunks add up to, one row for each (key, chunk), is
 joined to it. The largest task holds one chunk of one key.
+
+Chunks are even in the arrival number, of WIDTH records on average but CHUNKS of
+them at most, whatever numbers the arrivals have: their count, first and last come
+from one aggregate over that column. So the window over a key's chunks, and over
+all chunks where there is no key, has CHUNKS rows at most.
+
+Keys become columns without nulls before the window. The join is on these and the
+chunk, as the window is, so that the records themselves are shuffled and sorted once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
+from pyspark.sql.window import Window, WindowSpec
 
-#: Places of the arrival order in a chunk.
-WIDTH = 1 << 18
+#: Records in a chunk on average, and chunks at most.
+WIDTH, CHUNKS = 1 << 18, 1 << 16
+_CHUNK = "__chunk"
 
 #: kind -> (aggregate, merge of two partial results, either of which may be null)
 _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
@@ -28,32 +35,54 @@ _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
 }
 
 
+def _chunked(df: DataFrame, keys: list[str], seq: str, width: int | None) -> tuple[DataFrame, list[str]]:
+    """df with its chunk and with keys that are never null, and the names of those."""
+    if width is None:
+        numbers = df.agg(F.min(seq).alias("low"), F.max(seq).alias("high"), F.count(seq).alias("n"))
+        span = F.col("high") - F.col("low") + 1.0
+        chunks = F.least(F.ceil(F.col("n") / WIDTH), F.lit(CHUNKS))
+        cut = numbers.select(F.struct("low", (span / F.greatest(chunks, F.lit(1))).alias("step")).alias("c")).scalar()
+        chunk = F.floor((F.col(seq) - cut["low"]) / cut["step"])
+    else:
+        chunk = F.floor(F.col(seq) / width)
+    plain, nulls = {}, []
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        if isinstance(kind, T.NumericType | T.StringType):
+            plain[f"__k{i}"] = F.coalesce(F.col(key), F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind))
+            nulls.append(F.col(key).isNull().cast("int") * (1 << i))
+        else:
+            plain[f"__k{i}"] = F.struct(F.col(key))
+    if nulls:
+        plain["__nulls"] = sum(nulls[1:], nulls[0])
+    plain[_CHUNK] = F.coalesce(chunk, F.lit(-1))
+    return df.select("*", *[c.alias(n) for n, c in plain.items()]), list(plain)
+
+
+def _upto(keys: list[str], seq: str, inclusive: bool = True) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     seq: str,
     aggregates: dict[str, tuple[str, Column]],
-    width: int = WIDTH,
+    width: int | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
     """df with a column for each name -> (kind, value): the aggregate over the key's rows up to this one.
 
     seq numbers the arrivals, without ties within a key. inclusive False leaves the row itself out.
-    A value may be a struct, which min and max compare field by field.
+    A value may be a struct, which min and max compare field by field. width: numbers in a chunk, if not measured.
     """
-    chunk = "__chunk"
-    rows = df.withColumn(chunk, F.floor(F.col(seq) / width))
-    inside = Window.partitionBy(*keys, chunk).orderBy(seq)
-    inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    rows, plain = _chunked(df, keys, seq, width)
+    inside = _upto(plain, seq, inclusive)
+    earlier = _upto([k for k in plain if k != _CHUNK], _CHUNK, inclusive=False)
     local = rows.select("*", *[_KINDS[kind][0](value).over(inside).alias(n) for n, (kind, value) in aggregates.items()])
-    sums = rows.groupBy(*keys, chunk).agg(*[_KINDS[kind][0](value).alias(n) for n, (kind, value) in aggregates.items()])
-    before = sums.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, chunk])],
-        *[_KINDS[kind][0](n).over(earlier).alias(f"__{n}") for n, (kind, _) in aggregates.items()],
-    )
-    same = reduce(and_, [local[k].eqNullSafe(before[f"__k{i}"]) for i, k in enumerate([*keys, chunk])])
-    return local.join(before, same).select(
+    sums = rows.groupBy(*plain).agg(*[_KINDS[kind][0](value).alias(n) for n, (kind, value) in aggregates.items()])
+    before = sums.select(*plain, *[_KINDS[kind][0](n).over(earlier).alias(f"__{n}") for n, (kind, _) in aggregates.items()])
+    return local.join(before, plain).select(
         *df.columns,
         *[_KINDS[kind][1](F.col(f"__{n}"), F.col(n)).alias(n) for n, (kind, _) in aggregates.items()],
     )
@@ -64,27 +93,40 @@ def first_of(value: str, seq: str) -> tuple[str, Column]:
     return "min", F.struct(F.col(seq).alias("at"), F.col(value).alias("v"))
 
 
-def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: int = WIDTH) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: int | None = None) -> DataFrame:
     """df with prev_<value> of the key's record before this one, null for its first."""
     last = F.struct(F.col(seq).alias("at"), *[F.col(v) for v in values])
     got = running(df, keys, seq, {"__last": ("max", last)}, width, inclusive=False)
     return got.select(*df.columns, *[F.col(f"__last.{v}").alias(f"prev_{v}") for v in values])
 
 
-def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, width: int = WIDTH) -> DataFrame:
-    return running(df, keys, seq, {name: ("sum", F.col(value))}, width)
+def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, width: int | None = None,
+                others: list[str] | None = None) -> DataFrame:
+    """The sum of one field; the others, if given, stay those of the key's first record, as first_<field>."""
+    sums = {name: ("sum", F.col(value))}
+    if not others:
+        return running(df, keys, seq, sums, width)
+    got = running(df, keys, seq, sums | {"__first": ("min", _record(seq, others))}, width)
+    return got.select(*df.columns, name, *_first(others))
+
+
+def _record(seq: str, others: list[str]) -> Column:
+    return F.struct(F.col(seq).alias("at"), *[F.col(c) for c in others])
+
+
+def _first(others: list[str]) -> list[Column]:
+    return [F.col(f"__first.{c}").alias(f"first_{c}") for c in others]
 
 
 def running_extreme(df: DataFrame, keys: list[str], seq: str, value: str, kind: str, others: list[str],
-                    width: int = WIDTH) -> DataFrame:
+                    width: int | None = None) -> DataFrame:
     """max or min of one field; the other fields stay those of the key's first record."""
-    first = F.struct(F.col(seq).alias("at"), *[F.col(c) for c in others])
-    got = running(df, keys, seq, {f"{kind}_{value}": (kind, F.col(value)), "__first": ("min", first)}, width)
-    return got.select(*df.columns, f"{kind}_{value}", *[F.col(f"__first.{c}").alias(f"first_{c}") for c in others])
+    extreme = {f"{kind}_{value}": (kind, F.col(value)), "__first": ("min", _record(seq, others))}
+    return running(df, keys, seq, extreme, width).select(*df.columns, f"{kind}_{value}", *_first(others))
 
 
 def running_extreme_by(df: DataFrame, keys: list[str], seq: str, value: str, kind: str, others: list[str],
-                       width: int = WIDTH) -> DataFrame:
+                       width: int | None = None) -> DataFrame:
     """The whole record that has the highest or lowest field; of equal ones the first."""
     tie = -F.col(seq) if kind == "max" else F.col(seq)
     record = F.struct(F.col(value).alias("by"), tie.alias("tie"), *[F.col(c) for c in others])
@@ -94,48 +136,42 @@ def running_extreme_by(df: DataFrame, keys: list[str], seq: str, value: str, kin
     )
 
 
-def running_reduce(df: DataFrame, keys: list[str], seq: str, value: str, width: int = WIDTH) -> DataFrame:
+def running_reduce(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
     """The reducer (key, latest time, summed value): the first record of a key passes unchanged."""
-    return running_sum(df, keys, seq, value, f"sum_{value}", width)
+    return running_sum(df, keys, seq, value, f"sum_{value}", width=width)
 
 
-def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "rn", width: int = WIDTH) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "rn", width: int | None = None) -> DataFrame:
     """row_number by key."""
     return running(df, keys, seq, {name: ("sum", F.lit(1).cast("long"))}, width)
 
 
-def running_top(df: DataFrame, key: str, seq: str, value: str, n: int = 3, width: int = WIDTH) -> DataFrame:
-    """After each record, the key's n highest values so far, highest first, as "a,b,c"."""
-    best = lambda xs: sorted((int(x) for x in xs), reverse=True)[:n]
-    rows = df.select(F.col(key).alias("k"), F.col(seq).alias("s"), F.col(value).alias("v")).withColumn(
-        "chunk", F.floor(F.col("s") / width)
-    )
+def _tops(df: DataFrame, value: str, n: int, upto: WindowSpec, before: WindowSpec) -> DataFrame:
+    """df with __top1 to __topn: the highest values so far, highest first.
 
-    def of_chunk(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [g["k"].iloc[0]], "chunk": [g["chunk"].iloc[0]], "top": [best(g["v"].dropna())]})
-
-    def of_key(g: pd.DataFrame) -> pd.DataFrame:
-        g, before, top = g.sort_values("chunk"), [], []
-        for here in g["top"]:
-            before.append(top)
-            top = best([*top, *here])
-        return pd.DataFrame({"k": g["k"], "chunk": g["chunk"], "before": before})
-
-    def replay(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("s")
-        top, out = list(g["before"].iloc[0]), []
-        for v in g["v"]:
-            if not pd.isna(v):
-                top = best([*top, v])
-            out.append(",".join(map(str, top)))
-        return pd.DataFrame({"k": g["k"], "s": g["s"], "top": out})
-
-    kind = dict(rows.dtypes)["k"]
-    tops = rows.groupBy("k", "chunk").applyInPandas(of_chunk, f"k {kind}, chunk long, top array<long>")
-    before = tops.groupBy("k").applyInPandas(of_key, f"k {kind}, chunk long, before array<long>")
-    return (
-        rows.join(before, ["k", "chunk"])
-        .groupBy("k", "chunk")
-        .applyInPandas(replay, f"k {kind}, s long, top string")
-        .select(F.col("k").alias(key), F.col("s").alias(seq), F.col("top"))
-    )
+    What a value keeps out of a place, itself or what it displaces, is the next place's value.
+    """
+    left = F.col(value)
+    for k in range(1, n + 1):
+        df = df.withColumn("__left", left).withColumn(f"__top{k}", F.max("__left").over(upto))
+        last = F.max("__left").over(before)
+        left = F.when(F.col("__left").isNotNull() & last.isNotNull(), F.least(F.col("__left"), last))
+    return df.drop("__left")
+
+
+def running_top(df: DataFrame, key: str, seq: str, value: str, n: int = 3, width: int | None = None) -> DataFrame:
+    """After each record, the key's n highest values so far, highest first, as "a,b,c". Null values do not count."""
+    rows, plain = _chunked(df.select(key, seq, value), [key], seq, width)
+    names = [f"__top{k}" for k in range(1, n + 1)]
+    local = _tops(rows, value, n, _upto(plain, seq), _upto(plain, seq, inclusive=False))
+    # the n highest of each chunk, in places of their own; the tops up to the last place are the chunk's and all earlier
+    best = local.groupBy(*plain).agg(F.max_by(F.array(*names), F.col(seq)).alias("__best"))
+    placed = best.select(*plain, F.posexplode("__best").alias("__place", "__v"))
+    keys = [k for k in plain if k != _CHUNK]
+    order = Window.partitionBy(*keys).orderBy(_CHUNK, "__place")
+    upto, before = (order.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    until = _tops(placed, "__v", n, upto, before).where(F.col("__place") == n - 1)
+    earlier = until.select(*plain, F.lag(F.array(*names)).over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias("__before"))
+    both = F.concat(F.coalesce("__before", F.array().cast(f"array<{df.schema[value].dataType.simpleString()}>")), F.array(*names))
+    top = F.slice(F.sort_array(F.filter(both, lambda v: v.isNotNull()), asc=False), 1, n)
+    return local.join(earlier, plain).select(key, seq, F.array_join(top.cast("array<string>"), ",").alias("top"))

@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import WIDTH, previous, running
+from rivulet.operators.running import previous, running
 
 
-def jump_alerts(df: DataFrame, keys: list[str], seq: str, value: str, limit: int, width: int = WIDTH) -> DataFrame:
+def jump_alerts(df: DataFrame, keys: list[str], seq: str, value: str, limit: int, width: int | None = None) -> DataFrame:
     """Records whose value differs from the key's previous one by more than limit; never the first."""
     got = previous(df, keys, seq, [value], width)
     return got.where(F.abs(F.col(value) - F.col(f"prev_{value}")) > limit)
 
 
-def map_counts(df: DataFrame, key: str, seq: str, value: str, width: int = WIDTH) -> DataFrame:
+def map_counts(df: DataFrame, key: str, seq: str, value: str, width: int | None = None) -> DataFrame:
     """The count of each (key, value) after each of its records: the entry of the map that changed."""
     return running(df, [key, value], seq, {"n": ("sum", F.lit(1).cast("long"))}, width)
 
 
-def running_average(df: DataFrame, keys: list[str], seq: str, value: str, width: int = WIDTH) -> DataFrame:
+def running_average(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
     sums = {"__s": ("sum", F.col(value).cast("long")), "__n": ("sum", F.when(F.col(value).isNotNull(), 1).cast("long"))}
     got = running(df, keys, seq, sums, width)
     return got.withColumn("avg_so_far", F.try_divide(F.col("__s").cast("double"), F.col("__n"))).drop(*sums)
 
 
-def with_ttl(df: DataFrame, keys: list[str], seq: str, value: str, clock: str, ttl: float, width: int = WIDTH
+def with_ttl(df: DataFrame, keys: list[str], seq: str, value: str, clock: str, ttl: float, width: int | None = None
              ) -> DataFrame:
     """The state each record finds (the previous value), null if it lay untouched for ttl or longer.
 
@@ -46,18 +46,41 @@ def timer_firings(df: DataFrame, keys: list[str], ts: str, at: str) -> DataFrame
     return timers.join(F.broadcast(mark), F.col("fires_at") < F.col("__mark")).drop("__mark")
 
 
-def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: int = WIDTH) -> DataFrame:
+def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
     """The updates of sum(value) by key as a changelog: +I first, then -U with the old and +U with the new sum."""
-    got = running(df, keys, seq, {"__new": ("sum", F.col(value).cast("long"))}, width)
-    old = previous(got, keys, seq, ["__new"], width)
+    sums = {"__new": ("sum", F.col(value).cast("long")), "__n": ("sum", F.col(value).isNotNull().cast("long"))}
+    got = running(df, keys, seq, sums, width)
+    earlier = F.col("__n") > F.col(value).isNotNull().cast("long")
+    old = F.when(earlier, F.col("__new") - F.coalesce(F.col(value).cast("long"), F.lit(0)))
     first = F.array(F.struct(F.lit("+I").alias("op"), F.col("__new").alias("total")))
     later = F.array(
-        F.struct(F.lit("-U").alias("op"), F.col("prev___new").alias("total")),
+        F.struct(F.lit("-U").alias("op"), old.alias("total")),
         F.struct(F.lit("+U").alias("op"), F.col("__new").alias("total")),
     )
-    return old.select(
-        *keys, seq, F.inline(F.when(F.col("prev___new").isNull(), first).otherwise(later))
+    return got.select(*keys, seq, F.inline(F.when(earlier, later).otherwise(first)))
+
+
+def map_states(df: DataFrame, key: str, seq: str, value: str, width: int | None = None) -> DataFrame:
+    """The whole map after each record: how often each value of the key has occurred so far, as entries by value.
+
+    Each record meets the last count of every value that its key has had; so a key's distinct values, and not
+    its records, multiply the rows on the way.
+    """
+    counted = map_counts(df, key, seq, value, width).select(
+        F.col(key).alias("__k"), F.col(seq).alias("__s"), F.col(value).alias("__w"), F.col("n").alias("__n")
     )
+    values = df.select(F.col(key).alias("__k"), F.col(value).alias("__v")).distinct()
+    asked = df.select(key, seq).join(values, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col(seq) == F.col("__s")) & F.col("__v").eqNullSafe(F.col("__w"))
+    both = asked.join(counted, same, "left").select(key, seq, "__v", "__n")
+    upto = running(both, [key, "__v"], seq, {"__so_far": ("max", F.col("__n"))}, width)
+    entry = F.when(F.col("__so_far").isNotNull(), F.struct(F.col("__v").alias("value"), F.col("__so_far").alias("n")))
+    return upto.groupBy(key, seq).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+
+
+def running_subtask_count(df: DataFrame, subtask: str, seq: str, width: int | None = None) -> DataFrame:
+    """The count of its subtask after each record: what restored operator list state goes on from."""
+    return running(df, [subtask], seq, {"n": ("sum", F.lit(1).cast("long"))}, width)
 
 
 def per_subtask_count(df: DataFrame) -> DataFrame:

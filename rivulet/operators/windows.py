@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import WIDTH, numbered
+from rivulet.operators.running import numbered
 
 
 def bounds(window: str = "window") -> list[Column]:
@@ -21,10 +21,14 @@ def time_windows(df: DataFrame, keys: list[str], aggregates: list[Column], size:
 
 
 def processing_time_windows(df: DataFrame, keys: list[str], aggregates: list[Column], size: str,
-                            clock: Column | None = None) -> DataFrame:
-    """Windows over the time of processing. clock: a column in its place, for tests."""
-    stamped = df.withColumn("processed", clock if clock is not None else F.current_timestamp())
-    return time_windows(stamped, keys, aggregates, size, ts="processed")
+                            slide: str | None = None, clock: Column | None = None) -> DataFrame:
+    """Tumbling or sliding windows over the time of processing. clock: a column in its place, for tests."""
+    return time_windows(ingestion_time(df, "processed", clock), keys, aggregates, size, slide, ts="processed")
+
+
+def ingestion_time(df: DataFrame, name: str = "ingested", clock: Column | None = None) -> DataFrame:
+    """df with the time at which its batch is read: event time for records that carry none."""
+    return df.withColumn(name, clock if clock is not None else F.current_timestamp())
 
 
 def session_windows(df: DataFrame, keys: list[str], aggregates: list[Column], gap: str | Column,
@@ -39,7 +43,7 @@ def seconds_gap(seconds: Column) -> Column:
 
 
 def count_windows(df: DataFrame, keys: list[str], seq: str, size: int, aggregates: list[Column],
-                  width: int = WIDTH) -> DataFrame:
+                  width: int | None = None) -> DataFrame:
     """Tumbling windows of size records of a key; an incomplete one never fires."""
     placed = numbered(df, keys, seq, "__rn", width).withColumn("window_no", F.floor((F.col("__rn") - 1) / size))
     grouped = placed.groupBy(*keys, "window_no").agg(*aggregates, F.count("*").alias("__n"))
@@ -47,7 +51,7 @@ def count_windows(df: DataFrame, keys: list[str], seq: str, size: int, aggregate
 
 
 def sliding_count_windows(df: DataFrame, keys: list[str], seq: str, size: int, slide: int, aggregates: list[Column],
-                          width: int = WIDTH) -> DataFrame:
+                          width: int | None = None) -> DataFrame:
     """Fires at every slide-th record of a key, over its last size records at most."""
     placed = numbered(df, keys, seq, "__rn", width)
     first = F.ceil(F.col("__rn") / slide) * slide

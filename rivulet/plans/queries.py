@@ -1,7 +1,7 @@
 """The registered queries: every operator over the driver's tables, with DuckDB SQL for the same rows.
 
 Stream operators run as replays: event_id is the arrival order, or, where
-lateness matters, an order that is out of step with event time by up to 16 places.
+lateness matters, an order in which records come up to two hours after their event time.
 """
 
 from __future__ import annotations
@@ -43,14 +43,18 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensor_view(table(spark, sf_dir, "events"))
 
 
+#: Seconds that a record comes after its event time at most, and places for records of one second.
+DISORDER, PLACES = 7200, 1 << 31
+
+
 def disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensors in an arrival order that is up to 16 places out of step."""
-    apart = (F.col("seq") * 7919) % 17
-    return sensors(spark, sf_dir).withColumn("arrival", (F.col("seq") + apart) * 32 + (16 - apart))
+    """Sensors that arrive up to DISORDER seconds after their event time, so that some are late at every scale."""
+    second = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) + (F.col("seq") * 7919) % DISORDER
+    return sensors(spark, sf_dir).withColumn("arrival", second * PLACES + F.col("seq"))
 
 
-DISORDERED = """{s}, d AS (
-    SELECT *, (seq + (seq * 7919) % 17) * 32 + 16 - (seq * 7919) % 17 AS arrival FROM s
+DISORDERED = f"""{{s}}, d AS (
+    SELECT *, (epoch_us(ts) // 1000000 + (seq * 7919) % {DISORDER}) * {PLACES} + seq AS arrival FROM s
 )"""
 
 
@@ -137,7 +141,7 @@ def wordcount_running(spark, sf_dir):
     placed = docs.select("doc_id", F.posexplode(transforms.java_split(F.col("text"))).alias("place", "word"))
     placed = placed.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "word")
     seq = F.col("doc_id") * (1 << 24) + F.col("place")
-    got = running.numbered(placed.withColumn("seq", seq), ["word"], "seq", "n", 1 << 42)
+    got = running.numbered(placed.withColumn("seq", seq), ["word"], "seq", "n")
     return got.select("doc_id", "place", "word", "n")
 
 
@@ -150,6 +154,13 @@ def running_sum(spark, sf_dir):
     return running.running_sum(sensors(spark, sf_dir), ["id"], "seq", "vc", "sum_vc").select("seq", "id", "sum_vc")
 
 
+@query("""WITH {s} SELECT seq, id, CAST(sum(vc) OVER w AS BIGINT) AS sum_vc, first_value(user_id) OVER w AS first_user_id
+FROM s WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
+def running_sum_first(spark, sf_dir):
+    got = running.running_sum(sensors(spark, sf_dir), ["id"], "seq", "vc", "sum_vc", others=["user_id"])
+    return got.select("seq", "id", "sum_vc", "first_user_id")
+
+
 def _extreme_sql(kind: str) -> str:
     return f"""WITH {{s}} SELECT seq, id, {kind}(vc) OVER w AS {kind}_vc, first_value(user_id) OVER w AS first_user_id
     FROM s WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING)"""
@@ -404,13 +415,24 @@ def lateness_refire(spark, sf_dir):
     return fired.select("seq", "id", "w_start", "sum_so_far", "n_so_far")
 
 
+@query(FATES_SQL + """, g AS (SELECT seq, user_id, w_start, fate,
+    count(*) FILTER (id = 'click') OVER w AS n_left, count(*) FILTER (id = 'purchase') OVER w AS n_right
+    FROM f WHERE fate <> 'late' AND id IN ('click', 'purchase')
+    WINDOW w AS (PARTITION BY user_id, w_start ORDER BY arrival ROWS UNBOUNDED PRECEDING))
+SELECT seq, user_id, w_start, n_left, n_right FROM g WHERE fate = 'again'""")
+def cogroup_refire(spark, sf_dir):
+    sides = _fates(spark, sf_dir).where("id IN ('click', 'purchase')")
+    fired = eventtime.cogroup_refires(sides, ["user_id"], "arrival", F.col("id") == "click")
+    return fired.select("seq", "user_id", "w_start", "n_left", "n_right")
+
+
 @query(f"""WITH {DISORDERED} SELECT seq, max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 AS wm FROM d""")
 def watermark_mono(spark, sf_dir):
     return eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 0).select("seq", "wm")
 
 
-@query(f"""WITH {DISORDERED}, p AS (SELECT *, abs(vc) % 2 AS part, arrival // 3200 AS clock FROM d), m AS (
+@query(f"""WITH {DISORDERED}, p AS (SELECT *, abs(vc) % 2 AS part, arrival // {PLACES * 3600} AS clock FROM d), m AS (
     SELECT *, max(CASE WHEN part = 0 THEN clock END) OVER w AS l0, max(CASE WHEN part = 1 THEN clock END) OVER w AS l1,
            max(CASE WHEN part = 0 THEN ts END) OVER w AS t0, max(CASE WHEN part = 1 THEN ts END) OVER w AS t1
     FROM p WINDOW w AS (ORDER BY arrival ROWS UNBOUNDED PRECEDING))
@@ -418,7 +440,7 @@ SELECT seq, least(CASE WHEN clock - l0 <= 0 THEN t0 END, CASE WHEN clock - l1 <=
     - INTERVAL 3 SECOND AS wm FROM m""")
 def watermark_idle(spark, sf_dir):
     d = disordered(spark, sf_dir).withColumn("part", F.abs("vc") % 2)
-    d = d.withColumn("clock", F.floor(F.col("arrival") / 3200))
+    d = d.withColumn("clock", F.floor(F.col("arrival") / (PLACES * 3600)))
     return eventtime.idle_watermark(d, "arrival", "part", 2, "clock", 0, 3).select("seq", "wm")
 
 
@@ -436,6 +458,22 @@ def map_state_counts(spark, sf_dir):
     return state.map_counts(sensors(spark, sf_dir), "id", "seq", "vc").select("seq", "id", "vc", "n")
 
 
+@query("""WITH {s}, c AS (SELECT a.user_id, a.seq, b.id, count(*) AS n FROM s a JOIN s b
+    ON a.user_id = b.user_id AND b.seq <= a.seq GROUP BY ALL)
+SELECT user_id, seq, string_agg(id || '=' || n, ',' ORDER BY id) AS counts FROM c GROUP BY user_id, seq""")
+def map_state_whole(spark, sf_dir):
+    got = state.map_states(sensors(spark, sf_dir), "user_id", "seq", "id")
+    shown = F.transform("entries", lambda e: F.concat_ws("=", e["value"], e["n"]))
+    return got.select("user_id", "seq", F.array_join(shown, ",").alias("counts"))
+
+
+@query("""WITH {s} SELECT seq, abs(vc) % 4 AS subtask, count(*) OVER (PARTITION BY abs(vc) % 4 ORDER BY seq
+ROWS UNBOUNDED PRECEDING) AS n FROM s""")
+def subtask_running_count(spark, sf_dir):
+    dealt = sensors(spark, sf_dir).withColumn("subtask", F.abs("vc") % 4)
+    return state.running_subtask_count(dealt, "subtask", "seq").select("seq", "subtask", "n")
+
+
 @query("""WITH {s} SELECT seq, user_id, CAST(sum(vc) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING)
 AS BIGINT) AS total FROM s""")
 def reducing_state_sum(spark, sf_dir):
@@ -542,11 +580,10 @@ def generator_source(spark, sf_dir):
     return generate(spark, 100, lambda n: F.concat(F.lit("Number："), n.cast("string"))).select("value")
 
 
-@query("""SELECT CAST(1 + (i * 7919 + 1) % 10 AS INT) AS id, CAST(1 + i AS BIGINT) AS ts, CAST(1 + (i * 104729 + 1) % 100 AS INT) AS vc
-FROM range(0, 1000) AS r(i)""")
+@query("""SELECT CAST(1 + ('0x' || md5(i || ':7')[1:8])::BIGINT % 10 AS INT) AS id, CAST(1 + i AS BIGINT) AS ts,
+CAST(1 + ('0x' || md5(i || ':8')[1:8])::BIGINT % 100 AS INT) AS vc FROM range(0, 1000) AS r(i)""")
 def datagen_table(spark, sf_dir):
-    fields = {"id": ("random", 1, 10, 7919), "ts": ("sequence", 1, 1000, 0), "vc": ("random", 1, 100, 104729)}
-    got = datagen(spark, 1000, fields)
+    got = datagen(spark, 1000, {"id": ("random", 1, 10, 7), "ts": ("sequence", 1, 1000, 0), "vc": ("random", 1, 100, 8)})
     return got.select(F.col("id").cast("int").alias("id"), "ts", F.col("vc").cast("int").alias("vc"))
 
 

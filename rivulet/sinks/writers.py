@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -36,14 +36,21 @@ def row_files(lines: DataFrame, path: str, checkpoint: str, seconds: int = 60, r
     return writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer
 
 
-def jdbc(options: dict[str, str], batch_rows: int = 100, retries: int = 3, pause: float = 1.0
-         ) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends a batch in inserts of batch_rows, and tries again when the write fails."""
+def jdbc(options: dict[str, str], batch_rows: int = 100, retries: int = 3, pause: float = 1.0,
+         batch_column: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends a batch in inserts of batch_rows, and tries again when the write fails.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A failed write may have committed some rows. With batch_column the rows carry their batch's number, and what an
+    earlier attempt has left of it is deleted first, so that each row counts once, across restarts too.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn(batch_column, F.lit(number).cast("long")) if batch_column else batch
         for left in reversed(range(retries + 1)):
             try:
-                batch.write.format("jdbc").options(**options).option("batchsize", batch_rows).mode("append").save()
+                if batch_column:
+                    _delete_batch(batch.sparkSession, options, batch_column, number)
+                rows.write.format("jdbc").options(**options).option("batchsize", batch_rows).mode("append").save()
                 return
             except Exception:
                 if not left:
@@ -53,6 +60,25 @@ def jdbc(options: dict[str, str], batch_rows: int = 100, retries: int = 3, pause
     return write
 
 
+def _delete_batch(spark: SparkSession, options: dict[str, str], column: str, number: int) -> None:
+    """Removes the rows of a batch, if the table is there."""
+    jvm = spark.sparkContext._jvm
+    name = options["dbtable"]
+    if "driver" in options:
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(options["driver"])
+    link = jvm.java.sql.DriverManager.getConnection(options["url"], options.get("user"), options.get("password"))
+    try:
+        names = link.getMetaData().getTables(None, None, None, None)
+        there = False
+        while names.next():
+            there = there or names.getString("TABLE_NAME").lower() == name.lower().split(".")[-1]
+        if there:
+            statement = link.createStatement()
+            statement.executeUpdate(f'DELETE FROM {name} WHERE "{column}" = {int(number)}')
+    finally:
+        link.close()
+
+
 def once_per_batch(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: a folder for each batch, overwritten if the batch is run again; so its rows count once."""
 

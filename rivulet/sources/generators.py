@@ -25,17 +25,18 @@ def generate(spark: SparkSession, count: int, make: Callable[[Column], Column],
 
 def datagen(spark: SparkSession, count: int, fields: dict[str, tuple[str, int, int, int]], rate: int | None = None
             ) -> DataFrame:
-    """A table of generated fields: name -> (kind, low, high, multiplier).
+    """A table of generated fields: name -> (kind, low, high, seed).
 
     sequence counts from low to high and ends the rows there; random is spread over [low, high]
-    by a multiplicative step, so that a row is the same whenever it is made.
+    by a digest of the row's number and the seed, so that a row is the same whenever it is made.
     """
     ends = [high - low + 1 for kind, low, high, _ in fields.values() if kind == "sequence"]
     rows = generate(spark, min([count, *ends]), lambda n: n, rate)
 
-    def field(kind: str, low: int, high: int, step: int) -> Column:
+    def field(kind: str, low: int, high: int, seed: int) -> Column:
         if kind == "sequence":
             return F.col("n") + low
-        return low + (F.col("n") * step + 1) % (high - low + 1)
+        digest = F.md5(F.concat_ws(":", F.col("n").cast("string"), F.lit(str(seed))).cast("binary"))
+        return low + F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % (high - low + 1)
 
     return rows.select(*[field(*spec).alias(name) for name, spec in fields.items()])

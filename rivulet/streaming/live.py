@@ -33,7 +33,8 @@ def window_join(left: DataFrame, right: DataFrame, key: str, size: str, delay: s
                 allowed: str | None = None) -> DataFrame:
     """Stream-stream join of one key and window; outer rows come once the watermark has passed the window.
 
-    Allowed lateness is more delay: the same final rows, later.
+    Pairs come as soon as both rows are there, as a co-group that fires again would give them. Allowed lateness is
+    more delay: the same final rows, later.
     """
     delay = f"{delay} {allowed}" if allowed else delay
     a = left.withWatermark("l_ts", delay).withColumn("w", F.window("l_ts", size))
@@ -41,31 +42,38 @@ def window_join(left: DataFrame, right: DataFrame, key: str, size: str, delay: s
     return a.join(b, (F.col(key) == F.col("r_key")) & (F.col("w") == F.col("r_w")), how)
 
 
-def late_rows(ts: str, delay_seconds: float, on_time: Callable[[DataFrame, int], None],
+def late_rows(ts: str, delay_seconds: float, marks: str, on_time: Callable[[DataFrame, int], None],
               late: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: late rows to their own sink before any operator drops them.
 
-    The mark is the highest event time of all earlier batches, kept by the driver as one number.
+    The mark is the highest event time of all earlier batches. It is written under marks for each batch, so that it
+    outlives a restart and a batch that is run again finds the mark that it found before.
     """
-    seen: dict[str, object] = {"mark": None}
 
     def write(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
-            mark = seen["mark"]
+            mark = _mark(batch, marks, number)
             is_late = F.lit(False) if mark is None else F.col(ts) < F.lit(mark) - F.make_dt_interval(
                 secs=F.lit(float(delay_seconds))
             )
             on_time(kept.where(~is_late), number)
             late(kept.where(is_late), number)
-            top = kept.agg(F.max(ts)).first()[0]
-            seen["mark"] = top if mark is None or top is not None and top > mark else mark
+            top = kept.agg(F.greatest(F.max(ts), F.lit(mark).cast("timestamp")).alias("mark"))
+            top.coalesce(1).write.mode("overwrite").parquet(f"{marks}/{number}")
         finally:
             kept.unpersist()
 
     return write
 
 
+def _mark(batch: DataFrame, marks: str, number: int) -> object:
+    """The mark that the batch before left; none before the first."""
+    if number == 0:
+        return None
+    return batch.sparkSession.read.schema("mark timestamp").parquet(f"{marks}/{number - 1}").first()[0]
+
+
 def window_counts(stream: DataFrame, value: str, size: str, slide: str | None = None, delay: str = "0 seconds",
                   ts: str = "ts") -> DataFrame:
     """The count of each value and window, for ranked. To be written in append mode: once, when the window is over."""

@@ -150,8 +150,52 @@ class EventTimer(StatefulProcessor):
         pass
 
 
+class ProcessingTimer(StatefulProcessor):
+    """A timer on the clock for each key, wait_ms after its record; a record with vc = cancel deletes the key's timers."""
+
+    SCHEMA = "id string, fired_at long"
+    wait_ms = 1000
+    cancel = -1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if (_ordered(rows)["vc"] == self.cancel).any():
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        else:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"id": [key[0]], "fired_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+
+    def close(self) -> None:
+        pass
+
+
+class WatermarkNow(StatefulProcessor):
+    """The watermark that stands, in milliseconds, when each record is processed."""
+
+    SCHEMA = "id string, seq long, watermark long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield pd.DataFrame([(key[0], seq, now) for seq in _ordered(rows)["seq"]], columns=["id", "seq", "watermark"])
+
+    def close(self) -> None:
+        pass
+
+
 class GlobalWindow(StatefulProcessor):
-    """One window without end for each key, with a trigger of its own: every n records, over the records since."""
+    """One window without end for each key, with a trigger of its own: every n records, over the records since.
+
+    List state takes the new records at its end, and is read only when the window fires.
+    """
 
     SCHEMA = "id string, fired_at long, total long"
     n = 4
@@ -161,20 +205,15 @@ class GlobalWindow(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = [v[0] for v in self.held.get()] if self.held.exists() else []
         seen = self.seen.get()[0] if self.seen.exists() else 0
         out = []
         for vc in _ordered(rows)["vc"]:
-            held.append(int(vc))
+            self.held.appendValue((int(vc),))
             seen += 1
-            if len(held) == self.n:
-                out.append((key[0], seen, sum(held)))
-                held = []
+            if seen % self.n == 0:
+                out.append((key[0], seen, sum(v[0] for v in self.held.get())))
+                self.held.clear()
         self.seen.update((seen,))
-        if held:
-            self.held.put([(v,) for v in held])
-        else:
-            self.held.clear()
         yield pd.DataFrame(out, columns=["id", "fired_at", "total"])
 
     def close(self) -> None:

@@ -52,10 +52,19 @@ def supervised(start: Callable[[], StreamingQuery], failures: int = 10, within:
             sleep(pause)
 
 
+def _paths(spark: SparkSession, *names: str) -> tuple:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return jvm.org.apache.hadoop.fs.FileUtil, conf, [(p.getFileSystem(conf), p) for p in paths]
+
+
 def savepoint(spark: SparkSession, checkpoint: str, target: str) -> None:
-    """A copy of a stopped query's checkpoint, from which the same query can start again."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    source, to = path(checkpoint), path(target)
-    jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, to.getFileSystem(conf), to, False, conf)
+    """A copy of a stopped query's checkpoint. A query that takes it, or a copy of it, as its checkpoint starts there."""
+    files, conf, ((source_fs, source), (to_fs, to)) = _paths(spark, checkpoint, target)
+    files.copy(source_fs, source, to_fs, to, False, conf)
+
+
+def delete_checkpoint(spark: SparkSession, checkpoint: str) -> None:
+    """Checkpoints outlive their query; this removes one whose query shall not go on."""
+    _, _, ((fs, path),) = _paths(spark, checkpoint)
+    fs.delete(path, True)

@@ -1,7 +1,9 @@
 """Small inputs with results worked out by hand, and properties over random arrivals."""
 
 import datetime as dt
+import time
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 from rivulet.functions import udfs
 from rivulet.model import parse_lines
 from rivulet.operators import eventtime, joins, running, state, topn, transforms, windows
+from rivulet.sinks import records
 from rivulet.sinks.records import keyed_record
+from rivulet.sources import files, kafka
+from rivulet.sources.generators import datagen, generate
 
 SENSOR = "seq long, id string, ts long, vc int"
 FIVE = [(1, "s1", 1, 1), (2, "s1", 11, 11), (3, "s1", 9, 11), (4, "s2", 2, 2), (5, "s3", 3, 3)]
@@ -244,3 +249,105 @@ def test_records_and_lines(spark):
     lines = made(spark, [("s1,1,2",), ("s2,x,3",)], "value string")
     assert got(parse_lines(lines, permissive=True), "id", "ts", "vc") == [("s1", 1, 2), ("s2", None, 3)]
     assert [bytes(k) for (k,) in got(keyed_record(lines), "key")] == [b"1", b"x"]
+
+
+def test_running_top_of_null_keys_and_doubles(spark):
+    rows = [(1, None, 1.9), (2, None, 1.2), (3, "a", None), (4, "a", 2.5), (5, None, 1.5)]
+    df = spark.createDataFrame(rows, "seq long, id string, vc double")
+    for width in (None, 1, 2, 100):
+        tops = sorted(got(running.running_top(df, "id", "seq", "vc", 2, width), "seq", "top"))
+        assert tops == [(1, "1.9"), (2, "1.9,1.2"), (3, ""), (4, "2.5"), (5, "1.9,1.5")]
+
+
+def test_running_sum_keeps_the_first_record(spark):
+    rows = [(1, "s1", 1, 10), (2, "s1", 11, 5), (3, "s1", 9, 7)]
+    df = spark.createDataFrame(rows, "seq long, id string, ts long, vc int")
+    assert sorted(got(running.running_sum(df, ["id"], "seq", "vc", "total", others=["ts"]), "seq", "total", "first_ts")) == [(1, 10, 1), (2, 15, 1), (3, 22, 1)]
+
+
+@pytest.mark.parametrize("step", [1, 1_000_003, 1 << 40])
+def test_chunks_are_even_whatever_the_numbers(spark, monkeypatch, step):
+    monkeypatch.setattr(running, "WIDTH", 10)
+    df = spark.range(100).select((F.col("id") * step + 5).alias("seq"), (F.col("id") % 3).alias("k"))
+    rows, _ = running._chunked(df, ["k"], "seq", None)
+    sizes = [r["count"] for r in rows.groupBy(running._CHUNK).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 11
+
+
+def test_rows_are_shuffled_once(spark):
+    """Only the running window's own exchange carries the records; all others carry sums of chunks."""
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit("payload").alias("p"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in (running.running_sum(df, ["k"], "id", "id", "s"), state.changelog(df, ["k"], "id", "id"), running.numbered(df, [], "id")):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            exchanges = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
+            sorts = [line for line in text.split("\n") if " Sort [" in line]
+            assert 1 <= len(exchanges) <= 4 and len(sorts) <= 4
+            assert sum("__chunk" in line and "__k0" in line or "__chunk" in line for line in exchanges) <= 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_map_after_each_record(spark):
+    rows = [(1, "a", 7), (2, "a", None), (3, "b", 7), (4, "a", 7), (5, None, 1)]
+    df = spark.createDataFrame(rows, "seq long, id string, vc int")
+    found = {r["seq"]: [tuple(e) for e in r["entries"]] for r in state.map_states(df, "id", "seq", "vc").collect()}
+    assert found == {1: [(7, 1)], 2: [(None, 1), (7, 1)], 3: [(7, 1)], 4: [(None, 1), (7, 2)], 5: [(1, 1)]}
+
+
+def test_processing_time_windows(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (9, "b")], "s long, id string")
+    clock = F.timestamp_seconds("s")
+    tumbling = windows.processing_time_windows(df, ["id"], [F.count("*").alias("n")], "5 seconds", clock=clock)
+    assert sorted(got(tumbling, "id", "n")) == [("a", 2), ("b", 1)]
+    sliding = windows.processing_time_windows(df, ["id"], [F.count("*").alias("n")], "4 seconds", "2 seconds", clock=clock)
+    assert sorted(got(sliding, "id", "n")) == [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 1)]
+    assert windows.processing_time_windows(df, [], [F.count("*").alias("n")], "1 day").agg(F.sum("n")).first()[0] == 3
+    assert windows.ingestion_time(df).schema["ingested"].dataType.simpleString() == "timestamp"
+
+
+def test_partitions_and_side_outputs(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 5)
+    assert transforms.shuffle(df, 3).rdd.getNumPartitions() == transforms.rebalance(df, 3).rdd.getNumPartitions() == 3
+    assert transforms.rescale(transforms.rebalance(df, 4), 2).rdd.getNumPartitions() == 2
+    placed = transforms.key_by(df, "k", n=4).withColumn("p", F.spark_partition_id())
+    assert {r.n for r in placed.groupBy("k").agg(F.count_distinct("p").alias("n")).collect()} == {1}
+    assert sorted(r.id for r in transforms.shuffle(df, 3).collect()) == list(range(100))
+    outputs = transforms.side_outputs(transforms.route(df, {"low": F.col("id") < 10}), ["low", "main"])
+    assert {name: out.count() for name, out in outputs.items()} == {"low": 10, "main": 90}
+    assert sum(r.n for r in state.per_subtask_count(df).collect()) == 100
+
+
+def test_kafka_options():
+    options = kafka.source_options("h:1", ["a", "b"], "latest", "g")
+    assert options["subscribe"] == "a,b" and options["startingOffsets"] == "latest" and options["kafka.group.id"] == "g"
+    assert "kafka.group.id" not in kafka.source_options("h:1", ["a"])
+    assert records.sink_options("h:1", "t") == {"kafka.bootstrap.servers": "h:1", "topic": "t"}
+
+
+def test_generated_fields_are_spread(spark):
+    made = datagen(spark, 2000, {"a": ("random", 1, 10, 1), "b": ("random", 1, 10, 2), "n": ("sequence", 5, 900, 0)}).collect()
+    assert len(made) == 896 and [r.n for r in made] == list(range(5, 901))
+    assert {r.a for r in made} == set(range(1, 11)) and 0.05 < sum(r.a == r.b for r in made) / len(made) < 0.2
+
+
+def test_rate_source(spark, tmp_path):
+    stream = generate(spark, 5, lambda n: n * 2, rate=50)
+    query = stream.writeStream.format("memory").queryName("rated").option("checkpointLocation", str(tmp_path)).start()
+    try:
+        until = time.monotonic() + 40
+        while spark.table("rated").count() < 5 and time.monotonic() < until:
+            time.sleep(0.3)
+    finally:
+        query.stop()
+    assert sorted(tuple(r) for r in spark.table("rated").collect()) == [(k, 2 * k) for k in range(5)]
+
+
+def test_files_and_views(spark, tmp_path):
+    spark.createDataFrame([("a,1,2",)], "value string").write.text(str(tmp_path / "t"))
+    assert [r.value for r in files.text_lines(spark, str(tmp_path / "t")).collect()] == ["a,1,2"]
+    stream = files.text_stream(spark, str(tmp_path / "t"))
+    marked = files.source_watermark(stream.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")), "ts", "1 second")
+    assert marked.isStreaming and marked.schema["ts"].dataType.simpleString() == "timestamp"
+    assert [r.w for r in joins.lateral_split(spark.createDataFrame([("",)], "t string"), F.array().cast("array<string>"), outer=False).select(F.col("word").alias("w")).collect()] == []
