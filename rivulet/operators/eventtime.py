@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import running
+from rivulet.operators.running import WIDTH, Width, running
 
 
 def with_watermark(df: DataFrame, seq: str, delay: int, ts: str = "ts", keys: list[str] | None = None,
-                   width: int | None = None) -> DataFrame:
+                   width: Width = WIDTH) -> DataFrame:
     """df with wm: the watermark that stands when the record arrives; null before the first record.
 
     delay in seconds, not negative. keys: a watermark for each source partition.
@@ -41,7 +41,7 @@ def lateness(df: DataFrame, size: str, allowed: int = 0, ts: str = "ts") -> Data
     return df.select("*", window["start"].alias("w_start"), end.alias("w_end"), fate.alias("fate"))
 
 
-def refires(fated: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
+def refires(fated: DataFrame, keys: list[str], seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """What every firing after a window's first gives: for each "again" record the sum and count so far."""
     kept = fated.where(F.col("fate") != "late")
     got = running(
@@ -54,7 +54,7 @@ def refires(fated: DataFrame, keys: list[str], seq: str, value: str, width: int
     return got.where(F.col("fate") == "again")
 
 
-def cogroup_refires(fated: DataFrame, keys: list[str], seq: str, left: Column, width: int | None = None) -> DataFrame:
+def cogroup_refires(fated: DataFrame, keys: list[str], seq: str, left: Column, width: Width = WIDTH) -> DataFrame:
     """What every firing of a window co-group after its first sees: for each "again" record both sides' rows so far.
 
     left tells the left side's records from the right side's.
@@ -64,7 +64,7 @@ def cogroup_refires(fated: DataFrame, keys: list[str], seq: str, left: Column, w
     return running(kept, [*keys, "w_start"], seq, sides, width).where(F.col("fate") == "again")
 
 
-def interval_late(df: DataFrame, seq: str, side: str, delay: int, ts: str = "ts", width: int | None = None) -> DataFrame:
+def interval_late(df: DataFrame, seq: str, side: str, delay: int, ts: str = "ts", width: Width = WIDTH) -> DataFrame:
     """Records of a two-sided stream that are late: event time before the joint watermark.
 
     side is the column that names the input; both inputs' records are numbered by seq together.
@@ -80,7 +80,7 @@ def interval_late(df: DataFrame, seq: str, side: str, delay: int, ts: str = "ts"
 
 
 def idle_watermark(df: DataFrame, seq: str, partition: str, n: int, clock: str, idle: int, delay: int, ts: str = "ts",
-                   width: int | None = None) -> DataFrame:
+                   width: Width = WIDTH) -> DataFrame:
     """df with wm over n source partitions: the lowest of those that gave a record in the last idle seconds.
 
     clock is the processing time in seconds. A partition that is silent for longer does not hold the others.

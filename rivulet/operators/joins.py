@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.model import seconds
-from rivulet.operators.running import running
+from rivulet.operators.running import WIDTH, Width, running
 
 
 def keyed_connect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], low: float
 
 
 def broadcast_as_of(data: DataFrame, config: DataFrame, seq: str, value: str, default: int,
-                    width: int | None = None) -> DataFrame:
+                    width: Width = WIDTH) -> DataFrame:
     """data with the last config value that arrived before each row, else the default."""
     both = data.withColumn("__set", F.lit(None).cast(config.schema[value].dataType)).unionByName(
         config.select(F.col(seq), F.col(value).alias("__set")), allowMissingColumns=True

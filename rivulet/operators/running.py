@@ -5,10 +5,12 @@ is cut into chunks: a window over (key, chunk) aggregates within the chunk, and
 what the key's earlier chunks add up to, one row for each (key, chunk), is
 joined to it. The largest task holds one chunk of one key.
 
-Chunks are even in the arrival number, of WIDTH records on average but CHUNKS of
-them at most, whatever numbers the arrivals have: their count, first and last come
-from one aggregate over that column. So the window over a key's chunks, and over
-all chunks where there is no key, has CHUNKS rows at most.
+A chunk is WIDTH arrival numbers, which fits arrivals that are numbered without
+large gaps. For other numbers (times, ids of several makers) and for more than
+CHUNKS * WIDTH records, even_width measures what makes chunks of WIDTH records on
+average, but CHUNKS of them at most: by one aggregate over the numbers alone. Then
+the window over a key's chunks, and over all chunks where there is no key, has
+about CHUNKS rows at most.
 
 Keys become columns without nulls before the window. The join is on these and the
 chunk, as the window is, so that the records themselves are shuffled and sorted once.
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
-#: Records in a chunk on average, and chunks at most.
+#: Numbers in a chunk, or records on average where the width is measured, and chunks at most.
 WIDTH, CHUNKS = 1 << 18, 1 << 16
 _CHUNK = "__chunk"
+Width = int | Column
 
 #: kind -> (aggregate, merge of two partial results, either of which may be null)
 _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
@@ -35,16 +38,16 @@ _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
 }
 
 
-def _chunked(df: DataFrame, keys: list[str], seq: str, width: int | None) -> tuple[DataFrame, list[str]]:
+def even_width(df: DataFrame, seq: str) -> Column:
+    """The numbers in a chunk of df, for the width of the functions below, as a subquery. df: best a plain scan."""
+    span = F.max(seq) - F.min(seq) + 1.0
+    chunks = F.greatest(F.least(F.ceil(F.count(seq) / WIDTH), F.lit(CHUNKS)), F.lit(1))
+    return df.agg(F.greatest(span / chunks, F.lit(1.0)).alias("width")).scalar()
+
+
+def _chunked(df: DataFrame, keys: list[str], seq: str, width: Width) -> tuple[DataFrame, list[str]]:
     """df with its chunk and with keys that are never null, and the names of those."""
-    if width is None:
-        numbers = df.agg(F.min(seq).alias("low"), F.max(seq).alias("high"), F.count(seq).alias("n"))
-        span = F.col("high") - F.col("low") + 1.0
-        chunks = F.least(F.ceil(F.col("n") / WIDTH), F.lit(CHUNKS))
-        cut = numbers.select(F.struct("low", (span / F.greatest(chunks, F.lit(1))).alias("step")).alias("c")).scalar()
-        chunk = F.floor((F.col(seq) - cut["low"]) / cut["step"])
-    else:
-        chunk = F.floor(F.col(seq) / width)
+    chunk = F.floor(F.col(seq) / width)
     plain, nulls = {}, []
     for i, key in enumerate(keys):
         kind = df.schema[key].dataType
@@ -68,13 +71,13 @@ def running(
     keys: list[str],
     seq: str,
     aggregates: dict[str, tuple[str, Column]],
-    width: int | None = None,
+    width: Width = WIDTH,
     inclusive: bool = True,
 ) -> DataFrame:
     """df with a column for each name -> (kind, value): the aggregate over the key's rows up to this one.
 
     seq numbers the arrivals, without ties within a key. inclusive False leaves the row itself out.
-    A value may be a struct, which min and max compare field by field. width: numbers in a chunk, if not measured.
+    A value may be a struct, which min and max compare field by field. width: numbers in a chunk.
     """
     rows, plain = _chunked(df, keys, seq, width)
     inside = _upto(plain, seq, inclusive)
@@ -93,14 +96,14 @@ def first_of(value: str, seq: str) -> tuple[str, Column]:
     return "min", F.struct(F.col(seq).alias("at"), F.col(value).alias("v"))
 
 
-def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: int | None = None) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: Width = WIDTH) -> DataFrame:
     """df with prev_<value> of the key's record before this one, null for its first."""
     last = F.struct(F.col(seq).alias("at"), *[F.col(v) for v in values])
     got = running(df, keys, seq, {"__last": ("max", last)}, width, inclusive=False)
     return got.select(*df.columns, *[F.col(f"__last.{v}").alias(f"prev_{v}") for v in values])
 
 
-def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, width: int | None = None,
+def running_sum(df: DataFrame, keys: list[str], seq: str, value: str, name: str, width: Width = WIDTH,
                 others: list[str] | None = None) -> DataFrame:
     """The sum of one field; the others, if given, stay those of the key's first record, as first_<field>."""
     sums = {name: ("sum", F.col(value))}
@@ -119,14 +122,14 @@ def _first(others: list[str]) -> list[Column]:
 
 
 def running_extreme(df: DataFrame, keys: list[str], seq: str, value: str, kind: str, others: list[str],
-                    width: int | None = None) -> DataFrame:
+                    width: Width = WIDTH) -> DataFrame:
     """max or min of one field; the other fields stay those of the key's first record."""
     extreme = {f"{kind}_{value}": (kind, F.col(value)), "__first": ("min", _record(seq, others))}
     return running(df, keys, seq, extreme, width).select(*df.columns, f"{kind}_{value}", *_first(others))
 
 
 def running_extreme_by(df: DataFrame, keys: list[str], seq: str, value: str, kind: str, others: list[str],
-                       width: int | None = None) -> DataFrame:
+                       width: Width = WIDTH) -> DataFrame:
     """The whole record that has the highest or lowest field; of equal ones the first."""
     tie = -F.col(seq) if kind == "max" else F.col(seq)
     record = F.struct(F.col(value).alias("by"), tie.alias("tie"), *[F.col(c) for c in others])
@@ -136,12 +139,12 @@ def running_extreme_by(df: DataFrame, keys: list[str], seq: str, value: str, kin
     )
 
 
-def running_reduce(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
+def running_reduce(df: DataFrame, keys: list[str], seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """The reducer (key, latest time, summed value): the first record of a key passes unchanged."""
     return running_sum(df, keys, seq, value, f"sum_{value}", width=width)
 
 
-def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "rn", width: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], seq: str, name: str = "rn", width: Width = WIDTH) -> DataFrame:
     """row_number by key."""
     return running(df, keys, seq, {name: ("sum", F.lit(1).cast("long"))}, width)
 
@@ -159,7 +162,7 @@ def _tops(df: DataFrame, value: str, n: int, upto: WindowSpec, before: WindowSpe
     return df.drop("__left")
 
 
-def running_top(df: DataFrame, key: str, seq: str, value: str, n: int = 3, width: int | None = None) -> DataFrame:
+def running_top(df: DataFrame, key: str, seq: str, value: str, n: int = 3, width: Width = WIDTH) -> DataFrame:
     """After each record, the key's n highest values so far, highest first, as "a,b,c". Null values do not count."""
     rows, plain = _chunked(df.select(key, seq, value), [key], seq, width)
     names = [f"__top{k}" for k in range(1, n + 1)]

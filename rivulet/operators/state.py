@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import previous, running
+from rivulet.operators.running import WIDTH, Width, previous, running
 
 
-def jump_alerts(df: DataFrame, keys: list[str], seq: str, value: str, limit: int, width: int | None = None) -> DataFrame:
+def jump_alerts(df: DataFrame, keys: list[str], seq: str, value: str, limit: int, width: Width = WIDTH) -> DataFrame:
     """Records whose value differs from the key's previous one by more than limit; never the first."""
     got = previous(df, keys, seq, [value], width)
     return got.where(F.abs(F.col(value) - F.col(f"prev_{value}")) > limit)
 
 
-def map_counts(df: DataFrame, key: str, seq: str, value: str, width: int | None = None) -> DataFrame:
+def map_counts(df: DataFrame, key: str, seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """The count of each (key, value) after each of its records: the entry of the map that changed."""
     return running(df, [key, value], seq, {"n": ("sum", F.lit(1).cast("long"))}, width)
 
 
-def running_average(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
+def running_average(df: DataFrame, keys: list[str], seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     sums = {"__s": ("sum", F.col(value).cast("long")), "__n": ("sum", F.when(F.col(value).isNotNull(), 1).cast("long"))}
     got = running(df, keys, seq, sums, width)
     return got.withColumn("avg_so_far", F.try_divide(F.col("__s").cast("double"), F.col("__n"))).drop(*sums)
 
 
-def with_ttl(df: DataFrame, keys: list[str], seq: str, value: str, clock: str, ttl: float, width: int | None = None
+def with_ttl(df: DataFrame, keys: list[str], seq: str, value: str, clock: str, ttl: float, width: Width = WIDTH
              ) -> DataFrame:
     """The state each record finds (the previous value), null if it lay untouched for ttl or longer.
 
@@ -46,7 +46,7 @@ def timer_firings(df: DataFrame, keys: list[str], ts: str, at: str) -> DataFrame
     return timers.join(F.broadcast(mark), F.col("fires_at") < F.col("__mark")).drop("__mark")
 
 
-def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: int | None = None) -> DataFrame:
+def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """The updates of sum(value) by key as a changelog: +I first, then -U with the old and +U with the new sum."""
     sums = {"__new": ("sum", F.col(value).cast("long")), "__n": ("sum", F.col(value).isNotNull().cast("long"))}
     got = running(df, keys, seq, sums, width)
@@ -60,7 +60,7 @@ def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: int |
     return got.select(*keys, seq, F.inline(F.when(earlier, later).otherwise(first)))
 
 
-def map_states(df: DataFrame, key: str, seq: str, value: str, width: int | None = None) -> DataFrame:
+def map_states(df: DataFrame, key: str, seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """The whole map after each record: how often each value of the key has occurred so far, as entries by value.
 
     Each record meets the last count of every value that its key has had; so a key's distinct values, and not
@@ -78,7 +78,7 @@ def map_states(df: DataFrame, key: str, seq: str, value: str, width: int | None
     return upto.groupBy(key, seq).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
-def running_subtask_count(df: DataFrame, subtask: str, seq: str, width: int | None = None) -> DataFrame:
+def running_subtask_count(df: DataFrame, subtask: str, seq: str, width: Width = WIDTH) -> DataFrame:
     """The count of its subtask after each record: what restored operator list state goes on from."""
     return running(df, [subtask], seq, {"n": ("sum", F.lit(1).cast("long"))}, width)
 

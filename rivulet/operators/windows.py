@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import numbered
+from rivulet.operators.running import WIDTH, Width, numbered
 
 
 def bounds(window: str = "window") -> list[Column]:
@@ -43,7 +43,7 @@ def seconds_gap(seconds: Column) -> Column:
 
 
 def count_windows(df: DataFrame, keys: list[str], seq: str, size: int, aggregates: list[Column],
-                  width: int | None = None) -> DataFrame:
+                  width: Width = WIDTH) -> DataFrame:
     """Tumbling windows of size records of a key; an incomplete one never fires."""
     placed = numbered(df, keys, seq, "__rn", width).withColumn("window_no", F.floor((F.col("__rn") - 1) / size))
     grouped = placed.groupBy(*keys, "window_no").agg(*aggregates, F.count("*").alias("__n"))
@@ -51,7 +51,7 @@ def count_windows(df: DataFrame, keys: list[str], seq: str, size: int, aggregate
 
 
 def sliding_count_windows(df: DataFrame, keys: list[str], seq: str, size: int, slide: int, aggregates: list[Column],
-                          width: int | None = None) -> DataFrame:
+                          width: Width = WIDTH) -> DataFrame:
     """Fires at every slide-th record of a key, over its last size records at most."""
     placed = numbered(df, keys, seq, "__rn", width)
     first = F.ceil(F.col("__rn") / slide) * slide

@@ -53,6 +53,11 @@ def disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensors(spark, sf_dir).withColumn("arrival", second * PLACES + F.col("seq"))
 
 
+def even(spark: SparkSession, sf_dir: str):
+    """The width of chunks of the disordered arrival order."""
+    return running.even_width(disordered(spark, sf_dir), "arrival")
+
+
 DISORDERED = f"""{{s}}, d AS (
     SELECT *, (epoch_us(ts) // 1000000 + (seq * 7919) % {DISORDER}) * {PLACES} + seq AS arrival FROM s
 )"""
@@ -141,7 +146,9 @@ def wordcount_running(spark, sf_dir):
     placed = docs.select("doc_id", F.posexplode(transforms.java_split(F.col("text"))).alias("place", "word"))
     placed = placed.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "word")
     seq = F.col("doc_id") * (1 << 24) + F.col("place")
-    got = running.numbered(placed.withColumn("seq", seq), ["word"], "seq", "n")
+    placed = placed.withColumn("seq", seq)
+    width = running.even_width(docs.select((F.col("doc_id") * (1 << 24)).alias("seq")), "seq")
+    got = running.numbered(placed, ["word"], "seq", "n", width)
     return got.select("doc_id", "place", "word", "n")
 
 
@@ -365,7 +372,7 @@ AND ts < least(a, b) - INTERVAL 10 MINUTE - INTERVAL 1 MILLISECOND AND side = ""
 def _interval_late(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     both = disordered(spark, sf_dir).where("id IN ('click', 'purchase')")
     both = both.withColumn("side", F.when(F.col("id") == "click", "left").otherwise("right"))
-    late = eventtime.interval_late(both, "arrival", "side", 600)
+    late = eventtime.interval_late(both, "arrival", "side", 600, width=even(spark, sf_dir))
     return late.where(F.col("late") & (F.col("side") == side)).select("seq", "side")
 
 
@@ -390,7 +397,7 @@ FATES_SQL = f"""WITH {DISORDERED}, m AS (
 
 
 def _fates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 1800)
+    marked = eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 1800, width=even(spark, sf_dir))
     return eventtime.lateness(marked, "1 hour", 1200)
 
 
@@ -411,7 +418,7 @@ def allowed_lateness_final(spark, sf_dir):
     WINDOW w AS (PARTITION BY id, w_start ORDER BY arrival ROWS UNBOUNDED PRECEDING))
 SELECT seq, id, w_start, CAST(sum_so_far AS BIGINT) AS sum_so_far, n_so_far FROM g WHERE fate = 'again'""")
 def lateness_refire(spark, sf_dir):
-    fired = eventtime.refires(_fates(spark, sf_dir), ["id"], "arrival", "vc")
+    fired = eventtime.refires(_fates(spark, sf_dir), ["id"], "arrival", "vc", even(spark, sf_dir))
     return fired.select("seq", "id", "w_start", "sum_so_far", "n_so_far")
 
 
@@ -422,14 +429,14 @@ def lateness_refire(spark, sf_dir):
 SELECT seq, user_id, w_start, n_left, n_right FROM g WHERE fate = 'again'""")
 def cogroup_refire(spark, sf_dir):
     sides = _fates(spark, sf_dir).where("id IN ('click', 'purchase')")
-    fired = eventtime.cogroup_refires(sides, ["user_id"], "arrival", F.col("id") == "click")
+    fired = eventtime.cogroup_refires(sides, ["user_id"], "arrival", F.col("id") == "click", even(spark, sf_dir))
     return fired.select("seq", "user_id", "w_start", "n_left", "n_right")
 
 
 @query(f"""WITH {DISORDERED} SELECT seq, max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 AS wm FROM d""")
 def watermark_mono(spark, sf_dir):
-    return eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 0).select("seq", "wm")
+    return eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 0, width=even(spark, sf_dir)).select("seq", "wm")
 
 
 @query(f"""WITH {DISORDERED}, p AS (SELECT *, abs(vc) % 2 AS part, arrival // {PLACES * 3600} AS clock FROM d), m AS (
@@ -441,7 +448,8 @@ SELECT seq, least(CASE WHEN clock - l0 <= 0 THEN t0 END, CASE WHEN clock - l1 <=
 def watermark_idle(spark, sf_dir):
     d = disordered(spark, sf_dir).withColumn("part", F.abs("vc") % 2)
     d = d.withColumn("clock", F.floor(F.col("arrival") / (PLACES * 3600)))
-    return eventtime.idle_watermark(d, "arrival", "part", 2, "clock", 0, 3).select("seq", "wm")
+    got = eventtime.idle_watermark(d, "arrival", "part", 2, "clock", 0, 3, width=even(spark, sf_dir))
+    return got.select("seq", "wm")
 
 
 # keyed state
