@@ -55,7 +55,7 @@ ANY_BASE = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"
     r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 )
-SAMPLE_DOCS, MAX_CHARS, SAMPLE_CHAINS = 2000, 20_000, 2000
+SAMPLE_DOCS, MAX_CHARS, SAMPLE_CHAINS = 600, 20_000, 2000
 #: Chains made for a place of a secret, more of them in a sample of fewer texts; tokens of a chain learnt together.
 MADE, MADE_TEXTS, CHAIN = 6, 300, 12
 MIN_TOKEN = 6
