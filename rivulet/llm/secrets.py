@@ -369,7 +369,11 @@ def fit(docs: DataFrame) -> Field | None:
     short = docs.select("text").where((F.length("text") <= MAX_CHARS) & F.col("text").rlike("[0-9]"))
     found: list[list[Chain]] = []
     for telling in (F.col("text").rlike(ANY_BASE), ~F.col("text").rlike(ANY_BASE)):
-        texts = [r["text"] for r in short.where(telling).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS).collect()]
+        # the hashes first: of the texts, only the chosen ones leave their tasks
+        hashed = short.where(telling).withColumn("h", F.xxhash64("text"))
+        cut = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+        chosen = hashed.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")) if cut is not None else hashed.limit(0)
+        texts = [r["text"] for r in sorted(chosen.collect(), key=lambda r: r["h"])]
         made = max(MADE, MADE_TEXTS * MADE // max(len(texts), 1))
         found.append(list(islice((c for text in texts for c in chains(text, made)), SAMPLE_CHAINS)))
     first = Field.train(found[0], EPOCHS // 2)
