@@ -16,29 +16,34 @@ pair, text, times) for those and sums come back by text. RATE decides only where
 an arc is looked up. A bitmap of a fixed size spares the join most pairs that are
 no arcs; a pair that it lets through by chance meets nothing.
 
+Broadcast tokens go by their places, so that a pair of two of them is one small
+number: it is counted, weighed and looked up as that, and no join is needed to
+find its tokens' counts. Other tokens go by negative hashes.
+
 Defined results: a null or empty text is its end token alone; a null doc_id
 trains and is not held out; repeated rows count as often as they occur and each
 gets its row; an empty table gives an empty result; only the id and the text are
-read. Tokens and pairs are told apart by 64-bit hashes.
+read. Tokens and pairs are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import PART_ROWS, checkpointed, remainder
+from rivulet.llm.common import PART_ROWS, remainder, shared_folder
 
 FOLDS, HELD_OUT = 7, 2
 #: The share of the training tokens that puts a token or a pair into the broadcast tables.
-RATE = 1e-6
+RATE = 2.5e-7
 #: The times that make a pair an arc.
 LEAST = 2
 #: The bitmap of pairs has this power of two of bits, in words of 64.
@@ -48,15 +53,19 @@ DISCOUNT = 0.75
 END = b"\n"
 #: Tokens that a task counts before it hands the counts on.
 FLUSH = 2_000_000
+#: Rows of counts that a task hands on at once.
+SENT_ROWS = 200_000
+#: The sign bit: set in every hash, never in a place.
+HASHED = np.uint64(1 << 63)
 
 
 def token_ids(text: str | None) -> np.ndarray:
     w = (text or "").encode().lower().split()
     w.append(END)
-    return np.fromiter(map(xxh64_intdigest, w), dtype=np.uint64, count=len(w)).view(np.int64)
+    return (np.fromiter(map(xxh64_intdigest, w), dtype=np.uint64, count=len(w)) | HASHED).view(np.int64)
 
 
-END_ID = int(np.array([xxh64_intdigest(END)], dtype=np.uint64).view(np.int64)[0])
+END_ID = int(token_ids(None)[0])
 
 
 def places(ids: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -67,43 +76,80 @@ def places(ids: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == ids, at, -1)
 
 
-def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit id of each pair of tokens."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    return x ^ (x >> np.uint64(32))
 
 
-def _summed(texts: DataFrame, pairs: bool) -> DataFrame:
-    """(id, c): how often each token occurs over all texts; or (a, b, c): each pair."""
+def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 63-bit id of each pair of names."""
+    x = mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64))
+    return (x | HASHED).view(np.int64)
 
-    def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, n = [], 0
 
-        def flush() -> pd.DataFrame:
-            ids = np.concatenate(waiting)
-            if not pairs:
-                ids, c = np.unique(ids, return_counts=True)
-                return pd.DataFrame({"id": ids, "c": c.astype(np.int64)})
-            a, b = ids[:-1], ids[1:]
-            a, b = a[a != END_ID], b[a != END_ID]
-            _, at, c = np.unique(pair_ids(a, b), return_index=True, return_counts=True)
-            return pd.DataFrame({"a": a[at], "b": b[at], "c": c.astype(np.int64)})
+def bit_places(ids: np.ndarray) -> np.ndarray:
+    """The bit of each pair's id in the bitmap."""
+    return (mixed(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)).astype(np.int64)
+
+
+def named_pairs(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacent tokens as (x, y): one number and 0 if both are in the head, which has size tokens, else two names.
+
+    A name is the place plus one for a token of the head, else its hash.
+    """
+    both = (at[:-1] >= 0) & (at[1:] >= 0)
+    names = np.where(at >= 0, at + 1, ids)
+    return np.where(both, at[:-1] * size + at[1:], names[:-1]), np.where(both, 0, names[1:])
+
 
+def _counted(count: Callable[..., list[np.ndarray]], columns: list[str]) -> Callable:
+    """A function for mapInPandas that counts the ids of FLUSH tokens at a time and hands the counts on in slices."""
+
+    def over(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, n = [], 0
         for batch in batches:
             for text in batch["text"]:
-                got = token_ids(text)
-                waiting.append(got)
-                n += len(got)
-            if n >= FLUSH:
-                yield flush()
-                waiting, n = [], 0
+                waiting.append(token_ids(text))
+                n += len(waiting[-1])
+                if n >= FLUSH:
+                    ids, waiting, n = np.concatenate(waiting), [], 0
+                    yield from sliced(count(ids))
         if n:
-            yield flush()
+            yield from sliced(count(np.concatenate(waiting)))
+
+    def sliced(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(found[0]), SENT_ROWS):
+            yield pd.DataFrame({k: x[at : at + SENT_ROWS] for k, x in zip(columns, found)})
+
+    return over
+
+
+def _token_counts(texts: DataFrame) -> DataFrame:
+    """(id, c): how often each token occurs over all texts."""
+
+    def count(ids: np.ndarray) -> list[np.ndarray]:
+        return list(np.unique(ids, return_counts=True))
+
+    counted = texts.mapInPandas(_counted(count, ["id", "c"]), "id long, c long")
+    return counted.groupBy("id").agg(F.sum("c").alias("c"))
 
-    keys = ["a", "b"] if pairs else ["id"]
-    counted = texts.mapInPandas(count, ", ".join(f"{k} long" for k in [*keys, "c"]))
-    return counted.groupBy(*keys).agg(F.sum("c").alias("c"))
+
+def _pair_counts(texts: DataFrame, head) -> DataFrame:
+    """(x, y, c): how often each pair of adjacent tokens occurs over all texts, named as in named_pairs."""
+
+    def count(ids: np.ndarray) -> list[np.ndarray]:
+        ends = head.value["id"]
+        x, y = named_pairs(ids, places(ids, ends), len(ends))
+        inside = ids[:-1] != END_ID
+        x, y = x[inside], y[inside]
+        near, times = np.unique(x[y == 0], return_counts=True)
+        x, y = x[y != 0], y[y != 0]
+        _, at, others = np.unique(pair_ids(x, y), return_index=True, return_counts=True)
+        names = np.concatenate([near, x[at]]), np.concatenate([np.zeros(len(near), np.int64), y[at]])
+        return [*names, np.concatenate([times, others])]
+
+    counted = texts.mapInPandas(_counted(count, ["x", "y", "c"]), "x long, y long, c long")
+    return counted.groupBy("x", "y").agg(F.sum("c").alias("c"))
 
 
 def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n: int, v: int) -> dict:
@@ -118,58 +164,111 @@ def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_coun
     return {"head": head, "root": root, "pairs": pairs, "arc": np.log10(p) if len(p) else p, "fail": fail}
 
 
-def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    found = df.orderBy("id").toArrow()
-    return {k: found.column(k).to_numpy() for k in df.columns}
+def _arrays(df: DataFrame, by: str = "id") -> dict[str, np.ndarray]:
+    found = df.toArrow()
+    order = np.argsort(found.column(by).to_numpy())
+    return {k: found.column(k).to_numpy()[order] for k in df.columns}
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
-    """The table of tokens and arcs, what of it is broadcast, and the numbers of tokens and of distinct ones.
+    """The table of tokens and arcs that are not broadcast, what is, and the numbers of tokens and of distinct ones.
 
     The table has id, known (1 for a token), and what id adds to base and score.
     """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/lm-{uuid4().hex}"
 
-    @F.pandas_udf("long")
-    def named(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(pair_ids(a.to_numpy().astype(np.int64), b.to_numpy().astype(np.int64)))
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     texts = docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
-    counts = checkpointed(_summed(texts, pairs=False))
+    counts = stored(_token_counts(texts), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(LEAST, math.ceil(n * RATE))
-    root = F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))
+    frequent, rare = counts.where(F.col("c") >= least), counts.where(F.col("c") < least)
+    head = _arrays(frequent)
+    size = max(len(head["id"]), 1)
+    sent = spark.sparkContext.broadcast(head)
+    arcs = stored(_pair_counts(texts, sent).where(F.col("c") >= LEAST), "arcs")
+
+    @F.pandas_udf("long")
+    def count_at(place: pd.Series) -> pd.Series:
+        return pd.Series(sent.value["c"][place.to_numpy()])
+
+    def root(c: Column) -> Column:
+        return F.log10((c + 1) / F.lit(float(n + v + 1)))
 
-    arcs = checkpointed(_summed(texts, pairs=True).where(F.col("c") >= LEAST))
-    ends = counts.select(F.col("id").alias("b"), root.alias("root"))
-    arcs = checkpointed(arcs.join(ends, "b").select("a", "b", "c", "root"))
-    states = arcs.groupBy("a").agg(
-        F.sum(F.col("c") - DISCOUNT).alias("taken"), F.sum(F.pow(F.lit(10.0), "root")).alias("freed")
+    # the counts of an arc's two tokens: ca of its state, cb of its end
+    near = arcs.where(F.col("y") == 0).select(
+        "x", "y", "c", F.floor(F.col("x") / size).alias("a"), (F.col("x") % size).alias("to")
     )
-    rest = lambda x: F.greatest(1 - x, F.lit(1e-12))
-    fail = F.log10(rest(F.col("taken") / F.col("c")) / rest(F.col("freed")))
-    tokens = counts.join(states, counts.id == states.a, "left").select(
-        "id", "c", root.alias("base"), F.coalesce(fail, F.lit(0.0)).alias("fail")
+    near = near.select("x", "y", "c", "a", count_at("a").alias("ca"), count_at("to").alias("cb"))
+    # a pair meets its rare token, a pair of two its first and then its second; so no frequent token is a join's key
+    first, second = F.col("x") < 0, F.col("y") < 0
+    meets = arcs.where(F.col("y") != 0).withColumn("k", F.when(first, F.col("x")).otherwise(F.col("y")))
+    meets = meets.join(rare.select(F.col("id").alias("k"), F.col("c").alias("ck")), "k")
+    twos = meets.where(first & second).join(rare.select(F.col("id").alias("y"), F.col("c").alias("cb")), "y")
+    ones = meets.where(~(first & second)).withColumn("place", F.when(first, F.col("y")).otherwise(F.col("x")) - 1)
+    ones = ones.withColumn("cp", count_at("place"))
+    ca, cb = F.when(first, F.col("ck")).otherwise(F.col("cp")), F.when(first, F.col("cp")).otherwise(F.col("ck"))
+    a = F.when(first, F.col("x")).otherwise(F.col("x") - 1)
+    far = ones.select("x", "y", "c", a.alias("a"), ca.alias("ca"), cb.alias("cb")).unionByName(
+        twos.select("x", "y", "c", F.col("x").alias("a"), F.col("ck").alias("ca"), "cb")
+    )
+    far = stored(far, "far")
+
+    states = near.unionByName(far).groupBy("a").agg(
+        F.sum((F.col("c") - DISCOUNT) / F.col("ca")).alias("taken"),
+        F.sum((F.col("cb") + 1) / F.lit(float(n + v + 1))).alias("freed"),
+    )
+    rest = lambda x: F.greatest(1 - F.col(x), F.lit(1e-12))
+    states = stored(states.select("a", F.log10(rest("taken") / rest("freed")).alias("fail")), "states")
+    fails = np.zeros(size)
+    known = _arrays(states.where(F.col("a") >= 0), "a")
+    fails[known["a"]] = known["fail"]
+    sent_fails = spark.sparkContext.broadcast(fails)
+
+    @F.pandas_udf("double")
+    def fail_at(place: pd.Series) -> pd.Series:
+        return pd.Series(sent_fails.value[place.to_numpy()])
+
+    @F.pandas_udf("long")
+    def pair_named(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(pair_ids(x.to_numpy(), y.to_numpy()))
+
+    @F.pandas_udf("long")
+    def bit_at(ids: pd.Series) -> pd.Series:
+        return pd.Series(bit_places(ids.to_numpy()))
+
+    beyond = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - root(F.col("cb")) - F.col("fail")
+    near = near.select(F.col("x").alias("id"), "c", "ca", "cb", fail_at("a").alias("fail"))
+    far = far.withColumn("id", pair_named("x", "y"))
+    rare_states = states.where(F.col("a") < 0)
+    far = far.where(~first).withColumn("fail", fail_at("a")).unionByName(far.where(first).join(rare_states, "a"))
+    near, far = near.select("id", "c", beyond.alias("score")), far.select("id", "c", beyond.alias("score"))
+
+    ids = arcs.where(F.col("c") < least).select(
+        bit_at(F.when(F.col("y") == 0, F.col("x")).otherwise(pair_named("x", "y"))).alias("bit")
     )
-    tokens = checkpointed(tokens)
-    begins = tokens.select(F.col("id").alias("a"), F.col("c").alias("ca"), "fail")
-    beyond = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - F.col("root") - F.col("fail")
-    pairs = checkpointed(arcs.join(begins, "a").select(named("a", "b").alias("id"), "c", beyond.alias("score")))
-
-    tokens = tokens.select("id", "c", "base", (F.col("base") + F.col("fail")).alias("score"))
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(id, {64 - BITMAP}) & 63 as int))")
-    word = F.shiftrightunsigned("id", 64 - BITMAP + 6).alias("id")
-    words = _arrays(pairs.select(word, bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits")))
+    bit = F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = ids.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    words = _arrays(words)
     bitmap = np.zeros(1 << BITMAP - 6, dtype=np.int64)
     bitmap[words["id"]] = words["bits"]
-    head = {
-        "tokens": _arrays(tokens.where(F.col("c") >= least).drop("c")),
-        "pairs": _arrays(pairs.where(F.col("c") >= least).drop("c")),
+    base = np.log10((head["c"] + 1) / (n + v + 1))
+    walked = {
+        "tokens": {"id": head["id"], "base": base, "score": base + fails[: len(base)]},
+        "pairs": _arrays(near.where(F.col("c") >= least).drop("c")),
         "bitmap": bitmap,
     }
-    table = tokens.select("id", F.lit(1).alias("known"), "base", "score").unionByName(
-        pairs.select("id", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score")
+    fail = F.coalesce("fail", F.lit(0.0))
+    tokens = rare.join(rare_states.withColumnRenamed("a", "id"), "id", "left").select(
+        "id", F.lit(1).alias("known"), root(F.col("c")).alias("base"), (root(F.col("c")) + fail).alias("score")
     )
-    return table, head, n, v
+    pairs = near.unionByName(far).where(F.col("c") < least)
+    table = tokens.unionByName(pairs.select("id", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "score"))
+    return table, walked, n, v
 
 
 def traverse(head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,12 +280,13 @@ def traverse(head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     base, score = np.zeros(len(ids)), np.zeros(len(ids))
     known = at >= 0
     base[known], score[known] = tokens["base"][at[known]], tokens["score"][at[known]]
-    pair = np.concatenate([ids[:1], pair_ids(ids[:-1], ids[1:])])
+    x, y = named_pairs(ids, at, max(len(tokens["id"]), 1))
+    pair = np.concatenate([ids[:1], np.where(y == 0, x, pair_ids(x, y))])
     paired = np.concatenate([[False], ids[:-1] != END_ID])
     arc = places(pair, arcs["id"])
     taken = paired & (arc >= 0)
     score[taken] += arcs["score"][arc[taken]]
-    place = (pair.view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
+    place = bit_places(pair)
     maybe = (head["bitmap"][place >> 6] >> (place & 63)) & 1
     return at, base, score, pair, paired & ~taken & (maybe == 1)
 
