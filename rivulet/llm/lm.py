@@ -52,7 +52,7 @@ DISCOUNT = 0.75
 #: No word can contain it.
 END = b"\n"
 #: Tokens that a task counts before it hands the counts on.
-FLUSH = 2_000_000
+FLUSH = 750_000
 #: Rows of counts that a task hands on at once.
 SENT_ROWS = 200_000
 #: The sign bit: set in every hash, never in a place.
