@@ -237,9 +237,11 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     def pair_named(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(pair_ids(x.to_numpy(), y.to_numpy()))
 
+    # one function for name and bit: two in a row would take two Python workers a task
     @F.pandas_udf("long")
-    def bit_at(ids: pd.Series) -> pd.Series:
-        return pd.Series(bit_places(ids.to_numpy()))
+    def bit_at(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = x.to_numpy(), y.to_numpy()
+        return pd.Series(bit_places(np.where(y == 0, x, pair_ids(x, y))))
 
     beyond = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - root(F.col("cb")) - F.col("fail")
     near = near.select(F.col("x").alias("id"), "c", "ca", "cb", fail_at("a").alias("fail"))
@@ -248,9 +250,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     far = far.where(~first).withColumn("fail", fail_at("a")).unionByName(far.where(first).join(rare_states, "a"))
     near, far = near.select("id", "c", beyond.alias("score")), far.select("id", "c", beyond.alias("score"))
 
-    ids = arcs.where(F.col("c") < least).select(
-        bit_at(F.when(F.col("y") == 0, F.col("x")).otherwise(pair_named("x", "y"))).alias("bit")
-    )
+    ids = arcs.where(F.col("c") < least).select(bit_at("x", "y").alias("bit"))
     bit = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = ids.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
     words = _arrays(words)
