@@ -55,6 +55,8 @@ END = b"\n"
 FLUSH = 750_000
 #: Rows of counts that a task hands on at once.
 SENT_ROWS = 200_000
+#: Counts from here on are added up in the task, until there are SENT_ROWS of them.
+OFTEN = 64
 #: The sign bit: set in every hash, never in a place.
 HASHED = np.uint64(1 << 63)
 
@@ -103,9 +105,25 @@ def named_pairs(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _counted(count: Callable[..., list[np.ndarray]], columns: list[str]) -> Callable:
-    """A function for mapInPandas that counts the ids of FLUSH tokens at a time and hands the counts on in slices."""
+    """A function for mapInPandas that counts the ids of FLUSH tokens at a time and hands the counts on in slices.
+
+    What is frequent in the corpus comes again with every FLUSH tokens, so such counts are first added up.
+    """
 
     def over(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = []
+        for ids in flushed(batches):
+            found = count(ids)
+            many = found[-1] >= OFTEN
+            often.append(pd.DataFrame({k: x[many] for k, x in zip(columns, found)}))
+            yield from sliced([x[~many] for x in found])
+            if sum(map(len, often)) >= SENT_ROWS:
+                yield added(often)
+                often = []
+        if often:
+            yield added(often)
+
+    def flushed(batches: Iterable[pd.DataFrame]) -> Iterator[np.ndarray]:
         waiting, n = [], 0
         for batch in batches:
             for text in batch["text"]:
@@ -113,14 +131,17 @@ def _counted(count: Callable[..., list[np.ndarray]], columns: list[str]) -> Call
                 n += len(waiting[-1])
                 if n >= FLUSH:
                     ids, waiting, n = np.concatenate(waiting), [], 0
-                    yield from sliced(count(ids))
+                    yield ids
         if n:
-            yield from sliced(count(np.concatenate(waiting)))
+            yield np.concatenate(waiting)
 
     def sliced(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(found[0]), SENT_ROWS):
             yield pd.DataFrame({k: x[at : at + SENT_ROWS] for k, x in zip(columns, found)})
 
+    def added(often: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(often).groupby(columns[:-1], as_index=False).sum()
+
     return over
 
 
@@ -149,7 +170,8 @@ def _pair_counts(texts: DataFrame, head) -> DataFrame:
         return [*names, np.concatenate([times, others])]
 
     counted = texts.mapInPandas(_counted(count, ["x", "y", "c"]), "x long, y long, c long")
-    return counted.groupBy("x", "y").agg(F.sum("c").alias("c"))
+    # most pairs are new to a task: a hash table of them before the shuffle takes memory and saves few rows
+    return counted.repartition("x", "y").groupBy("x", "y").agg(F.sum("c").alias("c"))
 
 
 def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n: int, v: int) -> dict:
