@@ -17,8 +17,10 @@ an arc is looked up. A bitmap of a fixed size spares the join most pairs that ar
 no arcs; a pair that it lets through by chance meets nothing.
 
 Broadcast tokens go by their places, so that a pair of two of them is one small
-number: it is counted, weighed and looked up as that, and no join is needed to
-find its tokens' counts. Other tokens go by negative hashes.
+number: it is counted, weighed and looked up as that, and a broadcast join finds
+its tokens' counts. Other tokens go by negative hashes. Python reads the texts, to
+count and to score; what is between is joins of Spark, so that no task has more
+than one Python worker.
 
 Defined results: a null or empty text is its end token alone; a null doc_id
 trains and is not held out; repeated rows count as often as they occur and each
@@ -57,6 +59,11 @@ FLUSH = 750_000
 SENT_ROWS = 200_000
 #: Counts from here on are added up in the task, until there are SENT_ROWS of them.
 OFTEN = 64
+#: The primes of XXH64.
+PRIMES = [
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+]
 #: The sign bit: set in every hash, never in a place.
 HASHED = np.uint64(1 << 63)
 
@@ -78,20 +85,38 @@ def places(ids: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.where(head[at] == ids, at, -1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's function of this name gives for columns of longs, as unsigned numbers."""
+    h = np.uint64(42)
+    for column in columns:
+        x = column.view(np.uint64) * PRIMES[1]
+        x = ((x << np.uint64(31)) | (x >> np.uint64(33))) * PRIMES[0]
+        x ^= h + PRIMES[4] + np.uint64(8)
+        h = ((x << np.uint64(27)) | (x >> np.uint64(37))) * PRIMES[0] + PRIMES[3]
+        h = (h ^ (h >> np.uint64(33))) * PRIMES[1]
+        h = (h ^ (h >> np.uint64(29))) * PRIMES[2]
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def pair_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 63-bit id of each pair of names."""
-    x = mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64))
-    return (x | HASHED).view(np.int64)
+    return (xxhash64(a, b) | HASHED).view(np.int64)
+
+
+def pair_id(x: str, y: str) -> Column:
+    """The same by Spark."""
+    return F.xxhash64(x, y).bitwiseOR(F.lit(-(1 << 63)))
 
 
 def bit_places(ids: np.ndarray) -> np.ndarray:
     """The bit of each pair's id in the bitmap."""
-    return (mixed(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITMAP)).astype(np.int64)
+    return (xxhash64(ids) >> np.uint64(64 - BITMAP)).view(np.int64)
+
+
+def bit_place(of: Column) -> Column:
+    """The same by Spark."""
+    return F.shiftrightunsigned(F.xxhash64(of), 64 - BITMAP)
 
 
 def named_pairs(ids: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +239,10 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     sent = spark.sparkContext.broadcast(head)
     arcs = stored(_pair_counts(texts, sent).where(F.col("c") >= LEAST), "arcs")
 
-    @F.pandas_udf("long")
-    def count_at(place: pd.Series) -> pd.Series:
-        return pd.Series(sent.value["c"][place.to_numpy()])
+    head_counts = spark.createDataFrame(pa.table({"place": np.arange(len(head["c"])), "c": head["c"]}))
+
+    def at_place(place: str, c: str) -> DataFrame:
+        return F.broadcast(head_counts.select(F.col("place").alias(place), F.col("c").alias(c)))
 
     def root(c: Column) -> Column:
         return F.log10((c + 1) / F.lit(float(n + v + 1)))
@@ -225,14 +251,14 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     near = arcs.where(F.col("y") == 0).select(
         "x", "y", "c", F.floor(F.col("x") / size).alias("a"), (F.col("x") % size).alias("to")
     )
-    near = near.select("x", "y", "c", "a", count_at("a").alias("ca"), count_at("to").alias("cb"))
+    near = near.join(at_place("a", "ca"), "a").join(at_place("to", "cb"), "to").select("x", "y", "c", "a", "ca", "cb")
     # a pair meets its rare token, a pair of two its first and then its second; so no frequent token is a join's key
     first, second = F.col("x") < 0, F.col("y") < 0
     meets = arcs.where(F.col("y") != 0).withColumn("k", F.when(first, F.col("x")).otherwise(F.col("y")))
     meets = meets.join(rare.select(F.col("id").alias("k"), F.col("c").alias("ck")), "k")
     twos = meets.where(first & second).join(rare.select(F.col("id").alias("y"), F.col("c").alias("cb")), "y")
     ones = meets.where(~(first & second)).withColumn("place", F.when(first, F.col("y")).otherwise(F.col("x")) - 1)
-    ones = ones.withColumn("cp", count_at("place"))
+    ones = ones.join(at_place("place", "cp"), "place")
     ca, cb = F.when(first, F.col("ck")).otherwise(F.col("cp")), F.when(first, F.col("cp")).otherwise(F.col("ck"))
     a = F.when(first, F.col("x")).otherwise(F.col("x") - 1)
     far = ones.select("x", "y", "c", a.alias("a"), ca.alias("ca"), cb.alias("cb")).unionByName(
@@ -247,32 +273,19 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     rest = lambda x: F.greatest(1 - F.col(x), F.lit(1e-12))
     states = stored(states.select("a", F.log10(rest("taken") / rest("freed")).alias("fail")), "states")
     fails = np.zeros(size)
+    head_states, rare_states = F.broadcast(states.where(F.col("a") >= 0)), states.where(F.col("a") < 0)
     known = _arrays(states.where(F.col("a") >= 0), "a")
     fails[known["a"]] = known["fail"]
-    sent_fails = spark.sparkContext.broadcast(fails)
-
-    @F.pandas_udf("double")
-    def fail_at(place: pd.Series) -> pd.Series:
-        return pd.Series(sent_fails.value[place.to_numpy()])
-
-    @F.pandas_udf("long")
-    def pair_named(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(pair_ids(x.to_numpy(), y.to_numpy()))
-
-    # one function for name and bit: two in a row would take two Python workers a task
-    @F.pandas_udf("long")
-    def bit_at(x: pd.Series, y: pd.Series) -> pd.Series:
-        x, y = x.to_numpy(), y.to_numpy()
-        return pd.Series(bit_places(np.where(y == 0, x, pair_ids(x, y))))
 
     beyond = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - root(F.col("cb")) - F.col("fail")
-    near = near.select(F.col("x").alias("id"), "c", "ca", "cb", fail_at("a").alias("fail"))
-    far = far.withColumn("id", pair_named("x", "y"))
-    rare_states = states.where(F.col("a") < 0)
-    far = far.where(~first).withColumn("fail", fail_at("a")).unionByName(far.where(first).join(rare_states, "a"))
+    near = near.join(head_states, "a").withColumn("id", F.col("x"))
+    far = far.withColumn("id", pair_id("x", "y"))
+    far = far.where(~first).join(head_states, "a").unionByName(far.where(first).join(rare_states, "a"))
     near, far = near.select("id", "c", beyond.alias("score")), far.select("id", "c", beyond.alias("score"))
 
-    ids = arcs.where(F.col("c") < least).select(bit_at("x", "y").alias("bit"))
+    ids = arcs.where(F.col("c") < least).select(
+        bit_place(F.when(F.col("y") == 0, F.col("x")).otherwise(pair_id("x", "y"))).alias("bit")
+    )
     bit = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     words = ids.groupBy(F.shiftright("bit", 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
     words = _arrays(words)

@@ -381,6 +381,14 @@ def test_lm_rate_does_not_choose_arcs(spark, docs, monkeypatch):
         assert np.allclose([g[5:] for g in other], [g[5:] for g in got[2]], rtol=1e-9)
 
 
+def test_lm_hashes_equal_sparks(spark):
+    rows = [(0, 0), (1, -1), (-(2**63), 2**63 - 1), (12345678901234, -987654321)]
+    df = spark.createDataFrame(rows, "x long, y long").select("x", "y", lm.pair_id("x", "y"), lm.bit_place(F.col("x")))
+    x, y, pair, bit = (np.array(c, dtype=np.int64) for c in zip(*df.collect()))
+    assert (lm.pair_ids(x, y) == pair).all() and (lm.bit_places(x) == bit).all()
+    assert ((bit >= 0) & (bit < 1 << lm.BITMAP)).all()
+
+
 def test_automaton_sums_to_one():
     head = np.array([1, 5, 9])
     m = lm.automaton(head, np.array([6, 3, 2]), np.array([1, 5]), np.array([4, 2]), 12, 4)
