@@ -239,7 +239,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     sent = spark.sparkContext.broadcast(head)
     arcs = stored(_pair_counts(texts, sent).where(F.col("c") >= LEAST), "arcs")
 
-    head_counts = spark.createDataFrame(pa.table({"place": np.arange(len(head["c"])), "c": head["c"]}))
+    head_counts = stored(spark.createDataFrame(pa.table({"place": np.arange(len(head["c"])), "c": head["c"]})), "places")
 
     def at_place(place: str, c: str) -> DataFrame:
         return F.broadcast(head_counts.select(F.col("place").alias(place), F.col("c").alias(c)))
