@@ -1,10 +1,11 @@
 """Importance resampling towards a target: documents weighed by hashed n-grams, drawn by Gumbel keys.
 
-Each task keeps a trie of words: a node is a run of up to `order` words, and holds its count and the CRC-32 of its
-bytes, which a child continues from its parent's. The tries' counts are added up by bucket in the task and merged by
-Spark, at most `buckets` rows a task. Then the documents are read again; each walks its paths in a trie whose nodes
-have the gains of their buckets attached. A trie that has grown to MAX_NODES is emptied into its totals and begun
-anew, which changes no count; a text is walked PIECE words at a time.
+Each task walks its texts through tries of words, PATHS words at a time. A node is a run of up to `order` words and
+holds its count and the state of the CRC-32 of its bytes, which a child continues: CRC-32 is linear, so that a step by
+a word is a table for the word's length and the CRC of what the word adds, for all children of a level at once. Words'
+own nodes stay until there are MAX_NODES of them; the nodes below them, most of which occur once in a corpus, go when
+their counts are added to the task's bucket totals, which Spark merges, at most `buckets` rows a task. Then the
+documents are read again; each walks its paths in a trie whose nodes have the gains of their buckets attached.
 
 The gains, `buckets` numbers, are the only thing that passes the driver and is broadcast. Ranks come from one sort of
 all documents' scores by range, the sizes of its partitions, and places within them, so that no task orders all rows.
@@ -20,6 +21,9 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,9 @@ from rivulet.llm.common import checkpointed
 BUCKETS, ORDER, SEED = 10_000, 2, 7
 MIN_WORDS, PERCENT = 20, 25
 
-#: Nodes of a task's trie (about 200 bytes each), words of a text and places of paths that are walked at once.
-MAX_NODES, PIECE, PATHS = 400_000, 50_000, 1_000_000
+#: Words with a node of their own in a task (about 200 bytes each), words of a text and of texts that are walked
+#: together, and texts of a batch.
+MAX_NODES, PIECE, PATHS, ROWS = 400_000, 50_000, 250_000, 512
 
 #: a-z and 0-9 and what is beyond ASCII as they are, A-Z in lower case, a space for all else.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -43,37 +48,68 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_KEPT).split() if text else []
 
 
-class Trie:
-    """Runs of words. first: word -> node; deeper: node and next word's own node -> node; crc: by node."""
+@lru_cache(maxsize=4_096)
+def _after_zeros(n: int) -> np.ndarray:
+    """What n zero bytes make of a CRC-32, as four tables, one for each of its bytes."""
+    if n == 1:
+        images = np.array([zlib.crc32(bytes([0]), 1 << bit) ^ zlib.crc32(bytes([0])) for bit in range(32)], np.uint64)
+    else:
+        half = _shifted(_after_zeros(n // 2), _after_zeros(n // 2)[:, 1 << np.arange(8)].ravel())
+        images = _shifted(_after_zeros(1), half) if n % 2 else half
+    bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+    return np.stack([np.bitwise_xor.reduce(np.where(bits, images[8 * k : 8 * k + 8], 0), axis=1) for k in range(4)]).astype(np.uint64)
 
-    def __init__(self) -> None:
-        self.crc = array("L")
-        self._tails: dict[int, bytes] = {}
-        self.first, self.deeper = _Made(self._root_child), _Made(self._child)
 
-    def _root_child(self, word: bytes) -> int:
-        self.crc.append(zlib.crc32(word))
-        self._tails[len(self.crc) - 1] = b" " + word
-        return len(self.crc) - 1
+def _shifted(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    parts = [tables[k][(crc >> np.uint64(8 * k)) & np.uint64(255)] for k in range(4)]
+    return parts[0] ^ parts[1] ^ parts[2] ^ parts[3]
 
-    def _child(self, key: int) -> int:
-        self.crc.append(zlib.crc32(self._tails[key & 0xFFFFFFFF], self.crc[key >> 32]))
-        return len(self.crc) - 1
 
-    def paths(self, found: list[bytes], order: int) -> Iterator[np.ndarray]:
-        """The nodes of all runs of up to `order` words, some at a time."""
-        for start in range(0, len(found), PIECE):
-            piece = found[start : start + PIECE + order - 1]
-            single = np.fromiter(map(self.first.__getitem__, piece), np.int64, len(piece))
-            level = single
-            yield level[:PIECE]
-            for k in range(1, order):
-                keys = (level[: len(piece) - k] << 32 | single[k:]).tolist()
-                level = np.fromiter(map(self.deeper.__getitem__, keys), np.int64, len(keys))
-                yield level[:PIECE]
+def continued(crc: np.ndarray, tail: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The CRC-32 of bytes that go on with a tail, from theirs and the tail's own one and its length."""
+    out = np.empty_like(crc)
+    for n in np.unique(length):
+        same = length == n
+        out[same] = _shifted(_after_zeros(int(n)), crc[same]) ^ tail[same]
+    return out
+
 
-    def buckets(self, number: int, start: int = 0) -> np.ndarray:
-        return np.frombuffer(self.crc, dtype=f"u{self.crc.itemsize}")[start:].astype(np.int64) % number
+class Trie:
+    """Runs of words. A word's node holds its CRC state and what a step to it from another node needs."""
+
+    def __init__(self) -> None:
+        self._state, self._tail, self._length = array("L"), array("L"), array("L")
+        self._root = _Made(self._word)
+
+    def __len__(self) -> int:
+        return len(self._state)
+
+    def _word(self, word: bytes) -> int:
+        self._state.append(zlib.crc32(word))
+        self._tail.append(zlib.crc32(b" " + word))
+        self._length.append(len(word) + 1)
+        return len(self._state) - 1
+
+    def walk(self, pieces: list[Piece], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Level by level: the nodes' CRC states, and for each run its node and its piece.
+
+        The nodes below the first level are those of these pieces: a child is a node and the next word's node.
+        """
+        single = np.fromiter(map(self._root.__getitem__, chain.from_iterable(p.words for p in pieces)), np.int64)
+        states, tails, lengths = (np.array(x, np.uint64) for x in (self._state, self._tail, self._length))
+        sizes = np.array([len(p.words) for p in pieces])
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        place = np.arange(len(single)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(place < np.array([p.begun for p in pieces])[piece])
+        crc, nodes = states, single[at]
+        yield crc, nodes, piece[at]
+        for k in range(1, order):
+            goes_on = place[at] + k < sizes[piece[at]]
+            at, nodes = at[goes_on], nodes[goes_on]
+            children, nodes = np.unique(nodes << 32 | single[at + k], return_inverse=True)
+            words_ = children & 0xFFFFFFFF
+            crc = continued(crc[children >> 32], tails[words_], lengths[words_])
+            yield crc, nodes, piece[at]
 
 
 class _Made(dict):
@@ -87,37 +123,46 @@ class _Made(dict):
         return made
 
 
+class Piece(NamedTuple):
+    """Words of a text, and how many of them begin a run here: the last ones only end runs."""
+
+    text: int
+    words: list[bytes]
+    begun: int
+
+
+def _walked(texts: pa.Array, order: int) -> Iterator[list[Piece]]:
+    """Texts in pieces of PIECE words, about PATHS words at a time; a text without words has none."""
+    waiting, n = [], 0
+    for k, text in enumerate(texts.to_pylist()):
+        found = words(text)
+        for start in range(0, len(found), PIECE):
+            part = found[start : start + PIECE + order - 1]
+            waiting.append(Piece(k, part, min(PIECE, len(part))))
+            n += len(part)
+            if n >= PATHS:
+                yield waiting
+                waiting, n = [], 0
+    if waiting:
+        yield waiting
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+
 def bucket_totals(docs: DataFrame, order: int, buckets: int) -> DataFrame:
     """(bucket, n): how many features of all texts each bucket has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, trie, waiting, places = np.zeros(buckets, np.int64), Trie(), [], 0
-        counts = np.zeros(0, np.int64)
-
-        def settle() -> None:
-            nonlocal counts, waiting, places
-            if waiting:
-                more = np.bincount(np.concatenate(waiting), minlength=len(trie.crc))
-                more[: len(counts)] += counts
-                counts, waiting, places = more, [], 0
-
-        def emptied() -> None:
-            nonlocal counts
-            settle()
-            np.add.at(totals, trie.buckets(buckets), counts)
-            counts = np.zeros(0, np.int64)
-
-        for batch in batches:
-            for text in batch.column(0):
-                for path in trie.paths(words(text.as_py()), order):
-                    waiting.append(path)
-                    places += len(path)
-                    if places > PATHS:
-                        settle()
-                if len(trie.crc) > MAX_NODES:
-                    emptied()
+        totals, trie = np.zeros(buckets, np.int64), Trie()
+        for batch in _batches(batches):
+            for pieces in _walked(batch.column(0), order):
+                for crc, nodes, _ in trie.walk(pieces, order):
+                    held = np.bincount(nodes, minlength=len(crc))
+                    totals += np.bincount(crc.astype(np.int64) % buckets, held, buckets).astype(np.int64)
+                if len(trie) > MAX_NODES:
                     trie = Trie()
-        emptied()
         there = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(totals[there])], ["bucket", "n"])
 
@@ -139,27 +184,21 @@ def weighed(docs: DataFrame, gain: list[int], order: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(gain)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket = np.array(sent.value, np.int64)
-        trie, by_node, known = Trie(), np.zeros(4_096, np.int64), 0
-        for batch in batches:
-            n_words, n_features, weights = [], [], []
-            for text in batch.column(1):
-                found, total, number = words(text.as_py()), 0, 0
-                for path in trie.paths(found, order):
-                    if known < (n := len(trie.crc)):
-                        if n > len(by_node):
-                            by_node = np.concatenate([by_node[:known], np.zeros(n, np.int64)])
-                        by_node[known:n] = by_bucket[trie.buckets(len(by_bucket), known)]
-                        known = n
-                    total += int(by_node[path].sum())
-                    number += len(path)
-                n_words.append(len(found))
-                n_features.append(number)
-                weights.append(total // number if number else 0)
-                if len(trie.crc) > MAX_NODES:
-                    trie, known = Trie(), 0
+        by_bucket, trie = np.array(sent.value, np.int64), Trie()
+        for batch in _batches(batches):
+            n_words, n_features, total = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            for pieces in _walked(batch.column(1), order):
+                text = np.array([p.text for p in pieces])
+                np.add.at(n_words, text, [p.begun for p in pieces])
+                for crc, nodes, piece in trie.walk(pieces, order):
+                    gained = by_bucket[crc.astype(np.int64) % len(by_bucket)]
+                    np.add.at(n_features, text, np.bincount(piece, minlength=len(text)))
+                    np.add.at(total, text, np.bincount(piece, gained[nodes], len(text)).astype(np.int64))
+                if len(trie) > MAX_NODES:
+                    trie = Trie()
+            weights = total // np.maximum(n_features, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_features, weights))],
+                [batch.column(0), *(pa.array(x) for x in (n_words, n_features, weights))],
                 ["doc_id", "n_words", "n_features", "weight"],
             )
 
