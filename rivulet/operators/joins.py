@@ -58,12 +58,12 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], low: float
 
 def broadcast_as_of(data: DataFrame, config: DataFrame, seq: str, value: str, default: int,
                     width: Width = WIDTH) -> DataFrame:
-    """data with the last config value that arrived before each row, else the default."""
-    both = data.withColumn("__set", F.lit(None).cast(config.schema[value].dataType)).unionByName(
-        config.select(F.col(seq), F.col(value).alias("__set")), allowMissingColumns=True
-    ).withColumn("__config", F.col("__set").isNotNull())
+    """data with the last config value that arrived before each row, else the default. A null value sets the default."""
+    kind = config.schema[value].dataType
+    rows = data.withColumns({"__set": F.lit(None).cast(kind), "__config": F.lit(False)})
+    sets = config.select(F.col(seq), F.col(value).alias("__set"), F.lit(True).alias("__config"))
     last = F.when(F.col("__config"), F.struct(F.col(seq).alias("at"), F.col("__set").alias("v")))
-    got = running(both, [], seq, {"__last": ("max", last)}, width)
+    got = running(rows.unionByName(sets, allowMissingColumns=True), [], seq, {"__last": ("max", last)}, width)
     return got.where(~F.col("__config")).select(
         *data.columns, F.coalesce(F.col("__last.v"), F.lit(default)).alias(value)
     )

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 #: Numbers in a chunk, or records on average where the width is measured, and chunks at most.
 WIDTH, CHUNKS = 1 << 18, 1 << 16
+#: The column that holds a row's chunk.
 _CHUNK = "__chunk"
 Width = int | Column
 
@@ -38,11 +39,11 @@ _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
 }
 
 
-def even_width(df: DataFrame, seq: str) -> Column:
-    """The numbers in a chunk of df, for the width of the functions below, as a subquery. df: best a plain scan."""
-    span = F.max(seq) - F.min(seq) + 1.0
-    chunks = F.greatest(F.least(F.ceil(F.count(seq) / WIDTH), F.lit(CHUNKS)), F.lit(1))
-    return df.agg(F.greatest(span / chunks, F.lit(1.0)).alias("width")).scalar()
+def even_width(df: DataFrame, seq: str) -> int:
+    """The numbers in a chunk of df, for the width of the functions below: measured once, by one aggregate."""
+    low, high, n = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
+    chunks = min(max(-(-n // WIDTH), 1), CHUNKS)
+    return max(-(-int(high - low + 1) // chunks), 1) if n else WIDTH
 
 
 def _chunked(df: DataFrame, keys: list[str], seq: str, width: Width) -> tuple[DataFrame, list[str]]:
@@ -130,9 +131,9 @@ def running_extreme(df: DataFrame, keys: list[str], seq: str, value: str, kind:
 
 def running_extreme_by(df: DataFrame, keys: list[str], seq: str, value: str, kind: str, others: list[str],
                        width: Width = WIDTH) -> DataFrame:
-    """The whole record that has the highest or lowest field; of equal ones the first."""
+    """The whole record that has the highest or lowest field; of equal ones the first. Null fields do not count."""
     tie = -F.col(seq) if kind == "max" else F.col(seq)
-    record = F.struct(F.col(value).alias("by"), tie.alias("tie"), *[F.col(c) for c in others])
+    record = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("by"), tie.alias("tie"), *[F.col(c) for c in others]))
     got = running(df, keys, seq, {"__best": (kind, record)}, width)
     return got.select(
         *df.columns, F.col("__best.by").alias(f"{kind}_{value}"), *[F.col(f"__best.{c}").alias(f"at_{c}") for c in others]

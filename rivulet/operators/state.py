@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.accumulators import Accumulator
+from rivulet.operators.accumulate import running_accumulate
 from rivulet.operators.running import WIDTH, Width, previous, running
 
 
@@ -47,35 +51,55 @@ def timer_firings(df: DataFrame, keys: list[str], ts: str, at: str) -> DataFrame
 
 
 def changelog(df: DataFrame, keys: list[str], seq: str, value: str, width: Width = WIDTH) -> DataFrame:
-    """The updates of sum(value) by key as a changelog: +I first, then -U with the old and +U with the new sum."""
-    sums = {"__new": ("sum", F.col(value).cast("long")), "__n": ("sum", F.col(value).isNotNull().cast("long"))}
+    """The updates of sum(value) by key as a changelog: +I first, then -U with the old and +U with the new sum.
+
+    A null value changes no sum, but it is an update; the sum is null until a value that is not.
+    """
+    v = F.col(value).cast("long")
+    sums = {
+        "__new": ("sum", v),
+        "__n": ("sum", F.lit(1).cast("long")),
+        "__values": ("sum", v.isNotNull().cast("long")),
+    }
     got = running(df, keys, seq, sums, width)
-    earlier = F.col("__n") > F.col(value).isNotNull().cast("long")
-    old = F.when(earlier, F.col("__new") - F.coalesce(F.col(value).cast("long"), F.lit(0)))
+    earlier = F.col("__values") - v.isNotNull().cast("long") > 0
+    old = F.when(earlier, F.col("__new") - F.coalesce(v, F.lit(0)))
     first = F.array(F.struct(F.lit("+I").alias("op"), F.col("__new").alias("total")))
     later = F.array(
         F.struct(F.lit("-U").alias("op"), old.alias("total")),
         F.struct(F.lit("+U").alias("op"), F.col("__new").alias("total")),
     )
-    return got.select(*keys, seq, F.inline(F.when(earlier, later).otherwise(first)))
+    return got.select(*keys, seq, F.inline(F.when(F.col("__n") > 1, later).otherwise(first)))
+
+
+class _Counts(Accumulator):
+    """How often each value has occurred, as entries in the order of the values."""
+
+    def __init__(self, value: str, kind: str) -> None:
+        self.value, self.schema = value, f"entries array<struct<value:{kind},n:long>>"
+
+    def create(self) -> Counter:
+        return Counter()
+
+    def add(self, state: Counter, row: tuple) -> Counter:
+        state[getattr(row, self.value)] += 1
+        return state
+
+    def merge(self, a: Counter, b: Counter) -> Counter:
+        return a + b
+
+    def result(self, state: Counter) -> tuple:
+        ordered = sorted(state, key=lambda v: (v is not None, v))
+        return ([{"value": v, "n": state[v]} for v in ordered],)
 
 
 def map_states(df: DataFrame, key: str, seq: str, value: str, width: Width = WIDTH) -> DataFrame:
     """The whole map after each record: how often each value of the key has occurred so far, as entries by value.
 
-    Each record meets the last count of every value that its key has had; so a key's distinct values, and not
-    its records, multiply the rows on the way.
+    The map at the start of each (key, chunk) is what the key's earlier chunks count; null values come first.
     """
-    counted = map_counts(df, key, seq, value, width).select(
-        F.col(key).alias("__k"), F.col(seq).alias("__s"), F.col(value).alias("__w"), F.col("n").alias("__n")
-    )
-    values = df.select(F.col(key).alias("__k"), F.col(value).alias("__v")).distinct()
-    asked = df.select(key, seq).join(values, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
-    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col(seq) == F.col("__s")) & F.col("__v").eqNullSafe(F.col("__w"))
-    both = asked.join(counted, same, "left").select(key, seq, "__v", "__n")
-    upto = running(both, [key, "__v"], seq, {"__so_far": ("max", F.col("__n"))}, width)
-    entry = F.when(F.col("__so_far").isNotNull(), F.struct(F.col("__v").alias("value"), F.col("__so_far").alias("n")))
-    return upto.groupBy(key, seq).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    counts = _Counts(value, df.schema[value].dataType.simpleString())
+    return running_accumulate(df, [key], seq, [value], counts, width)
 
 
 def running_subtask_count(df: DataFrame, subtask: str, seq: str, width: Width = WIDTH) -> DataFrame:

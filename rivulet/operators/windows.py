@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.running import WIDTH, Width, numbered
+from pyspark.sql.window import Window
+
+from rivulet.operators.running import _CHUNK, WIDTH, Width, _chunked, even_width, numbered
 
 
 def bounds(window: str = "window") -> list[Column]:
@@ -32,10 +34,39 @@ def ingestion_time(df: DataFrame, name: str = "ingested", clock: Column | None =
 
 
 def session_windows(df: DataFrame, keys: list[str], aggregates: list[Column], gap: str | Column,
-                    ts: str = "ts") -> DataFrame:
-    """Sessions with a fixed gap, or one for each record. Sessions that touch are one."""
-    grouped = df.groupBy(*keys, F.session_window(ts, gap).alias("window")).agg(*aggregates)
-    return grouped.select(*keys, *bounds(), *[c for c in grouped.columns if c not in (*keys, "window")])
+                    ts: str = "ts", width: Width | None = None) -> DataFrame:
+    """Sessions with a fixed gap, or one for each record. Sessions that touch are one.
+
+    Times are cut into chunks of `width` microseconds (measured, if not given). Within (key, chunk) a record begins a
+    session if it comes after all earlier records' gaps, those of earlier chunks included; the records are numbered by
+    the sessions begun up to them. So no task has more than a chunk of a key, and a row for each of its chunks.
+    Records without a time, or whose gap is null or not positive, take no part. No name may begin with "__".
+    """
+    end = F.col(ts) + (F.expr(f"INTERVAL {gap}") if isinstance(gap, str) else gap)
+    timed = df.select("*", F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"), end.alias("__end"))
+    if width is None:
+        width = even_width(timed, "__at")
+    rows, plain = _chunked(timed.where(F.col("__end") > F.col(ts)), keys, "__at", width)
+    inside = Window.partitionBy(*plain).orderBy("__at")
+    others = [k for k in plain if k != _CHUNK]
+    earlier = Window.partitionBy(*others).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+
+    ends = rows.groupBy(*plain).agg(F.max("__end").alias("__last"))
+    ends = ends.select(*plain, F.max("__last").over(earlier).alias("__before"))
+    last = F.max("__end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    open_until = F.greatest(last, F.col("__before"))
+    fresh = F.when(open_until.isNull() | (F.col(ts) > open_until), 1).otherwise(0)
+    marked = rows.join(ends, plain).withColumn("__fresh", fresh.cast("long"))
+
+    begun = marked.groupBy(*plain).agg(F.sum("__fresh").alias("__begun"))
+    begun = begun.select(*plain, F.coalesce(F.sum("__begun").over(earlier), F.lit(0)).alias("__base"))
+    # records of one time are in one session, whichever of them counts as its first
+    number = F.sum("__fresh").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = marked.withColumn("__no", number).join(begun, plain)
+    grouped = placed.groupBy(*keys, (F.col("__base") + F.col("__no")).alias("__session")).agg(
+        F.min(ts).alias("w_start"), F.max("__end").alias("w_end"), *aggregates
+    )
+    return grouped.drop("__session")
 
 
 def seconds_gap(seconds: Column) -> Column:

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.functions import udfs
+from rivulet.functions import accumulators, udfs
 from rivulet.model import parse_lines, sensor_view, table
-from rivulet.operators import eventtime, joins, running, state, topn, transforms, windows
+from rivulet.operators import accumulate, eventtime, joins, running, state, topn, transforms, windows
 from rivulet.sinks.records import keyed_record
 from rivulet.sources.generators import datagen, generate
 
@@ -53,8 +53,8 @@ def disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensors(spark, sf_dir).withColumn("arrival", second * PLACES + F.col("seq"))
 
 
-def even(spark: SparkSession, sf_dir: str):
-    """The width of chunks of the disordered arrival order."""
+def even(spark: SparkSession, sf_dir: str) -> int:
+    """The width of chunks of the disordered arrival order, measured once for each query."""
     return running.even_width(disordered(spark, sf_dir), "arrival")
 
 
@@ -145,9 +145,9 @@ def wordcount_running(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     placed = docs.select("doc_id", F.posexplode(transforms.java_split(F.col("text"))).alias("place", "word"))
     placed = placed.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "word")
-    seq = F.col("doc_id") * (1 << 24) + F.col("place")
-    placed = placed.withColumn("seq", seq)
-    width = running.even_width(docs.select((F.col("doc_id") * (1 << 24)).alias("seq")), "seq")
+    first = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31)  # a text has fewer words
+    placed = placed.withColumn("seq", first + F.col("place"))
+    width = running.even_width(docs.select(first.alias("seq")), "seq")
     got = running.numbered(placed, ["word"], "seq", "n", width)
     return got.select("doc_id", "place", "word", "n")
 
@@ -211,6 +211,39 @@ def reduce_running(spark, sf_dir):
     return running.running_reduce(sensors(spark, sf_dir), ["user_id"], "seq", "vc").select("user_id", "ts", "sum_vc")
 
 
+@query("""WITH {s} SELECT seq, user_id, CAST(list_reduce(list(abs(vc)) OVER (PARTITION BY user_id ORDER BY seq
+ROWS UNBOUNDED PRECEDING), lambda h, v: (h * 31 + v) % 1000003) AS BIGINT) AS code FROM s""")
+def reduce_user(spark, sf_dir):
+    """A reducer of the user that is no sum and not commutative: steps x -> 31 x + v, put together modulo a prime."""
+    s = sensors(spark, sf_dir).select("user_id", "seq", F.lit(31).alias("times"), F.abs("vc").alias("plus"))
+    step = lambda a, b: (a[0] * b[0] % 1_000_003, (a[1] * b[0] + b[1]) % 1_000_003)
+    reducer = accumulators.Reducer(step, "times long, code long")
+    got = accumulate.running_accumulate(s, ["user_id"], "seq", ["times", "plus"], reducer)
+    return got.select("seq", "user_id", "code")
+
+
+def _rise_sql(keys: str, hour: str = "") -> str:
+    return f"""WITH {{s}}, k AS (SELECT *{hour} FROM s), f AS (
+        SELECT *, CASE WHEN vc > lag(vc) OVER (PARTITION BY {keys} ORDER BY seq) THEN 0 ELSE 1 END AS fresh FROM k
+    ), g AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS no FROM f
+    ), r AS (SELECT *, row_number() OVER (PARTITION BY {keys}, no ORDER BY seq) AS run FROM g)
+    """
+
+
+@query(_rise_sql("user_id") + """SELECT seq, user_id, max(run) OVER (PARTITION BY user_id ORDER BY seq
+ROWS UNBOUNDED PRECEDING) AS longest_rise FROM r""")
+def accumulate_running(spark, sf_dir):
+    acc = accumulators.RisingStreak("vc")
+    return accumulate.running_accumulate(sensors(spark, sf_dir), ["user_id"], "seq", ["vc"], acc)
+
+
+@query(_rise_sql("id, w_start", f", {HOUR} AS w_start") + """SELECT id, w_start, w_start + INTERVAL 1 HOUR AS w_end,
+max(run) AS longest_rise FROM r GROUP BY id, w_start""")
+def accumulate_window(spark, sf_dir):
+    acc = accumulators.RisingStreak("vc")
+    return accumulate.window_accumulate(sensors(spark, sf_dir), ["id"], "seq", ["vc"], acc, "1 hour")
+
+
 # windows
 
 
@@ -396,8 +429,9 @@ FATES_SQL = f"""WITH {DISORDERED}, m AS (
 """
 
 
-def _fates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 1800, width=even(spark, sf_dir))
+def _fates(spark: SparkSession, sf_dir: str, width: int | None = None) -> DataFrame:
+    width = width or even(spark, sf_dir)
+    marked = eventtime.with_watermark(disordered(spark, sf_dir), "arrival", 1800, width=width)
     return eventtime.lateness(marked, "1 hour", 1200)
 
 
@@ -418,7 +452,8 @@ def allowed_lateness_final(spark, sf_dir):
     WINDOW w AS (PARTITION BY id, w_start ORDER BY arrival ROWS UNBOUNDED PRECEDING))
 SELECT seq, id, w_start, CAST(sum_so_far AS BIGINT) AS sum_so_far, n_so_far FROM g WHERE fate = 'again'""")
 def lateness_refire(spark, sf_dir):
-    fired = eventtime.refires(_fates(spark, sf_dir), ["id"], "arrival", "vc", even(spark, sf_dir))
+    width = even(spark, sf_dir)
+    fired = eventtime.refires(_fates(spark, sf_dir, width), ["id"], "arrival", "vc", width)
     return fired.select("seq", "id", "w_start", "sum_so_far", "n_so_far")
 
 
@@ -428,8 +463,9 @@ def lateness_refire(spark, sf_dir):
     WINDOW w AS (PARTITION BY user_id, w_start ORDER BY arrival ROWS UNBOUNDED PRECEDING))
 SELECT seq, user_id, w_start, n_left, n_right FROM g WHERE fate = 'again'""")
 def cogroup_refire(spark, sf_dir):
-    sides = _fates(spark, sf_dir).where("id IN ('click', 'purchase')")
-    fired = eventtime.cogroup_refires(sides, ["user_id"], "arrival", F.col("id") == "click", even(spark, sf_dir))
+    width = even(spark, sf_dir)
+    sides = _fates(spark, sf_dir, width).where("id IN ('click', 'purchase')")
+    fired = eventtime.cogroup_refires(sides, ["user_id"], "arrival", F.col("id") == "click", width)
     return fired.select("seq", "user_id", "w_start", "n_left", "n_right")
 
 
@@ -501,7 +537,8 @@ SELECT seq, vc, threshold, vc - threshold AS excess FROM p WHERE id <> 'signup'
 def broadcast_threshold(spark, sf_dir):
     s = sensors(spark, sf_dir)
     config = s.where("id = 'signup'").select("seq", F.col("vc").alias("threshold"))
-    got = joins.broadcast_as_of(s.where("id <> 'signup'"), config, "seq", "threshold", 0)
+    width = running.even_width(s, "seq")
+    got = joins.broadcast_as_of(s.where("id <> 'signup'"), config, "seq", "threshold", 0, width)
     return got.where("vc > threshold").select("seq", "vc", "threshold", (F.col("vc") - F.col("threshold")).alias("excess"))
 
 
@@ -539,11 +576,11 @@ def table_api_group(spark, sf_dir):
     return s.groupBy("user_id").agg(F.sum("vc").cast("int").alias("sum_vc"))
 
 
-@query("""WITH {s}, r AS (SELECT id, seq, sum(vc) OVER w AS now, sum(vc) OVER (PARTITION BY id ORDER BY seq
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM s
+@query("""WITH {s}, r AS (SELECT id, seq, sum(vc) OVER w AS now, row_number() OVER w AS n, sum(vc) OVER (PARTITION BY id
+    ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM s
     WINDOW w AS (PARTITION BY id ORDER BY seq ROWS UNBOUNDED PRECEDING))
-SELECT id, seq, CASE WHEN old IS NULL THEN '+I' ELSE '+U' END AS op, CAST(now AS BIGINT) AS total FROM r
-UNION ALL SELECT id, seq, '-U', CAST(old AS BIGINT) FROM r WHERE old IS NOT NULL""")
+SELECT id, seq, CASE WHEN n = 1 THEN '+I' ELSE '+U' END AS op, CAST(now AS BIGINT) AS total FROM r
+UNION ALL SELECT id, seq, '-U', CAST(old AS BIGINT) FROM r WHERE n > 1""")
 def changelog(spark, sf_dir):
     return state.changelog(sensors(spark, sf_dir), ["id"], "seq", "vc")
 

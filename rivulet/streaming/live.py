@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.operators.eventtime import idle_watermark, interval_late
+from rivulet.operators.joins import broadcast_as_of
 from rivulet.operators.topn import top_counts
+from rivulet.streaming.runtime import delete_checkpoint
 
 
 def windowed(stream: DataFrame, keys: list[str], aggregates: list[Column], size: str, slide: str | None = None,
              delay: str = "0 seconds", allowed: str | None = None, ts: str = "ts") -> DataFrame:
-    """Window aggregates under a watermark. Allowed lateness is more delay: the same final values, later."""
+    """Window aggregates under a watermark. Allowed lateness is more delay: the same final values, later.
+
+    Windows that fire again for each late row are streaming/windows.refiring_windows.
+    """
     wait = f"{delay} {allowed}" if allowed else delay
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, wait)
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
@@ -61,6 +67,7 @@ def late_rows(ts: str, delay_seconds: float, marks: str, on_time: Callable[[Data
             late(kept.where(is_late), number)
             top = kept.agg(F.greatest(F.max(ts), F.lit(mark).cast("timestamp")).alias("mark"))
             top.coalesce(1).write.mode("overwrite").parquet(f"{marks}/{number}")
+            _forget(batch, marks, number - 2)
         finally:
             kept.unpersist()
 
@@ -74,6 +81,90 @@ def _mark(batch: DataFrame, marks: str, number: int) -> object:
     return batch.sparkSession.read.schema("mark timestamp").parquet(f"{marks}/{number - 1}").first()[0]
 
 
+def replayed(states: str, replay: Callable[[DataFrame], DataFrame], summary: Callable[[DataFrame], DataFrame],
+             sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a replay over arrival order that goes on from batch to batch, whatever the batches' sizes.
+
+    replay keeps the rows' columns and adds its own; summary gives the few rows (of all so far) on which later ones
+    depend. They are written under states for each batch and put before the next one's rows; so a batch that is run
+    again, and a restart, find what the batch before has left. Earlier states are removed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.withColumn("__new", F.lit(True))
+        if number:
+            kept = spark.read.schema(batch.schema).parquet(f"{states}/{number - 1}")
+            rows = rows.unionByName(kept.withColumn("__new", F.lit(False)))
+        rows = rows.persist()
+        try:
+            sink(replay(rows).where("__new").drop("__new"), number)
+            summary(rows.drop("__new")).coalesce(1).write.mode("overwrite").parquet(f"{states}/{number}")
+            _forget(batch, states, number - 2)
+        finally:
+            rows.unpersist()
+
+    return write
+
+
+def _forget(batch: DataFrame, states: str, number: int) -> None:
+    """What a batch left is not needed once the next but one is done."""
+    if number >= 0:
+        delete_checkpoint(batch.sparkSession, f"{states}/{number}")
+
+
+def _last_by(df: DataFrame, keys: list[Column], by: str) -> DataFrame:
+    """Of each key the row with the highest value in a column."""
+    row = F.struct(*df.columns)
+    found = df.where(F.col(by).isNotNull()).groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    return found.agg(F.max_by(row, by).alias("__row")).select("__row.*")
+
+
+def config_in_order(seq: str, is_config: str, value: str, name: str, default: int, states: str,
+                    sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over data and config as one stream: each data row with the config that stood when it arrived.
+
+    seq orders both; is_config tells config rows, whose value becomes the column `name`; a null value sets the default.
+    """
+
+    def replay(rows: DataFrame) -> DataFrame:
+        config = rows.where(is_config).select(seq, F.col(value).alias(name))
+        return broadcast_as_of(rows.where(~F.col(is_config)), config, seq, name, default)
+
+    return replayed(states, replay, lambda rows: _last_by(rows.where(is_config), [F.lit(0)], seq), sink)
+
+
+def idle_partitions(seq: str, partition: str, n: int, clock: str, idle: int, delay: int, states: str,
+                    sink: Callable[[DataFrame, int], None], ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each row with wm, the watermark over n partitions of which silent ones do not hold the others.
+
+    Kept for each partition: its highest event time, and its last clock.
+    """
+
+    def summary(rows: DataFrame) -> DataFrame:
+        return _last_by(rows, [F.col(partition)], ts).union(_last_by(rows, [F.col(partition)], clock)).distinct()
+
+    return replayed(
+        states, lambda rows: idle_watermark(rows, seq, partition, n, clock, idle, delay, ts), summary, sink
+    )
+
+
+def joint_late(seq: str, side: str, delay: int, states: str, on_time: Callable[[DataFrame, int], None],
+               late: Callable[[DataFrame, int], None], ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over both inputs of an interval join as one stream: late rows of either side to their own sink.
+
+    The lower of both sides' marks decides for both, record by record. Kept for each side: its highest event time.
+    """
+
+    def route(rows: DataFrame, number: int) -> None:
+        on_time(rows.where(~F.col("late")).drop("late"), number)
+        late(rows.where("late").drop("late"), number)
+
+    return replayed(
+        states, lambda rows: interval_late(rows, seq, side, delay, ts), lambda rows: _last_by(rows, [F.col(side)], ts), route
+    )
+
+
 def window_counts(stream: DataFrame, value: str, size: str, slide: str | None = None, delay: str = "0 seconds",
                   ts: str = "ts") -> DataFrame:
     """The count of each value and window, for ranked. To be written in append mode: once, when the window is over."""

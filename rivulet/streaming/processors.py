@@ -1,6 +1,7 @@
 """Stateful processors for live streams: value, list, map, reducing and aggregating state, expiry, timers.
 
-Rows of one key in a micro-batch come in no order, so each processor sorts them by seq.
+Rows of one key in a micro-batch come in no order, so each processor sorts them by seq. A null vc gives no alert, is
+counted as a value of its own in map state, and changes no sum and no list.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values("seq")
 
 
+def _values(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int | None]]:
+    """(seq, vc) in order; a null vc is None."""
+    frame = _ordered(rows)
+    return ((seq, None if pd.isna(vc) else int(vc)) for seq, vc in zip(frame["seq"], frame["vc"], strict=True))
+
+
 class JumpAlerts(StatefulProcessor):
     """Value state: the key's last value; an alert where the next differs by more than limit."""
 
@@ -29,13 +36,13 @@ class JumpAlerts(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
-            if last is not None and abs(vc - last) > self.limit:
+        for seq, vc in _values(rows):
+            if last is not None and vc is not None and abs(vc - last) > self.limit:
                 out.append((key[0], seq, vc, last))
-            last = int(vc)
+            last = vc
         self.last.update((last,))
         if out:
-            yield pd.DataFrame(out, columns=["id", "seq", "vc", "prev_vc"])
+            yield pd.DataFrame(out, columns=["id", "seq", "vc", "prev_vc"]).astype({"vc": "Int32", "prev_vc": "Int32"})
 
     def close(self) -> None:
         pass
@@ -53,10 +60,12 @@ class TopList(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         top = [v[0] for v in self.top.get()] if self.top.exists() else []
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
-            top = sorted([*top, int(vc)], reverse=True)[: self.n]
+        for seq, vc in _values(rows):
+            if vc is not None:
+                top = sorted([*top, vc], reverse=True)[: self.n]
             out.append((key[0], seq, ",".join(map(str, top))))
-        self.top.put([(v,) for v in top])
+        if top:
+            self.top.put([(v,) for v in top])
         yield pd.DataFrame(out, columns=["id", "seq", "top"])
 
     def close(self) -> None:
@@ -73,12 +82,12 @@ class ValueCounts(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
-            at = (int(vc),)
+        for seq, vc in _values(rows):
+            at = (vc,)
             n = (self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0) + 1
             self.counts.updateValue(at, (n,))
             out.append((key[0], seq, vc, n))
-        yield pd.DataFrame(out, columns=["id", "seq", "vc", "n"])
+        yield pd.DataFrame(out, columns=["id", "seq", "vc", "n"]).astype({"vc": "Int32"})
 
     def close(self) -> None:
         pass
@@ -93,13 +102,14 @@ class SumAndAverage(StatefulProcessor):
         self.sums = handle.getValueState("sums", "total long, n long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        total, n = self.sums.get() if self.sums.exists() else (0, 0)
+        total, n = self.sums.get() if self.sums.exists() else (None, 0)
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
-            total, n = total + int(vc), n + 1
-            out.append((key[0], seq, total, total / n))
+        for seq, vc in _values(rows):
+            if vc is not None:
+                total, n = (total or 0) + vc, n + 1
+            out.append((key[0], seq, total, total / n if n else None))
         self.sums.update((total, n))
-        yield pd.DataFrame(out, columns=["id", "seq", "total", "average"])
+        yield pd.DataFrame(out, columns=["id", "seq", "total", "average"]).astype({"total": "Int64", "average": "Float64"})
 
     def close(self) -> None:
         pass
@@ -116,9 +126,9 @@ class Expiring(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
+        for seq, vc in _values(rows):
             out.append((key[0], seq, self.last.get()[0] if self.last.exists() else None))
-            self.last.update((int(vc),))
+            self.last.update((vc,))
         yield pd.DataFrame(out, columns=["id", "seq", "found"]).astype({"found": "Int32"})
 
     def close(self) -> None:
@@ -207,11 +217,11 @@ class GlobalWindow(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seen = self.seen.get()[0] if self.seen.exists() else 0
         out = []
-        for vc in _ordered(rows)["vc"]:
-            self.held.appendValue((int(vc),))
+        for _, vc in _values(rows):
+            self.held.appendValue((vc,))
             seen += 1
             if seen % self.n == 0:
-                out.append((key[0], seen, sum(v[0] for v in self.held.get())))
+                out.append((key[0], seen, sum(v[0] or 0 for v in self.held.get())))
                 self.held.clear()
         self.seen.update((seen,))
         yield pd.DataFrame(out, columns=["id", "fired_at", "total"])
@@ -229,16 +239,15 @@ class Changelog(StatefulProcessor):
         self.total = handle.getValueState("total", "total long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        total = self.total.get()[0] if self.total.exists() else None
+        begun = self.total.exists()
+        total = self.total.get()[0] if begun else None
         out = []
-        for seq, vc in _ordered(rows)[["seq", "vc"]].itertuples(index=False):
-            if total is None:
-                total = int(vc)
-                out.append((key[0], seq, "+I", total))
-            else:
-                out += [(key[0], seq, "-U", total), (key[0], seq, "+U", total := total + int(vc))]
+        for seq, vc in _values(rows):
+            old, total = total, total if vc is None else (total or 0) + vc
+            out += [(key[0], seq, "-U", old), (key[0], seq, "+U", total)] if begun else [(key[0], seq, "+I", total)]
+            begun = True
         self.total.update((total,))
-        yield pd.DataFrame(out, columns=["id", "seq", "op", "total"])
+        yield pd.DataFrame(out, columns=["id", "seq", "op", "total"]).astype({"total": "Int64"})
 
     def close(self) -> None:
         pass
