@@ -7,13 +7,21 @@ notice nor many short entries pass for an article. The two ratios are smoothed
 over neighbours below one element and fused by multiplication. Paths above SHARE
 of the page's highest value are the content paths, and the innermost element that
 holds all their blocks is the content region: the article or main around it, if
-there is one. Every block of the region is content, however short, but for those
-in elements that are marked, by tag or class, as no part of an article; marks on
-the region's own ancestors count for nothing. Where only the page itself holds
-all content paths, their blocks are content, with the plain blocks between them
-and the headings before them. Kept blocks are returned whole, in page order.
-
-What elements are for only adjusts the ratios: MARKED and INSIDE weigh a path.
+there is one.
+
+Elements that are marked, by tag or class, as no part of an article have no
+content paths, nor has a header above all articles; a page of nothing else has no
+text, but for an article or main inside marked elements. A form that holds most of
+a page's text is its frame and not marked. Marks on the region's own ancestors
+count for nothing.
+
+Within the region every block is content, however short, but for marked ones and
+what the ratios of its path tell: paths whose text is links by LINKED or more are
+menus, and trailing rows of two or more alike elements that begin with a short
+line and a date are readers' comments. A heading below which all is dropped goes
+with it. Where only the page itself holds all content paths, their blocks are
+content, with the plain blocks between them and the headings before them. Kept
+blocks are returned whole, in page order.
 
 A page is read in one pass, in time linear in its length: script, style and the
 like end at their own end tag alone, quotes that never end are plain characters,
@@ -31,6 +39,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,11 +64,18 @@ OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
     "cookies disclaimer footer masthead menu modal nav navbar navigation newsletter notice overlay "
     "pager pagination popup promo promoted recommended related replies respond share sharing sidebar signup "
-    "social sponsor sponsored subscribe toolbar widget".split()
+    "social sponsor sponsored subscribe toolbar widget "
+    "commentary commentlist discussion disqus feedback guestbook messages msg responses reviews thread".split()
 )
 BESIDE_WORDS = frozenset(
-    "area article articles bar block body bottom box button buttons container content entry form global group header inner "
-    "item items left links list main page panel post posts reader right section site text top user wrap wrapper".split()
+    "area article articles bar block body bottom box button buttons container content customer entry form global group "
+    "header inner item items left links list main page panel post posts reader readers right section site slot text top "
+    "user users wrap wrapper".split()
+)
+#: What tells that a short line is the head of a comment.
+_DATED = re.compile(
+    r"(?i)\b\d{1,2}[:.]\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\bago\b|\byesterday\b|\bsays?\b|\bwrote\b"
+    r"|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2}\b|\b\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
 )
 #: An element closed by the start of one of these, as in the HTML standard.
 CLOSES = {
@@ -76,9 +92,13 @@ _HOLDERS = frozenset(["td", "th", "li", "dd", "div", "article", "section", "main
 _P = frozenset(["p"])
 _NONE: frozenset[str] = frozenset()
 
-#: Weights of paths inside INSIDE and of marked ones; the share of the highest value that makes a content path.
-INSIDE_WEIGHT, MARKED_WEIGHT = 3.0, 0.1
+#: The weight of paths inside INSIDE; the share of the highest value that makes a content path.
+INSIDE_WEIGHT = 3.0
 SHARE = 0.3
+#: The share of a path's text in links that makes it a menu; the share of a page's text that makes a form its frame.
+LINKED, FRAME = 0.7, 0.5
+#: Characters of a comment's first line, at most.
+HEAD_CHARS = 60
 #: The share of the content paths' text that makes one container of a page the content region.
 MOST = 0.9
 #: Weights of a block's neighbours and itself.
@@ -91,6 +111,8 @@ _UNQUOTED = re.compile(r"[^\"'>]*")
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_ROWS = frozenset(["div", "section", "article", "li"])
+_COMMENT_END = re.compile(r"--!?>")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
@@ -99,9 +121,12 @@ def tags(html: str) -> Iterator[tuple[str, str, str]]:
     at, begun, quotes, endless = 0, 0, True, set()
     while (at := html.find("<", at)) >= 0:
         if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
             yield html[begun:at], "", ""
-            at = begun = len(html) if end < 0 else end + 3
+            if html.startswith(("<!-->", "<!--->"), at):
+                at = begun = html.index(">", at) + 1
+                continue
+            end = _COMMENT_END.search(html, at + 4)
+            at = begun = end.end() if end else len(html)
             continue
         if html[at + 1 : at + 2] in ("!", "?"):
             end = html.find(">", at)
@@ -160,6 +185,7 @@ class Page:
         self.linked: list[int] = []
         self._paths: dict[tuple[int, str], int] = {}
         self._read(html)
+        self._unmark_frames()
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
@@ -234,8 +260,39 @@ class Page:
             open_tags[tag] = open_tags.get(tag, 0) + 1
         end_block()
 
-    def values(self) -> list[float]:
-        """The value of each block's path: its two ratios, smoothed and fused, where they are highest."""
+    def _unmark_frames(self) -> None:
+        """A form with most of the page's text outside links is no form of the page but its frame."""
+        if "form" not in self.tag:
+            return
+        chars = self._summed([max(len(t) - n, 0) for t, n in zip(self.texts, self.linked, strict=True)])
+        for e in range(1, len(self.parent)):
+            if self.marked[e] == e and self.tag[e] == "form" and chars[e] > FRAME * chars[0]:
+                self.marked[e] = self.marked[self.parent[e]]
+            elif self.marked[e] != e:
+                self.marked[e] = self.marked[self.parent[e]]
+
+    def _summed(self, of_blocks: list[int]) -> list[int]:
+        """What each element's blocks add up to."""
+        sums = [0] * len(self.parent)
+        for e, n in zip(self.element, of_blocks, strict=True):
+            sums[e] += n
+        for e in range(len(sums) - 1, 0, -1):
+            sums[self.parent[e]] += sums[e]
+        return sums
+
+    def possible(self) -> list[bool]:
+        """Whether a block may be on a content path: not marked; if there are none of these, in an article below marks."""
+        texts = [len(t) > n for t, n in zip(self.texts, self.linked, strict=True)]
+        plain = [
+            self.marked[e] < 0 and (self.headed[e] < 0 or self.inside[e] >= 0 and self.inside[e] < self.headed[e])
+            for e in self.element
+        ]
+        if any(p and t for p, t in zip(plain, texts, strict=True)):
+            return plain
+        return [self.inside[e] > self.marked[e] for e in self.element]
+
+    def ratios(self) -> list[tuple[float, float]]:
+        """The two ratios of each block's path, smoothed over the block's neighbours below its element's parent."""
         paths = [self.path[e] for e in self.element]
         sums: dict[int, list[int]] = {}
         for p, text, linked in zip(paths, self.texts, self.linked, strict=True):
@@ -244,21 +301,62 @@ class Page:
             s[1] += len(_PUNCTUATION.findall(text))
             s[2] += 1
         holder = [self.parent[e] for e in self.element]
-        n = len(paths)
-        best: dict[int, float] = {}
+        out = []
         for i, p in enumerate(paths):
-            ratios = []
-            for k in (0, 1):
-                total = 0.0
-                for step, weight in zip((-1, 0, 1), SMOOTH, strict=True):
-                    j = i + step
-                    s = sums[paths[j] if 0 <= j < n and holder[j] == holder[i] else p]
-                    total += weight * s[k] / s[2] ** 0.5
-                ratios.append(total)
-            e = self.element[i]
-            weight = (MARKED_WEIGHT if self.marked[e] >= 0 else 1.0) * (INSIDE_WEIGHT if self.inside[e] >= 0 else 1.0)
-            best[p] = max(best.get(p, 0.0), ratios[0] * (1 + ratios[1]) * weight)
-        return [best[p] for p in paths]
+            total = [0.0, 0.0]
+            for step, weight in zip((-1, 0, 1), SMOOTH, strict=True):
+                j = i + step
+                s = sums[paths[j] if 0 <= j < len(paths) and holder[j] == holder[i] else p]
+                for k in (0, 1):
+                    total[k] += weight * s[k] / s[2] ** 0.5
+            out.append((total[0], total[1]))
+        return out
+
+    def values(self) -> list[float]:
+        """The value of each block's path: its two ratios fused, where they are highest; 0 if it may be none of content."""
+        best: dict[int, float] = {}
+        may = self.possible()
+        for e, (chars, marks), m in zip(self.element, self.ratios(), may, strict=True):
+            weight = INSIDE_WEIGHT if self.inside[e] >= 0 else 1.0
+            best[self.path[e]] = max(best.get(self.path[e], 0.0), chars * (1 + marks) * weight * m)
+        return [best[self.path[e]] * m for e, m in zip(self.element, may, strict=True)]
+
+    def menus(self) -> set[int]:
+        """Paths whose text is links by LINKED or more, headings apart."""
+        sums: dict[int, list[int]] = {}
+        for e, text, linked in zip(self.element, self.texts, self.linked, strict=True):
+            if self.tag[e] not in HEADINGS:
+                s = sums.setdefault(self.path[e], [0, 0])
+                s[0] += len(text)
+                s[1] += min(linked, len(text))
+        return {p for p, (chars, linked) in sums.items() if linked >= LINKED * chars}
+
+    def comments(self, chosen: list[bool], region: int) -> list[bool]:
+        """Blocks of trailing rows of alike elements, each of which begins with a short line and is dated."""
+        n, blocks = len(self.parent), len(self.texts)
+        first, last, heads = [blocks] * n, [-1] * n, [False] * n
+        for i, e in enumerate(self.element):
+            first[e], last[e] = min(first[e], i), max(last[e], i)
+        rows: dict[tuple[int, int], list[int]] = {}
+        for e in range(n - 1, 0, -1):
+            above = self.parent[e]
+            first[above], last[above] = min(first[above], first[e]), max(last[above], last[e])
+            heads[above] = heads[above] or heads[e] or self.tag[e] in HEADINGS
+            if self.tag[e] in _ROWS and last[e] > first[e] and e > region:
+                rows.setdefault((above, self.path[e]), []).append(e)
+        before = list(accumulate(chosen, initial=0))
+        out = [False] * blocks
+        for members in rows.values():
+            start, end = first[members[-1]], last[members[0]]
+            trails = before[start] > 0 and before[blocks] == before[end + 1]
+            if len(members) > 1 and trails and not any(heads[e] for e in members) and all(map(self._signed, [first[e] for e in members])):
+                for e in members:
+                    out[first[e] : last[e] + 1] = [True] * (last[e] + 1 - first[e])
+        return out
+
+    def _signed(self, i: int) -> bool:
+        head = self.texts[i]
+        return len(head) <= HEAD_CHARS and bool(_DATED.search(head) or _DATED.search(self.texts[i + 1][:HEAD_CHARS]))
 
     def is_page(self, e: int) -> bool:
         return e == 0 or self.tag[e] in ("html", "body")
@@ -306,19 +404,29 @@ class Page:
         depth = self.depth[region]
         whole = self.is_page(region)
         first, last = chosen.index(True), len(chosen) - chosen[::-1].index(True)
-        keep = []
+        menus, comments = self.menus(), self.comments(chosen, region)
+        keep, dropped = [], []
         for i, e in enumerate(self.element):
             mark = max(self.marked[e], self.headed[e] if whole else -1)
             clear = self.within(e, region) and (mark < 0 or self.depth[mark] <= depth)
             if whole:
                 clear = clear and (chosen[i] or first < i < last and self.tag[e] in PLAIN)
-            keep.append(clear)
+            dropped.append(clear and (comments[i] or self.path[e] in menus and not chosen[i]))
+            keep.append(clear and not dropped[-1])
         if whole and not any(keep):
             keep = chosen
         for i in range(len(keep) - 2, -1, -1):  # a heading belongs to the block after it
             e = self.element[i]
             if self.tag[e] in HEADINGS and self.marked[e] < 0:
                 keep[i] = keep[i] or keep[i + 1]
+        below: bool | None = None  # of the blocks down to the next heading: whether one is kept, None if there are none
+        for i in range(len(keep) - 1, -1, -1):
+            if self.tag[self.element[i]] in HEADINGS:
+                if below is False and self.tag[self.element[i]] != "h1":
+                    keep[i] = False
+                below = None
+            elif keep[i] or dropped[i]:
+                below = bool(below) or keep[i]
         return keep
 
 
