@@ -3,9 +3,10 @@
 The patterns are the base. The field tags the tokens around every place that
 could hold a secret as begin, inside or outside, from the token's shape, the words
 and marks next to it and features of the whole file, and Viterbi's algorithm gives
-the best tags. Such a place is a token of MIN_TOKEN characters with a digit, or
-one that follows a colon or an equals sign; a chain falls apart between these
-places, as everything far from them is outside.
+the best tags. Such a place is a token of MIN_TOKEN characters with a digit, one of
+LONG_TOKEN characters, or one that follows a colon, an equals sign or a word like
+"key"; a chain falls apart between these places, as everything far from them is
+outside.
 
 It is trained here. The base's matches are its labels: of the documents of
 MAX_CHARS characters at most, SAMPLE_DOCS with a base match and SAMPLE_DOCS with
@@ -13,8 +14,9 @@ digits but without a match, by a hash of the text, of which SAMPLE_CHAINS chains
 each are learnt. A chain is learnt as it is, and with its neighbours hidden, so that
 shape counts by itself. As the base knows few forms, MADE more chains come from each
 place of a secret: in the words that stand there, with a secret of another alphabet,
-length and build after another naming word, or with something else that has digits
-(a date, a number, an address, a version) in its place. Documents without a match
+length and build after another naming word, or with something else in its place that
+looks like one (a date, a number, an address, a commit, an image, a colour, a word)
+after a word of its own, as often. Documents without a match
 may hold secrets that the base misses; so a first field, which has not seen them,
 leaves out those of their chains in which it finds one. Spans of the field that
 touch a base span are dropped.
@@ -55,13 +57,15 @@ ANY_BASE = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6}"
     r"|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 )
-SAMPLE_DOCS, MAX_CHARS, SAMPLE_CHAINS = 600, 20_000, 2000
+SAMPLE_DOCS, MAX_CHARS, SAMPLE_CHAINS = 600, 20_000, 4000
 #: Chains made for a place of a secret, more of them in a sample of fewer texts; tokens of a chain learnt together.
-MADE, MADE_TEXTS, CHAIN = 6, 300, 12
-MIN_TOKEN = 6
+MADE, CHAIN = 4, 12
+MIN_TOKEN, LONG_TOKEN = 6, 20
 BEFORE, AFTER = 6, 3
 EPOCHS, RATE, RIDGE = 70, 0.1, 1e-3
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Added after training to every token's weight for beginning a secret: one that is missed is worse than a false alarm.
+LEAN = 1.4
 #: Alphabets, naming words and what stands between word and secret, for made chains.
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (
@@ -73,16 +77,25 @@ ALPHABETS = (
     _DIGITS + _LOWER.upper(),
 )
 NAMES = (
-    "aws_secret_access_key", "pwd", "private_key", "auth_key", "Bearer", "credentials", "passphrase", "client_secret",
-    "access_token", "key", "auth", "signature", "",
+    "credentials", "passphrase", "client_secret", "access_token", "auth_key", "signature", "session_key", "login_pass",
+    "Authorization: Token", "x-auth-key", "refresh_token", "signing key", "service_secret",
 )
 BETWEEN = (" = ", ": ", "=", " ", ' = "', ': "', " => '", "='", " is ")
 
 # tried at the start of a token only, and never twice at one character
-_PLACE = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z+/_.@-]*+[0-9][A-Za-z0-9+/_.@-]*+|(?<=[:=])\s?[\"']?[A-Za-z0-9+/_.@-]++")
+_PLACE = re.compile(
+    r"(?<![A-Za-z0-9+/_.@-])(?:[A-Za-z+/_.@-]*+[0-9][A-Za-z0-9+/_.@-]*+|[A-Za-z+/_.@-]{20,}+)|(?<=[:=])\s?[\"']?[A-Za-z0-9+/_.@-]++"
+)
+_NAMED = re.compile(
+    r"(?i)(?:pass|pwd|secret|token|key|auth|cred|bearer|basic|signature)[a-z_-]{0,16}[\"']?([\s:=>\"']{1,6})([A-Za-z0-9+/_.@-]{6,})"
+)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.@-]+|[^\sA-Za-z0-9+/_.@-]")
 _KEYWORD = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|bearer|private|signature")
 
+_CONSONANTS = re.compile(r"(?i)[bcdfghjklmnpqrstvwxz]+")
+_VOWELS = re.compile(r"(?i)[aeiouy]")
+_CASES = re.compile(r"(?<=[a-z])[A-Z]")
+
 Span = tuple[int, int, int]  # start, place in KINDS, end
 Chain = tuple[list[list[str]], list[bool], list[int]]  # feature names, whether a token may be a secret, tags
 
@@ -103,16 +116,23 @@ def secret_parts(text: str) -> list[tuple[int, int]]:
     return parts + [(s, e) for s, kind, e in base_spans(text) if kind]
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Token offsets around the places that may be secrets; stretches that meet are one."""
-    out: list[list[tuple[int, int]]] = []
-    reach = -1
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where a secret may stand, by start. A plain word that follows a naming word without a mark is no such place."""
+    found = {m.span(2) for m in _NAMED.finditer(text) if m[1].strip() or not (m[2].isalpha() and m[2][1:].islower())}
     for m in _PLACE.finditer(text):
         start, end = m.span()
         while start < end and text[start] in " \t\n\r\"'":
             start += 1
-        if end - start < MIN_TOKEN:
-            continue
+        if end - start >= MIN_TOKEN:
+            found.add((start, end))
+    return sorted(found)
+
+
+def stretches(text: str) -> list[list[tuple[int, int]]]:
+    """Token offsets around the places that may be secrets; stretches that meet are one."""
+    out: list[list[tuple[int, int]]] = []
+    reach = -1
+    for start, end in _places(text):
         low = max(start - 80, 0)
         before = [t.span() for t in _TOKEN.finditer(text, low, start)]
         if low and before and not text[low - 1].isspace():
@@ -143,9 +163,15 @@ def _shape(token: str) -> list[str]:
         f"turns {min(8 * turns // n, 7)}",
         f"digits {min(8 * digits // n, 7)}",
         f"distinct {min(8 * len(set(token)) // n, 8)}",
-        "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token) else "no hex",
+        f"hex {min(n // 8, 5)}" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token) else f"no hex {min(n // 12, 5)}",
         "mail" if "@" in token else "no mail",
         f"dots {min(token.count('.'), 3)}",
+        f"dashes {min(token.count('-'), 4)}",
+        f"slashes {min(token.count('/'), 3)}",
+        f"hundreds {min(n // 100, 5)}",
+        f"letters in a row that no word has {min(max(map(len, _CONSONANTS.findall(token)), default=0) // 2, 4)}",
+        f"vowels {8 * len(_VOWELS.findall(token)) // max(lower + upper, 1)} of {'few' if lower + upper < 8 else 'many'}",
+        f"changes of case {min(8 * len(_CASES.findall(token)) // n, 5)}",
     ]
     if digits and n - digits and n >= 12:
         names.append("long mixture")
@@ -175,11 +201,15 @@ def features(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> li
         names = ["bias", *_shape(s), *file]
         if not hide:
             close = any(keyed[max(i - 4, 0) : i])
+            glued = text[max(tokens[i][0] - 80, 0) : tokens[i][0]].rpartition(" ")[2].rpartition("\n")[2]
             names += [
                 "key near" if close else "no key near",
                 f"before {near[i + 1]}",
                 f"second before {near[i]}",
                 f"after {near[i + 3]}",
+                f"before {near[i + 1]} after {near[i]}",
+                "in an address" if "://" in glued or "www." in glued else "in no address",
+                "glued to a mark" if glued[-1:] in _MARKS else "glued to none",
             ]
             if close and len(s) >= MIN_TOKEN:
                 names.append("key near a long token" + " with digits" * any(c.isdigit() for c in s))
@@ -187,6 +217,9 @@ def features(text: str, tokens: list[tuple[int, int]], hide: bool = False) -> li
     return out
 
 
+_MARKS = tuple("#?&,;/")
+
+
 def possible(text: str, tokens: list[tuple[int, int]]) -> list[bool]:
     """Words of fewer characters are no secrets; marks may go on with one."""
     return [b - a >= MIN_TOKEN or text[a:b] == "=" for a, b in tokens]
@@ -236,6 +269,7 @@ class Field:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w[index["bias"], BEGIN] += LEAN
         return cls(index, w, a)
 
     @staticmethod
@@ -306,33 +340,72 @@ def _drawn(rng: np.random.Generator, alphabet: str, low: int, high: int) -> str:
     return "".join(alphabet[k] for k in rng.integers(0, len(alphabet), rng.integers(low, high)))
 
 
-def _secret(rng: np.random.Generator) -> str:
-    alphabet = ALPHABETS[rng.integers(len(ALPHABETS))]
-    build = rng.integers(6)
-    if build == 0:  # a word with digits, as people choose it
-        return _drawn(rng, _LOWER, 5, 9) + _drawn(rng, _DIGITS, 2, 5) + _drawn(rng, ALPHABETS[2], 0, 5)
-    if build == 1:  # parts with dots
-        return ".".join(_drawn(rng, ALPHABETS[4], 16, 60) for _ in range(3))
-    if build == 2:  # a maker's prefix
-        return _drawn(rng, _LOWER + _LOWER.upper(), 2, 5) + "_-"[rng.integers(2) :][:1] + _drawn(rng, ALPHABETS[2], 20, 44)
-    return _drawn(rng, alphabet, 20, 64) + "=" * int(build == 3)
-
-
-def _other(rng: np.random.Generator) -> str:
+def _secret(rng: np.random.Generator) -> tuple[str, str]:
+    """What stands before a secret, and the secret: named ones may be short, others are long."""
+    alphabet = ALPHABETS[max(rng.integers(-2, len(ALPHABETS)), 0)]
+    letters = _LOWER + _LOWER.upper()
+    named = rng.random() < 0.55
+    name = NAMES[rng.integers(len(NAMES))] + BETWEEN[rng.integers(len(BETWEEN))] if named else ""
+    build = rng.integers(12 if named else 7)
+    if build == 0:  # parts with dots
+        return name, ".".join(_drawn(rng, ALPHABETS[4], 16, 60) for _ in range(rng.integers(2, 4)))
+    if build == 1:  # a maker's prefix
+        return name, _drawn(rng, letters, 2, 5) + "_-."[rng.integers(3)] + _drawn(rng, ALPHABETS[2], 20, 44)
+    if build == 2:  # a maker's prefix of parts
+        return name, "_-"[rng.integers(2)].join([_drawn(rng, _LOWER, 2, 5), _drawn(rng, ALPHABETS[1], 3, 13), _drawn(rng, ALPHABETS[2], 20, 40)])
+    if build == 3 and not named:  # in an address
+        user = f"{_drawn(rng, _LOWER, 3, 9)}://{_drawn(rng, _LOWER, 3, 9)}:"
+        return user, f"{_drawn(rng, ALPHABETS[2], 6, 20)}@{_drawn(rng, _LOWER, 2, 9)}.{_drawn(rng, _LOWER, 3, 9)}.{_drawn(rng, _LOWER, 2, 4)}"
+    if build <= 6:
+        return name, _drawn(rng, alphabet, 24, (50, 130)[rng.integers(2)]) + "=" * int(rng.integers(3) * ("+" in alphabet))
+    if build <= 8:  # a word with digits, as people choose it
+        return name, _drawn(rng, _LOWER, 4, 9) + _drawn(rng, _DIGITS, 2, 5) + _drawn(rng, ALPHABETS[2], 0, 5)
+    if build == 9:
+        return name, _drawn(rng, _LOWER, 8, 14)
+    if build == 10:
+        return name, _drawn(rng, letters, 8, 40)
+    return name, _drawn(rng, ALPHABETS[2], 8, 24)
+
+
+def _other(rng: np.random.Generator, words: list[str]) -> str:
+    """What looks like a secret and is none, after the words that stand before such a thing."""
     n = lambda low, high: str(rng.integers(low, high))
     word = lambda: _drawn(rng, _LOWER, 3, 12)
+    draw = lambda alphabet, low, high: _drawn(rng, alphabet, low, high)
+    lead = lambda *names: names[rng.integers(len(names))] + (" ", ": ", " is ", " ")[rng.integers(4)]
+    hexes, upper = _DIGITS + "abcdef", _DIGITS + _LOWER.upper()
+    seen = lambda: words[rng.integers(len(words))] if words else word()
+    name = lambda: (NAMES[rng.integers(len(NAMES))], "password", "key", "the key", "secret", "the token")[rng.integers(6)]
+    link = lambda: (*BETWEEN, " ", " ", " ", " of ", " for ", " to ", " ")[rng.integers(len(BETWEEN) + 7)]
     return (
         lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}T{n(10, 24)}:{n(10, 60)}:{n(10, 60)}Z",
         lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 90)}-{word()}{n(1, 9)}",
         lambda: f"https://www.{word()}.com/{n(2000, 2030)}/{word()}-{word()}{n(1, 99)}.html",
+        lambda: f"https://{word()}.{word()}.org/{word()}?{word()[: rng.integers(1, 9)]}={draw(ALPHABETS[4], 8, 24)}",
+        lambda: f"http://www.{word()}.com/{word()}?{word()[: rng.integers(1, 4)]}={draw(ALPHABETS[2], 8, 16)}",
+        lambda: f"https://{word()}.com/{word()}/{draw(ALPHABETS[2], 8, 28)}/{word()}",
         lambda: f"{n(900, 999)}-{n(1, 9)}-{n(10, 99)}-{n(100000, 999999)}-{n(0, 9)}",
         lambda: f"{word()}.{n(10, 99)}@{word()}{n(0, 9)}.example.com",
-        lambda: f"{word()}-{word()}-{word()}",
         lambda: f"{n(100000, 999999)}-{word()[:1].upper()}{n(1, 9)}",
         lambda: n(10**9, 10**16),
         lambda: ".".join(n(0, 256) for _ in range(4)),
         lambda: f"+{n(1, 99)} ({n(100, 999)}) {n(100, 999)}-{n(1000, 9999)}",
-    )[rng.integers(10)]()
+        lambda: lead("revision", "changeset", "merge", "fixed in", "see", "commits") + draw(hexes, 7, 20),
+        lambda: f"url(data:{word()}/{word()[:4]};base64,{draw(ALPHABETS[3], 60, 600)}",
+        lambda: f"src=\"data:{word()}/{word()[:4]};base64,{draw(ALPHABETS[3], 60, 600)}\"",
+        lambda: lead("shipment", "consignment", "waybill", "tracking number", "booking", "invoice") + draw(upper, 10, 22),
+        lambda: lead("order", "ticket", "case", "reference", "article no.", "part") + f"{draw(_LOWER.upper(), 1, 5)}-{n(100, 99999)}-{draw(upper, 2, 6)}",
+        lambda: f"{word()}: #{draw(hexes, 6, 7)};",
+        lambda: lead("id", "device", "object", "uuid") + "-".join(draw(hexes, k, k + 1) for k in (8, 4, 4, 4, 12)),
+        lambda: f"doi:10.{n(1000, 9999)}/{word()}.{n(2000, 2030)}.{n(100, 99999)}",
+        lambda: f"/{word()}/{word()}/{word()}{n(1, 99)}/{word()}_{n(1, 99)}.{word()[:3]}",
+        lambda: f"{word()}/{word()}-{word()}-{word()}-{word()}",
+        lambda: f"{name()}{link()}{seen()} {seen()}",
+        lambda: f"{name()}{link()}{seen()} {seen()}",
+        lambda: f"{name()} {seen()} {seen()}",
+        lambda: f"{name()} {seen()} {name()} {seen()}",
+        lambda: f"{seen()}: {seen()}, {seen()} = {seen()}",
+    )[rng.integers(27)]()
 
 
 def _chain(text: str, tokens: list[tuple[int, int]], parts: list[tuple[int, int]]) -> Iterator[Chain]:
@@ -354,12 +427,16 @@ def chains(text: str, made: int = MADE) -> Iterator[Chain]:
         yield from _chain(text, tokens, parts)
         for start, end in [p for p in parts if any(a <= p[0] < b for a, b in tokens)][:1]:
             left = text[max(start - 120, 0) : start].split()[:-3]
+            words = [w for w in left if len(w) >= MIN_TOKEN and w.isalpha()]
             for k in range(made):
-                name = pick(NAMES)
-                lead = " ".join(left) + (f" {name}{pick(BETWEEN)}" if name else " ")
-                value = _other(rng) if k % 3 == 2 else _secret(rng)
+                lead = " ".join(left) + " "
+                if k % 2:
+                    value, span = _other(rng, words), []
+                else:
+                    name, value = _secret(rng)
+                    lead += name
+                    span = [(len(lead), len(lead) + len(value))]
                 whole = lead + value + text[end : end + 60]
-                span = [] if k % 3 == 2 else [(len(lead), len(lead) + len(value))]
                 for around in stretches(whole):
                     yield from _chain(whole, around, span)
 
@@ -374,7 +451,7 @@ def fit(docs: DataFrame) -> Field | None:
         cut = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
         chosen = hashed.where(F.col("h") <= cut).groupBy("h").agg(F.min("text").alias("text")) if cut is not None else hashed.limit(0)
         texts = [r["text"] for r in sorted(chosen.collect(), key=lambda r: r["h"])]
-        made = max(MADE, MADE_TEXTS * MADE // max(len(texts), 1))
+        made = max(MADE, SAMPLE_CHAINS // (2 * max(len(texts), 1)))
         found.append(list(islice((c for text in texts for c in chains(text, made)), SAMPLE_CHAINS)))
     first = Field.train(found[0], EPOCHS // 2)
     if first is None:
