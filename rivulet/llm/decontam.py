@@ -6,14 +6,15 @@ Aho-Corasick scan for all pieces finds every candidate place, and Myers'
 bit-parallel distance verifies the stretch around it. Both sides are compared
 in a normal form: lower case, with one space for ASCII punctuation and spaces.
 
-Items with fewer than MIN_CHARS characters have no budget, and occur where whole
+Items with fewer than EDIT_EVERY characters have no budget, and occur where whole
 words do: a part of a word is no hit.
 
 The benchmark passes through the driver a slice at a time, of SLICE_CHARS
 characters or one item, and each slice is broadcast for a pass of its own over the
 documents, so that a task holds one automaton of bounded size whatever the
-benchmark's. Places are verified as the scan meets them; nothing is gathered for
-a document but its best distance for each item.
+benchmark's. Of more than one slice each pass is done, its hits written, and its
+broadcast destroyed before the next begins. Places are verified as the scan meets
+them; nothing is gathered for a document but its best distance for each item.
 
 Defined results: null and empty texts match nothing, as do items without letters
 or digits; of several places of an item in a document the nearest counts;
@@ -24,8 +25,9 @@ whatever other columns are named.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -33,10 +35,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import in_parts
+from rivulet.llm.common import checkpointed, in_parts
 
 EDIT_EVERY = 20
-MIN_CHARS = 40
+#: Items from here on have a budget.
+MIN_CHARS = EDIT_EVERY
 SLICE_CHARS = 4_000_000
 
 #: ASCII characters other than letters and digits become spaces.
@@ -49,7 +52,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(n_chars: int) -> int:
-    return n_chars // EDIT_EVERY if n_chars >= MIN_CHARS else 0
+    return n_chars // EDIT_EVERY
 
 
 def pieces(item: str) -> list[tuple[int, str]]:
@@ -164,20 +167,35 @@ def _search(sent: Broadcast):
     return search.asNondeterministic()
 
 
-def _hits(rows: DataFrame, benchmark: DataFrame) -> Iterator[DataFrame]:
-    """rows with hits, an array of (item_id, distance), for each slice of the benchmark."""
-    for items in _slices(benchmark, "item_id", "text"):
-        search = _search(rows.sparkSession.sparkContext.broadcast(items))
-        yield rows.withColumn("hits", search("text"))
+def _passes(texts: DataFrame, benchmark: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """keep(texts with hits, an array of (item_id, distance)) for the slices together; None without items.
+
+    A single slice is left to the caller's job. With more, each is searched by a job of its own.
+    """
+    slices = _slices(benchmark, "item_id", "text")
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
+        return None
+    context = texts.sparkSession.sparkContext
+    if second is None:
+        return keep(texts.withColumn("hits", _search(context.broadcast(first))("text")))
+    parts = []
+    for items in chain((first, second), slices):
+        sent = context.broadcast(items)
+        parts.append(checkpointed(keep(texts.withColumn("hits", _search(sent)("text")))))
+        sent.destroy()
+    return reduce(DataFrame.union, parts)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance: the benchmark items that documents hold, within the edit budget."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    none = rows.limit(0).select("doc_id", F.lit(None).cast("array<struct<item_id:long,distance:int>>").alias("hits"))
-    parts = [part.select("doc_id", "hits") for part in _hits(rows, benchmark)]
-    found = reduce(DataFrame.union, parts) if parts else none
-    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
+
+    def hits(found: DataFrame) -> DataFrame:
+        return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.distance")
+
+    found = _passes(rows, benchmark, hits)
+    return found if found is not None else hits(rows.limit(0).withColumn("hits", F.lit(None).cast(KIND)))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
@@ -186,12 +204,14 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     One slice is a filter. With more, the texts that hold an item are found slice by slice, as two hashes, and
     their rows left out by a join.
     """
-    slices = [docs.sparkSession.sparkContext.broadcast(items) for items in _slices(benchmark, "item_id", "text")]
-    if len(slices) < 2:
-        return docs.where(F.size(_search(slices[0])(docs[text_col])) == 0) if slices else docs
-    rows = docs.select(docs[text_col].alias("text"))
-    found = [rows.select("text", F.size(_search(s)("text")).alias("n")).where("n > 0") for s in slices]
-    hashes = lambda text: (F.xxhash64(text), F.xxhash64(text, F.lit(1)))
-    bad = reduce(DataFrame.union, found).select(*[h.alias(f"__h{k}") for k, h in enumerate(hashes(F.col("text")))]).distinct()
-    same = [F.col(f"__h{k}") == h for k, h in enumerate(hashes(docs[text_col]))]
+    slices = _slices(benchmark, "item_id", "text")
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.where(F.size(_search(docs.sparkSession.sparkContext.broadcast(first))(docs[text_col])) == 0)
+    hashes = lambda text: [h.alias(f"__h{k}") for k, h in enumerate((F.xxhash64(text), F.xxhash64(text, F.lit(1))))]
+    held = lambda found: found.where(F.size("hits") > 0).select(*hashes(F.col("text"))).distinct()
+    bad = _passes(docs.select(docs[text_col].alias("text")), benchmark, held).distinct()
+    same = [F.col(f"__h{k}") == h for k, h in enumerate((F.xxhash64(docs[text_col]), F.xxhash64(docs[text_col], F.lit(1))))]
     return docs.join(bad, same, "left_anti")

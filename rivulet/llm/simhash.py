@@ -380,7 +380,7 @@ def _crowded_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
 def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similarity ALIKE or more.
 
-    first: node, t (the hash of one of its texts), size (of its set) and keys; rows: text.
+    first: node, row (id and text hash t of one of its documents), size (of its set) and keys; rows: doc_id, text.
     """
 
     @F.pandas_udf("array<long>")
@@ -394,8 +394,9 @@ def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
     met = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     met = checkpointed(met)
     # only texts that met another give their sets
-    wanted = first.join(met.select("node").distinct(), "node", "left_semi").select("node", "t")
-    texts = rows.select(F.xxhash64("text").alias("t"), "text").join(wanted, "t").select("node", sets_of("text").alias("found"))
+    wanted = first.join(met.select("node").distinct(), "node", "left_semi").select("node", "row")
+    named = rows.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row"), "text")
+    texts = named.join(wanted, named["row"].eqNullSafe(wanted["row"])).select("node", sets_of("text").alias("found"))
     sets = checkpointed(texts.groupBy("node").agg(F.first("found").alias("found")))
 
     crowded = _crowded_links(met.where(F.col("n") > PAIRS_UP_TO).select("key", "node", "size"), sets)
@@ -417,8 +418,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = marked.groupBy("s.node").agg(
         F.min("row").alias("row"), F.first("s.size").alias("size"), F.first("s.keys").alias("keys")
     )
-    first = checkpointed(first.select("node", "row", F.col("row.t").alias("t"), "size", "keys"))
-    groups = components(alike_links(first.select("node", "t", "size", "keys"), rows))
+    first = checkpointed(first.select("node", "row", "size", "keys"))
+    groups = components(alike_links(first.select("node", "row", "size", "keys"), rows))
     named = first.select("node", "row").join(groups, "node", "left")
     return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*")
 

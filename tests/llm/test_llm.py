@@ -429,6 +429,21 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] for r in collected(kept)) == [3, 4, 5, 6] and kept.columns == odd(spark).columns
 
 
+def test_items_of_every_length_have_their_budget(spark):
+    """One wrong letter for every twenty, from twenty on; 19 letters must be right."""
+    phrases = {n: ("abcdefghij klmnopqrs tuvwxyz " * 3)[:n].strip() for n in (18, 20, 35, 40, 41, 60)}
+    benchmark = spark.createDataFrame(list(phrases.items()), "item_id long, text string")
+    for n, phrase in phrases.items():
+        k = len(phrase) // 20
+        wrong = lambda times, phrase=phrase: "".join("#0123"[i // 7] if i % 7 == 3 and 0 < i // 7 <= times else c for i, c in enumerate(phrase))
+        data = [(1, f"x {wrong(k)} y"), (2, f"x {wrong(k + 1)} y")]
+        only = benchmark.where(F.col("item_id") == n)
+        got = {r["doc_id"]: r["distance"] for r in collected(decontam.leaks(odd(spark, data), only))}
+        assert got == {1: k}, (n, got)
+    empty = benchmark.limit(0)
+    assert collected(decontam.leaks(odd(spark), empty)) == [] and decontam.without_leaks(odd(spark), empty).count() == len(ODD)
+
+
 def test_short_items_are_found_as_whole_words(spark):
     benchmark = spark.createDataFrame([(1, "Short one!"), (2, "..."), (3, "x")], "item_id long, text string")
     data = [(1, "a SHORT, one b"), (2, "short ones"), (3, "x"), (4, "xx"), (5, "ashort one"), (6, None), (7, "short one")]
