@@ -1,14 +1,17 @@
 """LM scoring by a weighted backoff automaton.
 
 Training counts every token of every training text and every pair of adjacent
-tokens. A pair that occurs LEAST times or more is an arc, at any size of the
-corpus; a state is the last token (or none, the root). An arc holds the discounted
-log-probability of its pair; the failure arc to the root holds the state's backoff
-weight, so that the probabilities after any state sum to 1. The root has every
-known token, add-one smoothed, and one unseen token.
-
-The score is a sum: for each token what the root and the failure arc from the
-token give, and for each arc taken what it gives beyond those. Both are rows of
+tokens. A pair that occurs `least` times or more is an arc, at any size of the
+corpus (1 keeps every pair); a state is the last token (or none, the root). An arc
+holds the discounted log-probability of its pair; the failure arc to the root holds
+the state's backoff weight, so that the probabilities after any state sum to 1. The
+root has every known token, add-one smoothed, and one unseen token.
+
+No machine is held whole and walked, as its arcs grow with the corpus. With order 2
+the state after a token is that token, so that a text's traversal is its adjacent
+tokens from left to right, and its log-probability a sum: for each token what the
+root and the failure arc from the token give, and for each arc taken what it gives
+beyond those. Both are rows of
 tables that grow with the corpus. Tokens and pairs that make up RATE of the
 training tokens or more, 1 / RATE of each at most, are broadcast and looked up in
 the task that reads the text; all others by a join: each task emits (token or
@@ -46,7 +49,7 @@ from rivulet.llm.common import PART_ROWS, remainder, shared_folder
 FOLDS, HELD_OUT = 7, 2
 #: The share of the training tokens that puts a token or a pair into the broadcast tables.
 RATE = 2.5e-7
-#: The times that make a pair an arc.
+#: The times that make a pair an arc, where the caller does not say.
 LEAST = 2
 #: The bitmap of pairs has this power of two of bits, in words of 64.
 BITMAP = 27
@@ -199,25 +202,13 @@ def _pair_counts(texts: DataFrame, head) -> DataFrame:
     return counted.repartition("x", "y").groupBy("x", "y").agg(F.sum("c").alias("c"))
 
 
-def automaton(head: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, n: int, v: int) -> dict:
-    """The tables' values as arrays, for a corpus in memory. head and pairs (place * len(head) + place) are sorted."""
-    size = max(len(head), 1)
-    root = np.log10((counts + 1) / (n + v + 1)) if len(head) else np.zeros(0)
-    before = pairs // size
-    p = (pair_counts - DISCOUNT) / counts[before] if len(pairs) else np.zeros(0)
-    taken = np.bincount(before, p, size)
-    freed = np.bincount(before, 10 ** root[pairs % size], size) if len(pairs) else np.zeros(size)
-    fail = np.log10(np.maximum(1 - taken, 1e-12) / np.maximum(1 - freed, 1e-12))
-    return {"head": head, "root": root, "pairs": pairs, "arc": np.log10(p) if len(p) else p, "fail": fail}
-
-
 def _arrays(df: DataFrame, by: str = "id") -> dict[str, np.ndarray]:
     found = df.toArrow()
     order = np.argsort(found.column(by).to_numpy())
     return {k: found.column(k).to_numpy()[order] for k in df.columns}
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
+def train(docs: DataFrame, fewest: int = LEAST) -> tuple[DataFrame, dict, int, int]:
     """The table of tokens and arcs that are not broadcast, what is, and the numbers of tokens and of distinct ones.
 
     The table has id, known (1 for a token), and what id adds to base and score.
@@ -232,12 +223,12 @@ def train(docs: DataFrame) -> tuple[DataFrame, dict, int, int]:
     texts = docs.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).select("text")
     counts = stored(_token_counts(texts), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(LEAST, math.ceil(n * RATE))
+    least = max(fewest, math.ceil(n * RATE))
     frequent, rare = counts.where(F.col("c") >= least), counts.where(F.col("c") < least)
     head = _arrays(frequent)
     size = max(len(head["id"]), 1)
     sent = spark.sparkContext.broadcast(head)
-    arcs = stored(_pair_counts(texts, sent).where(F.col("c") >= LEAST), "arcs")
+    arcs = stored(_pair_counts(texts, sent).where(F.col("c") >= fewest), "arcs")
 
     head_counts = stored(spark.createDataFrame(pa.table({"place": np.arange(len(head["c"])), "c": head["c"]})), "places")
 
@@ -326,11 +317,14 @@ def traverse(head: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, base, score, pair, paired & ~taken & (maybe == 1)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs.
+
+    least: the times that make a pair an arc.
+    """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    model, head, n, v = train(rows)
+    model, head, n, v = train(rows, least)
     sent = spark.sparkContext.broadcast(head)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

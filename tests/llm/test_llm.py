@@ -336,7 +336,8 @@ def test_viterbi_finds_the_best_tags():
         assert tuple(field.decode(names, may)) == best
 
 
-def test_lm_brute_force(spark, docs):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lm_brute_force(spark, docs, least):
     data = [*ODD, *list(docs.items())[:150]]
     tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), "\n"]
     fold = lambda i: zlib.crc32(str(i).encode()) % 7 if i is not None else -1
@@ -346,9 +347,8 @@ def test_lm_brute_force(spark, docs):
             c.update(tokens(t))
             pairs.update(zip(tokens(t), tokens(t)[1:]))
     n, v = sum(c.values()), len(c)
-    least = max(2, math.ceil(n * lm.RATE))
     uni = lambda w: (c[w] + 1) / (n + v + 1)
-    arcs = {p: (k - lm.DISCOUNT) / c[p[0]] for p, k in pairs.items() if k >= least and min(c[p[0]], c[p[1]]) >= least}
+    arcs = {p: (k - lm.DISCOUNT) / c[p[0]] for p, k in pairs.items() if k >= least}
     fail = {}
     for u in {p[0] for p in arcs}:
         mine = [p for p in arcs if p[0] == u]
@@ -364,7 +364,7 @@ def test_lm_brute_force(spark, docs):
         (str(i), fold(i) == 2, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, sum(math.log10(uni(w)) for w in tokens(t)), model(t))
         for i, t in data
     )
-    got = sorted((str(r["doc_id"]), *list(r.values())[1:]) for r in collected(lm.score(odd(spark, data))))
+    got = sorted((str(r["doc_id"]), *list(r.values())[1:]) for r in collected(lm.score(odd(spark, data), least=least)))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
@@ -389,13 +389,20 @@ def test_lm_hashes_equal_sparks(spark):
     assert ((bit >= 0) & (bit < 1 << lm.BITMAP)).all()
 
 
-def test_automaton_sums_to_one():
-    head = np.array([1, 5, 9])
-    m = lm.automaton(head, np.array([6, 3, 2]), np.array([1, 5]), np.array([4, 2]), 12, 4)
-    for state in range(3):
-        arcs = {p % 3: 10**a for p, a in zip(m["pairs"], m["arc"]) if p // 3 == state}
-        rest = 1 - sum(10 ** m["root"][w] for w in arcs)
-        assert math.isclose(sum(arcs.values()) + 10 ** m["fail"][state] * rest, 1)
+@pytest.mark.parametrize("least", [1, 2])
+def test_lm_sums_to_one_after_every_state(spark, least):
+    """p(b|a) from the scores of "a b", "a" and "b", over all tokens b, an unseen one and the end."""
+    ids = lambda held: (i for i in range(10**6) if (zlib.crc32(str(i).encode()) % 7 == 2) == held)
+    taught = ["a b a b c", "b a c", "a b", "c", "d a b"]
+    known = ["a", "b", "c", "d"]
+    asked = [*known, "unseen", *[f"{x} {y}" for x in [*known, "unseen"] for y in [*known, "unseen"]]]
+    data = [*zip(ids(False), taught), *zip(ids(True), asked)]
+    got = {i: r for i, r in zip([t for _, t in data], sorted(collected(lm.score(spark.createDataFrame(data, "doc_id long, text string"), least=least)), key=lambda r: [i for i, _ in data].index(r["doc_id"])))}
+    counts = Counter(w for t in taught for w in [*t.split(), "end"])
+    root = lambda w: math.log10((counts[w] + 1) / (counts.total() + len(counts) + 1))
+    for x in [*known, "unseen"]:
+        after = [got[f"{x} {y}"]["score"] - got[y]["score"] + root(y) - root(x) for y in [*known, "unseen"]]
+        assert math.isclose(sum(10**p for p in [*after, got[x]["score"] - root(x)]), 1, rel_tol=1e-9)
 
 
 def test_bpe_equals_the_library(spark, sf_dir, docs):
