@@ -99,3 +99,23 @@ class SumAndCount(Accumulator):
 
     def result(self, state: tuple) -> tuple:
         return state
+
+
+class TopDistinct(Accumulator):
+    """A table aggregate: the n highest distinct values of a column with their places, highest first; nulls do not count."""
+
+    def __init__(self, value: str, n: int, kind: str = "long") -> None:
+        self.value, self.n, self.schema = value, n, f"{value} {kind}, place int"
+
+    def create(self) -> tuple:
+        return ()
+
+    def add(self, state: tuple, row: Any) -> tuple:
+        v = getattr(row, self.value)
+        return state if v is None else self.merge(state, (v,))
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        return tuple(sorted({*a, *b}, reverse=True)[: self.n])
+
+    def result(self, state: tuple) -> list[tuple]:
+        return [(v, k) for k, v in enumerate(state, 1)]

@@ -114,3 +114,23 @@ def window_accumulate(df: DataFrame, keys: list[str], seq: str, columns: list[st
         return made.cast(arrow)
 
     return partial.groupBy(*keys, *named).applyInArrow(finish, schema)
+
+
+def table_accumulate(df: DataFrame, keys: list[str], seq: str, columns: list[str], acc: Accumulator,
+                     width: Width = WIDTH) -> DataFrame:
+    """keys and the rows of a table aggregate of the user: an accumulator whose result is a list of tuples of its schema."""
+    partial = _partial(_with_chunk(df.select(*dict.fromkeys([*keys, seq, *columns])), seq, width), keys, seq, columns, acc)
+    schema = _schema(partial, keys, acc.schema)
+    arrow = to_arrow_schema(schema)
+    fields = arrow.names[len(keys) :]
+
+    def finish(table: pa.Table) -> pa.Table:
+        state = acc.create()
+        for part in table.sort_by(_CHUNK).column(_STATE).to_pylist():
+            state = acc.merge(state, pickle.loads(part))
+        rows = acc.result(state)
+        made = [pa.array([key] * len(rows), arrow.field(name).type) for name, key in zip(keys, (table.column(k)[0].as_py() for k in keys), strict=True)]
+        made += [pa.array([r[k] for r in rows], arrow.field(name).type) for k, name in enumerate(fields)]
+        return pa.Table.from_arrays(made, schema=arrow)
+
+    return partial.groupBy(*keys).applyInArrow(finish, schema)

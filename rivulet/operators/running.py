@@ -39,11 +39,16 @@ _KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
 }
 
 
-def even_width(df: DataFrame, seq: str) -> int:
-    """The numbers in a chunk of df, for the width of the functions below: measured once, by one aggregate."""
+def measured(df: DataFrame, seq: str) -> tuple[int, int]:
+    """The records of df that are numbered, and the numbers in a chunk: by one aggregate."""
     low, high, n = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
     chunks = min(max(-(-n // WIDTH), 1), CHUNKS)
-    return max(-(-int(high - low + 1) // chunks), 1) if n else WIDTH
+    return n, max(-(-int(high - low + 1) // chunks), 1) if n else WIDTH
+
+
+def even_width(df: DataFrame, seq: str) -> int:
+    """The numbers in a chunk of df, for the width of the functions below: measured once."""
+    return measured(df, seq)[1]
 
 
 def _chunked(df: DataFrame, keys: list[str], seq: str, width: Width) -> tuple[DataFrame, list[str]]:
@@ -92,11 +97,6 @@ def running(
     )
 
 
-def first_of(value: str, seq: str) -> tuple[str, Column]:
-    """The key's earliest value, in field v."""
-    return "min", F.struct(F.col(seq).alias("at"), F.col(value).alias("v"))
-
-
 def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: Width = WIDTH) -> DataFrame:
     """df with prev_<value> of the key's record before this one, null for its first."""
     last = F.struct(F.col(seq).alias("at"), *[F.col(v) for v in values])

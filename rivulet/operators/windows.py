@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from rivulet.operators.running import _CHUNK, WIDTH, Width, _chunked, even_width, numbered
+from rivulet.operators.running import _CHUNK, WIDTH, Width, _chunked, measured, numbered
 
 
 def bounds(window: str = "window") -> list[Column]:
@@ -39,13 +39,17 @@ def session_windows(df: DataFrame, keys: list[str], aggregates: list[Column], ga
 
     Times are cut into chunks of `width` microseconds (measured, if not given). Within (key, chunk) a record begins a
     session if it comes after all earlier records' gaps, those of earlier chunks included; the records are numbered by
-    the sessions begun up to them. So no task has more than a chunk of a key, and a row for each of its chunks.
+    the sessions begun up to them. So no task has more than a chunk of a key, and a row for each of its chunks. Of
+    records that are one chunk altogether Spark's own session window makes the same sessions in one pass.
     Records without a time, or whose gap is null or not positive, take no part. No name may begin with "__".
     """
     end = F.col(ts) + (F.expr(f"INTERVAL {gap}") if isinstance(gap, str) else gap)
     timed = df.select("*", F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"), end.alias("__end"))
     if width is None:
-        width = even_width(timed, "__at")
+        n, width = measured(timed, "__at")
+        if n <= WIDTH:
+            grouped = df.groupBy(*keys, F.session_window(ts, gap).alias("window")).agg(*aggregates)
+            return grouped.select(*keys, *bounds(), *[c for c in grouped.columns if c not in (*keys, "window")])
     rows, plain = _chunked(timed.where(F.col("__end") > F.col(ts)), keys, "__at", width)
     inside = Window.partitionBy(*plain).orderBy("__at")
     others = [k for k in plain if k != _CHUNK]

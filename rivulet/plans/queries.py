@@ -347,6 +347,13 @@ def top2_table_agg(spark, sf_dir):
     return udfs.top2(table(spark, sf_dir, "lineitem"), "l_quantity")
 
 
+@query("""WITH {s} SELECT user_id, vc, CAST(place AS INT) AS place FROM (
+    SELECT DISTINCT user_id, vc, dense_rank() OVER (PARTITION BY user_id ORDER BY vc DESC) AS place FROM s) WHERE place <= 3""")
+def table_accumulate(spark, sf_dir):
+    acc = accumulators.TopDistinct("vc", 3, "int")
+    return accumulate.table_accumulate(sensors(spark, sf_dir), ["user_id"], "seq", ["vc"], acc)
+
+
 # joins
 
 
@@ -620,15 +627,19 @@ def format_time(spark, sf_dir):
 # sources, partitions and sinks that give rows
 
 
-@query("SELECT 'Number：' || i AS value FROM range(0, 100) AS r(i)")
+@query("SELECT 'Number：' || i AS value FROM range(0, (SELECT count(*) FROM events)) AS r(i)")
 def generator_source(spark, sf_dir):
-    return generate(spark, 100, lambda n: F.concat(F.lit("Number："), n.cast("string"))).select("value")
+    """As many generated records as there are events."""
+    n = table(spark, sf_dir, "events").count()
+    return generate(spark, n, lambda n: F.concat(F.lit("Number："), n.cast("string"))).select("value")
 
 
 @query("""SELECT CAST(1 + ('0x' || md5(i || ':7')[1:8])::BIGINT % 10 AS INT) AS id, CAST(1 + i AS BIGINT) AS ts,
-CAST(1 + ('0x' || md5(i || ':8')[1:8])::BIGINT % 100 AS INT) AS vc FROM range(0, 1000) AS r(i)""")
+CAST(1 + ('0x' || md5(i || ':8')[1:8])::BIGINT % 100 AS INT) AS vc FROM range(0, (SELECT count(*) FROM orders)) AS r(i)""")
 def datagen_table(spark, sf_dir):
-    got = datagen(spark, 1000, {"id": ("random", 1, 10, 7), "ts": ("sequence", 1, 1000, 0), "vc": ("random", 1, 100, 8)})
+    """As many generated rows as there are orders."""
+    n = table(spark, sf_dir, "orders").count()
+    got = datagen(spark, n, {"id": ("random", 1, 10, 7), "ts": ("sequence", 1, n, 0), "vc": ("random", 1, 100, 8)})
     return got.select(F.col("id").cast("int").alias("id"), "ts", F.col("vc").cast("int").alias("vc"))
 
 

@@ -120,6 +120,31 @@ def _last_by(df: DataFrame, keys: list[Column], by: str) -> DataFrame:
     return found.agg(F.max_by(row, by).alias("__row")).select("__row.*")
 
 
+def subtask_counts(tasks: int, states: str, sink: Callable[[DataFrame, int], None], union: bool = False
+                   ) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: how many records each of `tasks` tasks has had, as list state that outlives other numbers of tasks.
+
+    Each batch is dealt out to the tasks, and each task counts what it got. What all tasks of the batch before left is a
+    list; it is split, an element to each task in turn, or with union goes whole to every task. sink gets (subtask, n).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        dealt = batch.select(F.lit(1).alias("__one")).repartition(tasks).select(F.spark_partition_id().alias("subtask"))
+        rows = dealt.select("subtask", F.lit(1).cast("long").alias("n"))
+        if number:
+            left = spark.read.schema("subtask int, n long").parquet(f"{states}/{number - 1}")
+            every = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))) if union else F.col("subtask") % tasks
+            rows = rows.unionByName(left.select(every.alias("subtask"), "n"))
+        rows = rows.unionByName(spark.range(tasks).select(F.col("id").cast("int").alias("subtask"), F.lit(0).cast("long").alias("n")))
+        counts = rows.groupBy("subtask").agg(F.sum("n").alias("n"))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{states}/{number}")
+        sink(spark.read.schema("subtask int, n long").parquet(f"{states}/{number}"), number)
+        _forget(batch, states, number - 2)
+
+    return write
+
+
 def config_in_order(seq: str, is_config: str, value: str, name: str, default: int, states: str,
                     sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over data and config as one stream: each data row with the config that stood when it arrived.

@@ -117,3 +117,16 @@ def test_extreme_by_leaves_nulls_out(spark, kind, want):
 def test_even_width(spark):
     df = spark.range(100).select((F.col("id") * 10**9).alias("seq"))
     assert running.even_width(df, "seq") == 99 * 10**9 + 1 and running.even_width(df.limit(0), "seq") == running.WIDTH
+
+
+@pytest.mark.parametrize("width", [4, 1 << 18])
+def test_table_aggregate_in_chunks(spark, width):
+    rng = np.random.default_rng(8)
+    data = [(None if k == 2 else int(k), i, None if v == 0 else int(v)) for i, (k, v) in enumerate(rng.integers(0, [4, 9], (70, 2)))] + [(9, 99, None)]
+    df = spark.createDataFrame(data, "k int, seq long, vc long")
+    got = accumulate.table_accumulate(df, ["k"], "seq", ["vc"], accumulators.TopDistinct("vc", 2), width)
+    want = []
+    for k in {r[0] for r in data}:
+        values = sorted({r[2] for r in data if r[0] == k and r[2] is not None}, reverse=True)[:2]
+        want += [(k, v, place) for place, v in enumerate(values, 1)]
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))

@@ -260,3 +260,56 @@ def test_live_state_with_nulls(spark, tmp_path):
     for k, (processor, want, columns) in enumerate(cases):
         got = ran(spark, processors.stateful(streamed(spark, folder), processor), tmp_path, f"null{k}")
         assert tuples(got, *columns) == tuples(want, *columns), type(processor).__name__
+
+
+@pytest.mark.parametrize("union", [False, True])
+def test_subtask_counts_outlive_another_number_of_tasks(spark, tmp_path, union):
+    rows = [(k, "x", k, k) for k in range(30)]
+    tasks, seen = iter([2, 3, 5]), []
+
+    def sink_of(keep):
+        write = live.subtask_counts(next(tasks), str(tmp_path / "states"), keep, union)
+        return lambda batch, number: (write(batch, number), seen.append(number))
+
+    found, _ = in_batches(spark, tmp_path, rows, [12, 10, 8], sink_of)
+    at, totals = 0, []
+    for n in (2, 3, 5):
+        totals.append((n, sum(r.n for r in found[at : at + n])))
+        at += n
+    # split: every record counts once; union: each task goes on from what all tasks before have counted
+    assert totals == ([(2, 12), (3, 22), (5, 30)] if not union else [(2, 12), (3, 12 * 3 + 10), (5, (12 * 3 + 10) * 5 + 8)])
+
+
+def test_socket_and_records(spark, tmp_path):
+    import socket
+    import threading
+
+    from rivulet.model import SENSOR, with_event_time
+    from rivulet.sinks.records import value_record
+    from rivulet.sources.kafka import kafka_lines, source_options
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        link, _ = server.accept()
+        link.sendall(b"s1,1,5\ns2,2,6\n")
+        done.wait(60)
+        link.close()
+
+    done = threading.Event()
+    threading.Thread(target=serve, daemon=True).start()
+    lines, got = files.socket_lines(spark, "127.0.0.1", server.getsockname()[1]), []
+    writer = lines.writeStream.foreachBatch(lambda b, _: got.extend(r.value for r in b.collect()))
+    query = writers.started(writer.option("checkpointLocation", str(tmp_path / "cp")), "from_socket")
+    try:
+        query.processAllAvailable()
+        assert query.name == "from_socket" and sorted(got) == ["s1,1,5", "s2,2,6"]
+    finally:
+        query.stop()
+        done.set()
+        server.close()
+    sensors = with_event_time(spark.createDataFrame([("s1", 61, 5)], SENSOR))
+    assert sensors.select(F.col("et").cast("string")).first()[0] == "1970-01-01 00:01:01"
+    assert bytes(value_record(sensors, F.col("vc")).first().value) == b"5"
+    with pytest.raises(Exception, match="kafka"):  # the connector is not among Spark's own jars
+        kafka_lines(spark, source_options("h:9092", ["t"]))
