@@ -204,7 +204,7 @@ class WatermarkNow(StatefulProcessor):
 class GlobalWindow(StatefulProcessor):
     """One window without end for each key, with a trigger of its own: every n records, over the records since.
 
-    List state takes the new records at its end, and is read only when the window fires.
+    List state takes a batch's new records at its end, and is read only when the window fires.
     """
 
     SCHEMA = "id string, fired_at long, total long"
@@ -216,13 +216,17 @@ class GlobalWindow(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         seen = self.seen.get()[0] if self.seen.exists() else 0
-        out = []
+        out, new = [], []
         for _, vc in _values(rows):
-            self.held.appendValue((vc,))
+            new.append((vc,))
             seen += 1
             if seen % self.n == 0:
-                out.append((key[0], seen, sum(v[0] or 0 for v in self.held.get())))
+                held = [*self.held.get(), *new] if self.held.exists() else new
+                out.append((key[0], seen, sum(v[0] or 0 for v in held)))
                 self.held.clear()
+                new = []
+        if new:
+            self.held.appendList(new)
         self.seen.update((seen,))
         yield pd.DataFrame(out, columns=["id", "fired_at", "total"])
 
