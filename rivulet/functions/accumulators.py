@@ -119,3 +119,25 @@ class TopDistinct(Accumulator):
 
     def result(self, state: tuple) -> list[tuple]:
         return [(v, k) for k, v in enumerate(state, 1)]
+
+
+class CoGroup(Accumulator):
+    """Both sides' records, which body gets as two lists and makes one tuple of `schema` of."""
+
+    def __init__(self, side: str, body: Callable[[list, list], tuple], schema: str) -> None:
+        self.side, self.body, self.schema = side, body, schema
+
+    def create(self) -> tuple[list, list]:
+        return [], []
+
+    def add(self, state: tuple[list, list], row: Any) -> tuple[list, list]:
+        state[getattr(row, self.side) != "left"].append(tuple(row))
+        return state
+
+    def merge(self, a: tuple[list, list], b: tuple[list, list]) -> tuple[list, list]:
+        a[0].extend(b[0])
+        a[1].extend(b[1])
+        return a
+
+    def result(self, state: tuple[list, list]) -> tuple:
+        return self.body(*state)

@@ -1,16 +1,17 @@
 """Running and windowed aggregates by accumulators of the user.
 
 The arrival order is cut into chunks as for the built-in running aggregates: each (key, chunk) is folded to a partial
-state in a task of its own, a key's partial states are merged in the order of the chunks, and each chunk is then
-walked again from what the earlier ones merge to. A key with a third of all rows is spread over its chunks; a task
-holds one chunk of one key, and a row for each chunk of a key. Python runs on Arrow tables, as it is the user's code.
+state, a key's partial states are merged in the order of the chunks, and each chunk is then walked again from what the
+earlier ones merge to. So a key with a third of all rows is spread over its chunks. Every step is a shuffle by its groups,
+a sort within partitions, and Python over the sorted rows as they stream by: a task holds one state at a time.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,116 +22,138 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from rivulet.functions.accumulators import Accumulator
 from rivulet.operators.running import WIDTH, Width
 
-_CHUNK, _STATE = "__chunk", "__state"
+_CHUNK, _STATE, _FIRST = "__chunk", "__state", "__first"
+#: Rows that a task hands on at once.
+SENT_ROWS = 10_000
+
+Body = Callable[[tuple, Iterator[tuple]], Iterator[tuple]]
 
 
 def _with_chunk(df: DataFrame, seq: str, width: Width) -> DataFrame:
     return df.withColumn(_CHUNK, F.coalesce(F.floor(F.col(seq) / width), F.lit(-1)))
 
 
-def _rows(table: pa.Table, columns: list[str], seq: str) -> Iterator[tuple]:
-    """The table's rows in arrival order."""
-    row = namedtuple("Row", columns)
-    ordered = table.sort_by(seq)
-    return (row(*r) for r in zip(*(ordered.column(c).to_pylist() for c in columns), strict=True))
-
-
 def _schema(df: DataFrame, names: list[str], more: str) -> T.StructType:
     fields = [T.StructField(n, df.schema[n].dataType) for n in names]
     return T.StructType([*fields, *df.sparkSession.createDataFrame([], more).schema.fields])
 
 
+def _streamed(df: DataFrame, groups: list[str], order: list[str], body: Body, schema: T.StructType) -> DataFrame:
+    """body(group, rows) for each group of df, whose columns are the groups and what a row is; rows come in order."""
+    arrow, n = to_arrow_schema(schema), len(groups)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(arrow)]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = (line for b in batches for line in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[tuple] = []
+        # NaN, which equals nothing, is one key
+        for _, own in groupby(lines, key=lambda r: tuple("NaN" if v != v else v for v in r[:n])):
+            first = next(own)
+            for made in body(first[:n], (r[n:] for r in _chained(first, own))):
+                out.append(made)
+                if len(out) == SENT_ROWS:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out)
+
+    rest = [c for c in df.columns if c not in groups]
+    placed = df.select(*groups, *rest).repartition(*groups).sortWithinPartitions(*groups, *order)
+    return placed.mapInArrow(run, schema)
+
+
+def _chained(first: tuple, others: Iterator[tuple]) -> Iterator[tuple]:
+    yield first
+    yield from others
+
+
 def _partial(df: DataFrame, groups: list[str], seq: str, columns: list[str], acc: Accumulator) -> DataFrame:
     """groups, the chunk, and the pickled state of the rows of each."""
-    schema = _schema(df, [*groups, _CHUNK], f"{_STATE} binary")
-    arrow = to_arrow_schema(schema)
+    record = namedtuple("Row", columns)
+    named = [F.col(c).alias(f"__{k}") for k, c in enumerate(columns)]
+
+    def fold(group: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        state = acc.create()
+        for _, *values in rows:
+            state = acc.add(state, record(*values))
+        yield (*group, pickle.dumps(state))
 
-    def fold(table: pa.Table) -> pa.Table:
+    keys = [*groups, _CHUNK]
+    rows = df.select(*keys, F.col(seq).alias("__seq"), *named)
+    return _streamed(rows, keys, ["__seq"], fold, _schema(df, keys, f"{_STATE} binary"))
+
+
+def _finished(partial: DataFrame, groups: list[str], results: Callable, schema: T.StructType, acc: Accumulator) -> DataFrame:
+    """groups and the rows that results(state) gives, of each group's states merged in the order of the chunks."""
+
+    def finish(group: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
         state = acc.create()
-        for row in _rows(table, columns, seq):
-            state = acc.add(state, row)
-        named = table.select([*groups, _CHUNK]).slice(0, 1)
-        return named.append_column(_STATE, pa.array([pickle.dumps(state)], pa.binary())).cast(arrow)
+        for _, part in rows:
+            state = acc.merge(state, pickle.loads(part))
+        for out in results(state):
+            yield (*group, *out)
 
-    return df.groupBy(*groups, _CHUNK).applyInArrow(fold, schema)
+    return _streamed(partial.select(*groups, _CHUNK, _STATE), groups, [_CHUNK], finish, schema)
 
 
 def running_accumulate(df: DataFrame, keys: list[str], seq: str, columns: list[str], acc: Accumulator,
-                       width: Width = WIDTH) -> DataFrame:
+                       width: Width = WIDTH, carry: list[str] | None = None) -> DataFrame:
     """keys, seq and the accumulator's result over the key's rows up to each one.
 
-    seq numbers the arrivals, without ties within a key. columns: what acc sees. Null keys are a key of their own.
+    seq numbers the arrivals, without ties within a key. columns: what acc sees; carry: columns that the result has
+    besides. Null keys are a key of their own.
     """
-    rows = _with_chunk(df.select(*dict.fromkeys([*keys, seq, *columns])), seq, width)
-    partial = _partial(rows, keys, seq, columns, acc)
-    before_arrow = to_arrow_schema(partial.schema)
-    schema = _schema(rows, [*keys, seq], acc.schema)
-    arrow = to_arrow_schema(schema)
-    fields = arrow.names[len(keys) + 1 :]
+    record, carry = namedtuple("Row", columns), carry or []
+    rows = _with_chunk(df.select(*dict.fromkeys([*keys, seq, *carry, *columns])), seq, width)
 
-    def before(table: pa.Table) -> pa.Table:
+    def before(group: tuple, parts: Iterator[tuple]) -> Iterator[tuple]:
         """Each chunk with what the earlier ones merge to."""
-        table = table.sort_by(_CHUNK)
-        states, state = [], acc.create()
-        for part in table.column(_STATE).to_pylist():
-            states.append(pickle.dumps(state))
+        state = acc.create()
+        for chunk, part in parts:
+            yield (*group, chunk, pickle.dumps(state))
             state = acc.merge(state, pickle.loads(part))
-        return table.drop_columns([_STATE]).append_column(_STATE, pa.array(states, pa.binary())).cast(before_arrow)
-
-    def emit(table: pa.Table, earlier: pa.Table) -> pa.Table:
-        state = pickle.loads(earlier.column(_STATE)[0].as_py())
-        out = []
-        for row in _rows(table, columns, seq):
-            state = acc.add(state, row)
-            out.append(acc.result(state))
-        made = table.sort_by(seq).select([*keys, seq])
-        for k, name in enumerate(fields):
-            made = made.append_column(name, pa.array([r[k] for r in out], arrow.field(name).type))
-        return made.cast(arrow)
 
-    merged = partial.groupBy(*keys).applyInArrow(before, partial.schema)
-    return rows.groupBy(*keys, _CHUNK).cogroup(merged.groupBy(*keys, _CHUNK)).applyInArrow(emit, schema)
+    partial = _partial(rows, keys, seq, columns, acc)
+    earlier = _streamed(partial, keys, [_CHUNK], before, partial.schema)
+
+    # a chunk's state comes before its rows: they are one table, and the states have no seq
+    n = 1 + len(carry)
+    kept = [F.col(c).alias(f"__kept{k}") for k, c in enumerate([seq, *carry])]
+    seen = [F.col(c).alias(f"__{k}") for k, c in enumerate(columns)]
+    walked = rows.select(*keys, _CHUNK, *kept, *seen, F.lit(None).cast("binary").alias(_STATE))
+    both = walked.unionByName(earlier, allowMissingColumns=True)
+
+    def emit(group: tuple, lines: Iterator[tuple]) -> Iterator[tuple]:
+        state = None
+        for *values, given in lines:
+            if given is not None:
+                state = pickle.loads(given)
+                continue
+            state = acc.add(state, record(*values[n:]))
+            yield (*group[:-1], *values[:n], *acc.result(state))
+
+    order = both.withColumn(_FIRST, F.col(_STATE).isNull()).select(*keys, _CHUNK, *both.columns[len(keys) + 1 :], _FIRST)
+    schema = _schema(rows, [*keys, seq, *carry], acc.schema)
+    body = lambda group, lines: emit(group, (line[:-1] for line in lines))
+    return _streamed(order, [*keys, _CHUNK], [_FIRST, "__kept0"], body, schema)
 
 
 def window_accumulate(df: DataFrame, keys: list[str], seq: str, columns: list[str], acc: Accumulator, size: str,
                       slide: str | None = None, ts: str = "ts", width: Width = WIDTH) -> DataFrame:
     """keys, w_start, w_end and the accumulator's result over each tumbling or (with slide) sliding window."""
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
+    groups = [*keys, "w_start", "w_end"]
     placed = df.select(*dict.fromkeys([*keys, seq, *columns]), window.alias("__w"))
-    named = ["w_start", "w_end"]
     placed = placed.withColumns({"w_start": F.col("__w.start"), "w_end": F.col("__w.end")}).drop("__w")
-    partial = _partial(_with_chunk(placed, seq, width), [*keys, *named], seq, columns, acc)
-    schema = _schema(partial, [*keys, *named], acc.schema)
-    arrow = to_arrow_schema(schema)
-    fields = arrow.names[len(keys) + 2 :]
-
-    def finish(table: pa.Table) -> pa.Table:
-        state = acc.create()
-        for part in table.sort_by(_CHUNK).column(_STATE).to_pylist():
-            state = acc.merge(state, pickle.loads(part))
-        made = table.select([*keys, *named]).slice(0, 1)
-        for value, name in zip(acc.result(state), fields, strict=True):
-            made = made.append_column(name, pa.array([value], arrow.field(name).type))
-        return made.cast(arrow)
-
-    return partial.groupBy(*keys, *named).applyInArrow(finish, schema)
+    partial = _partial(_with_chunk(placed, seq, width), groups, seq, columns, acc)
+    return _finished(partial, groups, lambda state: [acc.result(state)], _schema(partial, groups, acc.schema), acc)
 
 
 def table_accumulate(df: DataFrame, keys: list[str], seq: str, columns: list[str], acc: Accumulator,
                      width: Width = WIDTH) -> DataFrame:
     """keys and the rows of a table aggregate of the user: an accumulator whose result is a list of tuples of its schema."""
-    partial = _partial(_with_chunk(df.select(*dict.fromkeys([*keys, seq, *columns])), seq, width), keys, seq, columns, acc)
-    schema = _schema(partial, keys, acc.schema)
-    arrow = to_arrow_schema(schema)
-    fields = arrow.names[len(keys) :]
-
-    def finish(table: pa.Table) -> pa.Table:
-        state = acc.create()
-        for part in table.sort_by(_CHUNK).column(_STATE).to_pylist():
-            state = acc.merge(state, pickle.loads(part))
-        rows = acc.result(state)
-        made = [pa.array([key] * len(rows), arrow.field(name).type) for name, key in zip(keys, (table.column(k)[0].as_py() for k in keys), strict=True)]
-        made += [pa.array([r[k] for r in rows], arrow.field(name).type) for k, name in enumerate(fields)]
-        return pa.Table.from_arrays(made, schema=arrow)
-
-    return partial.groupBy(*keys).applyInArrow(finish, schema)
+    rows = _with_chunk(df.select(*dict.fromkeys([*keys, seq, *columns])), seq, width)
+    partial = _partial(rows, keys, seq, columns, acc)
+    return _finished(partial, keys, acc.result, _schema(partial, keys, acc.schema), acc)

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.accumulators import Accumulator
+from rivulet.operators.accumulate import running_accumulate
 from rivulet.operators.running import WIDTH, Width, running
 
 
@@ -64,6 +66,14 @@ def cogroup_refires(fated: DataFrame, keys: list[str], seq: str, left: Column, w
     return running(kept, [*keys, "w_start"], seq, sides, width).where(F.col("fate") == "again")
 
 
+def refires_by(fated: DataFrame, keys: list[str], seq: str, columns: list[str], acc: Accumulator,
+               width: Width = WIDTH) -> DataFrame:
+    """What every firing after a window's first gives by an accumulator of the user, with w_start: also of whole rows."""
+    kept = fated.where(F.col("fate") != "late")
+    got = running_accumulate(kept, [*keys, "w_start"], seq, columns, acc, width, carry=["fate"])
+    return got.where(F.col("fate") == "again").drop("fate")
+
+
 def interval_late(df: DataFrame, seq: str, side: str, delay: int, ts: str = "ts", width: Width = WIDTH) -> DataFrame:
     """Records of a two-sided stream that are late: event time before the joint watermark.
 

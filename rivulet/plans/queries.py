@@ -476,6 +476,24 @@ def cogroup_refire(spark, sf_dir):
     return fired.select("seq", "user_id", "w_start", "n_left", "n_right")
 
 
+@query(FATES_SQL + """, g AS (SELECT seq, user_id, w_start, fate,
+    string_agg(seq, ',' ORDER BY arrival) FILTER (id = 'click') OVER w AS lefts,
+    string_agg(seq, ',' ORDER BY arrival) FILTER (id = 'purchase') OVER w AS rights
+    FROM f WHERE fate <> 'late' AND id IN ('click', 'purchase')
+    WINDOW w AS (PARTITION BY user_id, w_start ORDER BY arrival ROWS UNBOUNDED PRECEDING))
+SELECT seq, user_id, w_start, coalesce(lefts, '') AS lefts, coalesce(rights, '') AS rights FROM g WHERE fate = 'again'""")
+def cogroup_refire_rows(spark, sf_dir):
+    """Each firing of a window co-group after its first, with all rows of both sides so far."""
+    width = even(spark, sf_dir)
+    sides = _fates(spark, sf_dir, width).where("id IN ('click', 'purchase')")
+    sides = sides.withColumn("side", F.when(F.col("id") == "click", "left").otherwise("right"))
+    listed = lambda rows: ",".join(str(r[0]) for r in rows)
+    acc = accumulators.CoGroup("side", lambda a, b: (listed(a), listed(b)), "lefts string, rights string")
+    fired = eventtime.refires_by(sides, ["user_id"], "arrival", ["seq", "side"], acc, width)
+    arrived = F.col("arrival") % PLACES  # the record's own number
+    return fired.select(arrived.alias("seq"), "user_id", "w_start", "lefts", "rights")
+
+
 @query(f"""WITH {DISORDERED} SELECT seq, max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 AS wm FROM d""")
 def watermark_mono(spark, sf_dir):
