@@ -53,6 +53,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> None:
+    """Deletes what a checkpointed df was read from, once what was made of it is checkpointed itself."""
+    rdd = df._jdf.queryExecution().logical().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters outside SPACES, in order."""
     trimmed = F.btrim(text, F.lit(SPACES))

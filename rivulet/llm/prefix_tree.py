@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import checkpointed
+from rivulet.llm.common import checkpointed, released
 
 #: Every conversation takes its first turns from the one at the lower multiple of GROUP: crc32(id) modulo SHARED of them.
 GROUP, SHARED = 5, 9
@@ -136,6 +136,7 @@ def first_owned(prefixes: DataFrame, minima: DataFrame) -> DataFrame:
         "conv_id", "size", F.lit(-1).cast("long").alias("low"), (F.col("size") + 1).alias("top"), nothing.alias("above")
     )
     longest = ends.agg(F.max("size")).first()[0] or 0
+    before = None
     for _ in range((longest + 1).bit_length()):  # low isn't owned, top is
         state = state.withColumn("depth", F.floor((F.col("low") + F.col("top")) / 2))
         asked = state.where(F.col("depth") > F.col("low")).select("conv_id", "depth")
@@ -151,6 +152,9 @@ def first_owned(prefixes: DataFrame, minima: DataFrame) -> DataFrame:
                 F.when(others, F.col("owner")).otherwise(F.col("above")).alias("above"),
             )
         )
+        if before is not None:
+            released(before)
+        before = state
     return state.select("conv_id", "size", "top", "above")
 
 
@@ -226,15 +230,19 @@ def _assembled(nodes: DataFrame, chains: DataFrame, ends: DataFrame) -> DataFram
 
 def with_descendants(chains: DataFrame) -> DataFrame:
     """conv_id, leaf and saved of every chain with all chains below it; up names the chain that it hangs on."""
+    first = True
     while True:
         below = chains.where("up IS NOT NULL").groupBy(F.col("up").alias("conv_id"))
         below = below.agg(F.sum("leaf").alias("more_leaf"), F.sum("saved").alias("more_saved"))
         next_up = chains.select(F.col("conv_id").alias("up"), F.col("up").alias("next"))
-        chains = checkpointed(
+        higher = checkpointed(
             chains.join(below, "conv_id", "left")
             .join(next_up, "up", "left")
             .select("conv_id", F.col("next").alias("up"), _plus("leaf"), _plus("saved"))
         )
+        if not first:
+            released(chains)
+        chains, first = higher, False
         if chains.where("up IS NOT NULL").isEmpty():
             return chains.select("conv_id", "leaf", "saved")
 
