@@ -1,9 +1,9 @@
 """Running aggregates by key: one updated record for each input record, in arrival order.
 
 A window over the key alone would give a frequent key to one task. So the order
-is cut into chunks: a window over (key, chunk) aggregates within the chunk, and
-what the key's earlier chunks add up to, one row for each (key, chunk), is
-joined to it. The largest task holds one chunk of one key.
+is cut into chunks: what the key's earlier chunks add up to, one row for each
+(key, chunk), is put before the chunk's records, and a window over (key, chunk)
+aggregates both. The largest task holds one chunk of one key.
 
 A chunk is WIDTH arrival numbers, which fits arrivals that are numbered without
 large gaps. For other numbers (times, ids of several makers) and for more than
@@ -12,8 +12,8 @@ average, but CHUNKS of them at most: by one aggregate over the numbers alone. Th
 the window over a key's chunks, and over all chunks where there is no key, has
 about CHUNKS rows at most.
 
-Keys become columns without nulls before the window. The join is on these and the
-chunk, as the window is, so that the records themselves are shuffled and sorted once.
+Keys become columns without nulls before the window, so that records and the rows
+before them meet; the records themselves are shuffled and sorted once.
 """
 
 from __future__ import annotations
@@ -31,12 +31,10 @@ WIDTH, CHUNKS = 1 << 18, 1 << 16
 _CHUNK = "__chunk"
 Width = int | Column
 
-#: kind -> (aggregate, merge of two partial results, either of which may be null)
-_KINDS: dict[str, tuple[Callable, Callable[[Column, Column], Column]]] = {
-    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
-    "max": (F.max, lambda a, b: F.greatest(a, b)),
-    "min": (F.min, lambda a, b: F.least(a, b)),
-}
+#: Aggregates of which the results of parts can be aggregated again.
+_KINDS: dict[str, Callable] = {"sum": F.sum, "max": F.max, "min": F.min}
+#: 0 for what a key's earlier chunks add up to, 1 for a record.
+_ROW = "__row"
 
 
 def measured(df: DataFrame, seq: str) -> tuple[int, int]:
@@ -86,15 +84,16 @@ def running(
     A value may be a struct, which min and max compare field by field. width: numbers in a chunk.
     """
     rows, plain = _chunked(df, keys, seq, width)
-    inside = _upto(plain, seq, inclusive)
+    values = {n: (_KINDS[kind], value) for n, (kind, value) in aggregates.items()}
     earlier = _upto([k for k in plain if k != _CHUNK], _CHUNK, inclusive=False)
-    local = rows.select("*", *[_KINDS[kind][0](value).over(inside).alias(n) for n, (kind, value) in aggregates.items()])
-    sums = rows.groupBy(*plain).agg(*[_KINDS[kind][0](value).alias(n) for n, (kind, value) in aggregates.items()])
-    before = sums.select(*plain, *[_KINDS[kind][0](n).over(earlier).alias(f"__{n}") for n, (kind, _) in aggregates.items()])
-    return local.join(before, plain).select(
-        *df.columns,
-        *[_KINDS[kind][1](F.col(f"__{n}"), F.col(n)).alias(n) for n, (kind, _) in aggregates.items()],
-    )
+    sums = rows.groupBy(*plain).agg(*[fold(value).alias(f"__{n}") for n, (fold, value) in values.items()])
+    heads = sums.select(*plain, *[fold(f"__{n}").over(earlier).alias(f"__{n}") for n, (fold, _) in values.items()])
+    typed = {n: value.cast(sums.schema[f"__{n}"].dataType) for n, (_, value) in values.items()}
+    lines = rows.select("*", *[value.alias(f"__{n}") for n, value in typed.items()], F.lit(1).alias(_ROW))
+    lines = lines.unionByName(heads.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
+    inside = Window.partitionBy(*plain).orderBy(_ROW, seq).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    got = lines.select("*", *[fold(f"__{n}").over(inside).alias(n) for n, (fold, _) in values.items()])
+    return got.where(F.col(_ROW) == 1).select(*df.columns, *values)
 
 
 def previous(df: DataFrame, keys: list[str], seq: str, values: list[str], width: Width = WIDTH) -> DataFrame:
