@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def value_record(df: DataFrame, value: Column) -> DataFrame:
@@ -19,3 +20,9 @@ def keyed_record(lines: DataFrame, separator: str = ",", place: int = 1) -> Data
 def sink_options(servers: str, topic: str) -> dict[str, str]:
     """Delivery is at least once; readers drop repeats by the record's key."""
     return {"kafka.bootstrap.servers": servers, "topic": topic}
+
+
+def kafka_writer(records: DataFrame, options: dict[str, str]) -> DataStreamWriter | DataFrameWriter:
+    """A writer of records (value, and key if there is one) to a topic: of a stream or of a batch."""
+    writer = records.writeStream if records.isStreaming else records.write
+    return writer.format("kafka").options(**options)

@@ -285,7 +285,7 @@ def test_socket_and_records(spark, tmp_path):
     import threading
 
     from rivulet.model import SENSOR, with_event_time
-    from rivulet.sinks.records import value_record
+    from rivulet.sinks.records import kafka_writer, sink_options, value_record
     from rivulet.sources.kafka import kafka_lines, source_options
 
     server = socket.create_server(("127.0.0.1", 0))
@@ -311,5 +311,11 @@ def test_socket_and_records(spark, tmp_path):
     sensors = with_event_time(spark.createDataFrame([("s1", 61, 5)], SENSOR))
     assert sensors.select(F.col("et").cast("string")).first()[0] == "1970-01-01 00:01:01"
     assert bytes(value_record(sensors, F.col("vc")).first().value) == b"5"
+    options = sink_options("h:9092", "t")
     with pytest.raises(Exception, match="kafka"):  # the connector is not among Spark's own jars
         kafka_lines(spark, source_options("h:9092", ["t"]))
+    with pytest.raises(Exception, match="kafka"):
+        kafka_writer(value_record(sensors, F.col("vc")), options).save()
+    stream = spark.readStream.format("rate").load().select(F.col("value").cast("string"))
+    with pytest.raises(Exception, match="kafka"):
+        kafka_writer(value_record(stream, F.col("value")), options | {"checkpointLocation": str(tmp_path / "k")}).start()
