@@ -12,7 +12,7 @@ class Accumulator:
     merge(a, b) joins the state of earlier records with that of later ones, and add(s, row) must give what
     merge(s, add(create(), row)) gives; neither has to be commutative. A state may be changed in place by add and by
     merge (its first). result returns a tuple of the fields that `schema` names. A row has the columns that the
-    operator is given, as attributes; nulls are None.
+    operator is given, as attributes; nulls are None. A state that keeps rows keeps them as plain tuples.
     """
 
     schema: str

@@ -60,8 +60,23 @@ def _streamed(df: DataFrame, groups: list[str], order: list[str], body: Body, sc
         yield batch_of(out)
 
     rest = [c for c in df.columns if c not in groups]
-    placed = df.select(*groups, *rest).repartition(*groups).sortWithinPartitions(*groups, *order)
-    return placed.mapInArrow(run, schema)
+    placed = df.select(*groups, *rest)
+    placed = placed.repartition(*groups) if groups else placed.coalesce(1)
+    return placed.sortWithinPartitions(*groups, *order).mapInArrow(run, schema)
+
+
+def processed(df: DataFrame, columns: list[str], body: Callable[[tuple], Iterator[tuple]], schema: str) -> DataFrame:
+    """What a process function of the user gives for each row: any number of tuples of `schema`, no shuffle."""
+    record, arrow = namedtuple("Row", columns), to_arrow_schema(_schema(df, [], schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [made for line in zip(*(c.to_pylist() for c in b.columns), strict=True) for made in body(record(*line))]
+            columns_ = [pa.array([r[k] for r in out], field.type) for k, field in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays(columns_, schema=arrow)
+
+    named = [F.col(c).alias(f"__{k}") for k, c in enumerate(columns)]
+    return df.select(*named).mapInArrow(run, _schema(df, [], schema))
 
 
 def _chained(first: tuple, others: Iterator[tuple]) -> Iterator[tuple]:

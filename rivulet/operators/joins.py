@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import namedtuple
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.accumulators import Accumulator
 from rivulet.model import seconds
+from rivulet.operators.accumulate import processed, running_accumulate
 from rivulet.operators.running import WIDTH, Width, running
 
 
@@ -69,6 +72,49 @@ def broadcast_as_of(data: DataFrame, config: DataFrame, seq: str, value: str, de
     )
 
 
+class _Broadcast(Accumulator):
+    """Entries of broadcast state, which config rows put and data rows read, and the last row seen."""
+
+    def __init__(self, puts: Callable[[tuple], dict], reads: Callable[[dict, tuple], tuple], schema: str, width: int,
+                 columns: list[str]) -> None:
+        self.puts, self.reads, self.schema, self.width = puts, reads, schema, width
+        self.record = namedtuple("Row", columns)
+
+    def create(self) -> tuple[dict, tuple | None]:
+        return {}, None
+
+    def add(self, state: tuple, row: tuple) -> tuple:
+        return ({**state[0], **self.puts(row)}, tuple(row)) if row[0] else (state[0], tuple(row))
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        return {**a[0], **b[0]}, None
+
+    def result(self, state: tuple) -> tuple:
+        entries, row = state
+        return (None,) * self.width if row[0] else self.reads(entries, self.record(*row))
+
+
+def broadcast_process(data: DataFrame, config: DataFrame, seq: str, columns: list[str], puts: Callable[[tuple], dict],
+                      reads: Callable[[dict, tuple], tuple], schema: str, width: Width = WIDTH) -> DataFrame:
+    """A function of the user over data rows with broadcast state, which config rows write in the order of arrival.
+
+    puts(row) gives the entries that a config row sets (None takes one out, as far as reads is concerned);
+    reads(entries, row) gives the data row's tuple of `schema`. Rows are (is_config, *columns). The result has seq and
+    the tuple's fields. The entries, like any broadcast state, fit a task.
+    """
+    sides = [df.select(seq, *columns, F.lit(flag).alias("config")) for df, flag in ((data, False), (config, True))]
+    seen = ["config", *columns]
+    acc = _Broadcast(puts, reads, schema, len(data.sparkSession.createDataFrame([], schema).columns), seen)
+    got = running_accumulate(sides[0].unionByName(sides[1]), [], seq, seen, acc, width, carry=["config"])
+    return got.where(~F.col("config")).drop("config")
+
+
+def interval_process(left: DataFrame, right: DataFrame, keys: list[str], low: float, high: float, columns: list[str],
+                     body: Callable[[tuple], Iterator[tuple]], schema: str) -> DataFrame:
+    """What a process function of the user gives for each pair of an interval join on l_ts and r_ts."""
+    return processed(interval_join(left, right, keys, low, high), columns, body, schema)
+
+
 def lateral_split(df: DataFrame, words: Column, outer: bool = True) -> DataFrame:
     """Each row with every (word, length) of its words; outer keeps rows without any."""
     rows = F.transform(words, lambda w: F.struct(w.alias("word"), F.length(w).alias("length")))

@@ -401,6 +401,28 @@ def interval_join(spark, sf_dir):
     return got.select("user_id", "l_seq", "r_seq")
 
 
+@query("""WITH {s} SELECT a.seq AS l_seq, b.seq AS r_seq, 'bought ' || CASE WHEN b.ts < a.ts THEN 'before' ELSE 'after' END AS told
+FROM s a JOIN s b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 2 HOUR AND a.ts + INTERVAL 1 HOUR
+WHERE a.id = 'click' AND b.id = 'purchase'""")
+def interval_process(spark, sf_dir):
+    """A process function of the user over the pairs of an interval join."""
+    left, right = _sides(spark, sf_dir)
+
+    def told(pair):
+        yield pair.l_seq, pair.r_seq, "bought " + ("before" if pair.r_ts < pair.l_ts else "after")
+
+    return joins.interval_process(
+        left.withColumnRenamed("ts", "l_ts"),
+        right.withColumnRenamed("ts", "r_ts"),
+        ["user_id"],
+        -7200,
+        3600,
+        ["l_seq", "r_seq", "l_ts", "r_ts"],
+        told,
+        "l_seq long, r_seq long, told string",
+    )
+
+
 INTERVAL_LATE_SQL = f"""WITH {DISORDERED}, n AS (SELECT *, CASE id WHEN 'click' THEN 'left' ELSE 'right' END AS side
     FROM d WHERE id IN ('click', 'purchase')), m AS (
     SELECT *, max(CASE WHEN side = 'left' THEN ts END) OVER w AS a, max(CASE WHEN side = 'right' THEN ts END) OVER w AS b
@@ -567,6 +589,27 @@ def broadcast_threshold(spark, sf_dir):
     return got.where("vc > threshold").select("seq", "vc", "threshold", (F.col("vc") - F.col("threshold")).alias("excess"))
 
 
+@query("""WITH {s}, t AS (SELECT *, user_id % 3 AS part, CASE WHEN id = 'signup' THEN vc END AS cfg FROM s), p AS (
+    SELECT *, coalesce(last_value(cfg IGNORE NULLS) OVER (PARTITION BY part ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS threshold
+    FROM t)
+SELECT seq, CAST(vc - threshold AS BIGINT) AS excess, CAST((SELECT count(DISTINCT b.user_id % 3) FROM s b
+    WHERE b.id = 'signup' AND b.seq < p.seq) AS BIGINT) AS entries FROM p WHERE id <> 'signup'""")
+def broadcast_entries(spark, sf_dir):
+    """Broadcast state of several entries: a threshold for each third of the users, and how many there are so far."""
+    s = sensors(spark, sf_dir)
+    got = joins.broadcast_process(
+        s.where("id <> 'signup'"),
+        s.where("id = 'signup'"),
+        "seq",
+        ["user_id", "vc"],
+        lambda row: {row.user_id % 3: row.vc},
+        lambda entries, row: (row.vc - entries.get(row.user_id % 3, 0), len(entries)),
+        "excess long, entries long",
+        running.even_width(s, "seq"),
+    )
+    return got
+
+
 @query("""WITH {s}, p AS (SELECT seq, user_id, lag(vc) OVER w AS v, lag(seq) OVER w AS prev_seq FROM s
     WINDOW w AS (PARTITION BY user_id ORDER BY seq))
 SELECT seq, user_id, CASE WHEN seq - prev_seq < 100 THEN v END AS state FROM p""")

@@ -21,6 +21,11 @@ def available_now(writer: DataStreamWriter, checkpoint: str, name: str | None =
     return query
 
 
+def every(writer: DataStreamWriter, seconds: float) -> DataStreamWriter:
+    """A batch, and with it a new watermark, at most once in so many seconds."""
+    return writer.trigger(processingTime=f"{seconds} seconds")
+
+
 def either(batch: Callable[[], DataFrame], stream: Callable[[], DataFrame], streaming: bool,
            transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One transformation over a bounded or an unbounded input."""

@@ -130,3 +130,21 @@ def test_table_aggregate_in_chunks(spark, width):
         values = sorted({r[2] for r in data if r[0] == k and r[2] is not None}, reverse=True)[:2]
         want += [(k, v, place) for place, v in enumerate(values, 1)]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("width", [3, 1 << 18])
+def test_broadcast_process_in_chunks(spark, width):
+    """Config of several names, one of them taken out again, before and after the data it is for."""
+    data = spark.createDataFrame([(k, "ab"[k % 2], k) for k in range(0, 30, 2)] + [(k, "b", None) for k in (7, 19)], "seq long, name string, v int")
+    config = spark.createDataFrame([(1, "a", 5), (9, "b", 7), (11, "a", None), (23, "a", 1)], "seq long, name string, v int")
+    got = joins.broadcast_process(
+        data, config, "seq", ["name", "v"], lambda r: {r.name: r.v}, lambda e, r: (e.get(r.name) or 0, sum(v is not None for v in e.values())),
+        "limit int, n int", width,
+    )
+    want, held, rows = {}, {}, sorted([*((r.seq, False, r.name, r.v) for r in data.collect()), *((r.seq, True, r.name, r.v) for r in config.collect())])
+    for seq, is_config, name, v in rows:
+        if is_config:
+            held[name] = v
+        else:
+            want[seq] = (held.get(name) or 0, sum(x is not None for x in held.values()))
+    assert {r.seq: (r.limit, r.n) for r in got.collect()} == want

@@ -319,3 +319,14 @@ def test_socket_and_records(spark, tmp_path):
     stream = spark.readStream.format("rate").load().select(F.col("value").cast("string"))
     with pytest.raises(Exception, match="kafka"):
         kafka_writer(value_record(stream, F.col("value")), options | {"checkpointLocation": str(tmp_path / "k")}).start()
+
+
+def test_batches_come_in_intervals(spark, tmp_path):
+    stream, times = spark.readStream.format("rate").option("rowsPerSecond", 50).load(), []
+    writer = runtime.every(stream.writeStream.foreachBatch(lambda b, n: times.append((n, b.count()))), 1.5)
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        query.awaitTermination(10)
+    finally:
+        query.stop()
+    assert 2 <= len(times) <= 8  # a rate of 50 rows a second would give many more without the interval
