@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,11 @@ from rivulet.functions import accumulators, udfs
 from rivulet.model import parse_lines, sensor_view, table
 from rivulet.operators import accumulate, eventtime, joins, running, state, topn, transforms, windows
 from rivulet.sinks.records import keyed_record
+from rivulet.sinks.writers import once_per_batch
+from rivulet.sources import files
 from rivulet.sources.generators import datagen, generate
+from rivulet.streaming import live, processors, runtime
+from rivulet.streaming import windows as live_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,6 +259,14 @@ def tumbling_agg(spark, sf_dir):
     return windows.time_windows(sensors(spark, sf_dir), ["id"], aggregates, "1 hour")
 
 
+@query(f"""WITH {{s}} SELECT user_id % 10 AS part, {HOUR} AS w_start, {HOUR} + INTERVAL 1 HOUR AS w_end, count(*) AS n
+FROM s GROUP BY ALL""")
+def processing_time_agg(spark, sf_dir):
+    """Windows over the time of processing, for which a clock stands in."""
+    s = sensors(spark, sf_dir).withColumn("part", F.col("user_id") % 10)
+    return windows.processing_time_windows(s, ["part"], [F.count("*").alias("n")], "1 hour", clock=F.col("ts"))
+
+
 @query("""WITH {s}, e AS (
     SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS w_start FROM s, range(0, 2) AS r(k)
 ) SELECT id, w_start, w_start + INTERVAL 1 HOUR AS w_end, count(*) AS n, max(vc) AS max_vc FROM e GROUP BY ALL""")
@@ -391,6 +404,25 @@ def window_join_right(spark, sf_dir):
     return joins.window_join(*_sides(spark, sf_dir), ["user_id"], "1 day", "right")
 
 
+@query("""WITH {s}, e AS (SELECT user_id % 5 AS part, time_bucket(INTERVAL 1 DAY, ts) AS w_start, id, seq FROM s
+    WHERE id IN ('click', 'purchase'))
+SELECT part, w_start, count(*) FILTER (id = 'click') AS n_left, count(*) FILTER (id = 'purchase') AS n_right,
+       CAST(sum(seq) AS BIGINT) AS sum_seq FROM e GROUP BY part, w_start""")
+def window_cogroup(spark, sf_dir):
+    """All rows of both sides of each key and window, by a function of the user."""
+    left, right = (
+        df.select((F.col("user_id") % 5).alias("part"), "ts", F.col(c).alias("seq")) for df, c in zip(_sides(spark, sf_dir), ("l_seq", "r_seq"), strict=True)
+    )
+
+    def body(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        one = a if len(a) else b
+        return pd.DataFrame(
+            {"part": one["part"][:1], "w_start": one["w_start"][:1], "n_left": len(a), "n_right": len(b), "sum_seq": a["seq"].sum() + b["seq"].sum()}
+        )
+
+    return joins.window_cogroup(left, right, ["part"], "1 day", body, "part long, w_start timestamp_ntz, n_left long, n_right long, sum_seq long")
+
+
 @query("""WITH {s} SELECT a.user_id, a.seq AS l_seq, b.seq AS r_seq FROM s a JOIN s b ON a.user_id = b.user_id
 AND b.ts BETWEEN a.ts - INTERVAL 2 HOUR AND a.ts + INTERVAL 1 HOUR WHERE a.id = 'click' AND b.id = 'purchase'""")
 def interval_join(spark, sf_dir):
@@ -671,6 +703,14 @@ def lateral_split_left(spark, sf_dir):
     return joins.lateral_split(parts, transforms.java_split(F.col("p_name"))).select("p_partkey", "word", "length")
 
 
+@query("""SELECT p_partkey, word, CAST(length(word) AS INT) AS length
+FROM part, unnest(string_split(p_name, ' ')) AS u(word) WHERE p_size > 10""")
+def lateral_split_inner(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").where("p_size > 10").select("p_partkey", "p_name")
+    got = joins.lateral_split(parts, transforms.java_split(F.col("p_name")), outer=False)
+    return got.select("p_partkey", "word", "length")
+
+
 @query("""SELECT l_suppkey, round(CAST(sum(CAST(l_quantity AS BIGINT) * l_linenumber) AS DOUBLE) / sum(l_linenumber), 6)
 AS w_avg FROM lineitem GROUP BY l_suppkey""")
 def weighted_avg(spark, sf_dir):
@@ -714,3 +754,79 @@ def partition_custom(spark, sf_dir):
 def keyed_records(spark, sf_dir):
     lines = sensors(spark, sf_dir).select(F.concat_ws(",", "id", "seq", "vc").alias("value"))
     return keyed_record(lines).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+# live forms, over the table as a stream
+
+
+def live_sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as a stream of sensor records, in a session beside the given one."""
+    schema = table(spark, sf_dir, "events").schema
+    # a pattern, as a stream's plain path must be a folder, and the table may be a file
+    stream = files.parquet_stream(runtime.live_session(spark), f"{sf_dir}/events.[p]arquet", schema)
+    return sensor_view(stream).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""WITH {s} SELECT seq, vc, prev_vc FROM (
+    SELECT *, lag(vc) OVER (PARTITION BY user_id ORDER BY seq) AS prev_vc FROM s) WHERE abs(vc - prev_vc) > 10""")
+def live_value_state(spark, sf_dir):
+    keyed = live_sensors(spark, sf_dir).select(F.col("user_id").cast("string").alias("id"), "seq", "vc")
+    return runtime.finished(processors.stateful(keyed, processors.JumpAlerts())).select("seq", "vc", "prev_vc")
+
+
+@query("""WITH {s}, r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn,
+    sum(vc) OVER w AS sum_vc, count(*) OVER w AS n FROM s
+    WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT user_id, rn AS fired_at, CAST(sum_vc AS BIGINT) AS sum_vc, n FROM r WHERE rn % 2 = 0""")
+def live_count_sliding(spark, sf_dir):
+    stream = live_sensors(spark, sf_dir)
+    return runtime.finished(live_windows.count_windows(stream, "user_id", accumulators.SumAndCount("vc"), ["vc"], 5, 2))
+
+
+@query("""WITH {s}, p AS (SELECT *, ts + to_seconds(1800) AS ends FROM s), q AS (
+    SELECT *, CASE WHEN ts <= max(ends) OVER (PARTITION BY user_id ORDER BY ts, seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM p
+), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS no FROM q), w AS (
+    SELECT user_id, min(ts) AS w_start, max(ends) AS w_end, CAST(sum(vc) AS BIGINT) AS sum_vc, count(*) AS n FROM g GROUP BY user_id, no)
+SELECT user_id, epoch_us(w_start) // 1000 AS w_start, epoch_us(w_end) // 1000 AS w_end, sum_vc, n FROM w
+WHERE epoch_us(w_end) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 FROM s)""")
+def live_sessions(spark, sf_dir):
+    """Sessions that the end of the input has closed."""
+    stream = live_sensors(spark, sf_dir)
+    found = runtime.finished(live_windows.sessions(stream, "user_id", accumulators.SumAndCount("vc"), ["vc"], 1800))
+    return found.select("user_id", F.unix_millis("w_start").alias("w_start"), F.unix_millis("w_end").alias("w_end"), "sum_vc", "n")
+
+
+@query(f"""WITH {{s}}, w AS (SELECT id, {HOUR} AS w_start, count(*) AS n, CAST(sum(vc) AS BIGINT) AS sum_vc FROM s GROUP BY ALL)
+SELECT id, epoch_ms(w_start) AS w_start, sum_vc, n FROM w WHERE w_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM s)""")
+def live_tumbling(spark, sf_dir):
+    """First firings of the windows that the end of the input has closed, by an accumulator of the user."""
+    stream = live_sensors(spark, sf_dir)
+    found = runtime.finished(live_windows.refiring_windows(stream, "id", accumulators.SumAndCount("vc"), ["vc"], 3600))
+    return found.where("kind = 'fire'").select("id", F.unix_millis("w_start").alias("w_start"), "sum_vc", "n")
+
+
+@query("""WITH {s} SELECT a.user_id, a.seq AS l_seq, b.seq AS r_seq FROM s a JOIN s b ON a.user_id = b.user_id
+WHERE a.id = 'click' AND b.id = 'purchase'""")
+def live_connect(spark, sf_dir):
+    """Every pair of a key's two inputs, once, by a two-input function with state of its own."""
+    stream = live_sensors(spark, sf_dir).select("user_id", "id", "seq")
+    left = stream.where("id = 'click'").select("user_id", "seq", F.col("seq").alias("l_seq"))
+    right = stream.where("id = 'purchase'").select("user_id", "seq", F.col("seq").alias("r_seq"))
+    function = live_windows.Pairs("user_id long, l_seq long, r_seq long", ["l_seq"], ["r_seq"])
+    return runtime.finished(live_windows.connected(left, right, "user_id", function))
+
+
+@query("""WITH {s}, t AS (SELECT *, CASE WHEN id = 'signup' THEN vc END AS cfg FROM s), p AS (
+    SELECT *, coalesce(last_value(cfg IGNORE NULLS) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS threshold FROM t)
+SELECT seq, vc, threshold FROM p WHERE id <> 'signup'""")
+def live_config(spark, sf_dir):
+    """Broadcast state in the order of arrival: each record with the threshold that stood."""
+    stream = live_sensors(spark, sf_dir).select("seq", "vc", (F.col("id") == "signup").alias("config"))
+    states = runtime.scratch(spark)
+
+    def sink(path):
+        return live.config_in_order("seq", "config", "vc", "threshold", 0, states, once_per_batch(path))
+
+    found = runtime.finished(stream, sink=sink, schema="seq long, vc int, config boolean, threshold int")
+    return found.select("seq", "vc", "threshold")

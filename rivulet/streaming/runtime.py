@@ -2,13 +2,53 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections import deque
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from rivulet.session import SETTINGS
+from rivulet.sinks.writers import once_per_batch
+
+
+def live_session(spark: SparkSession) -> SparkSession:
+    """A session beside the given one, whose settings stay as they are, with what keyed state in streams needs."""
+    beside = spark.newSession()
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql."):
+            beside.conf.set(key, value)
+    beside.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return beside
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or for a local session that has none, here."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="rivulet-")
+    return f"{named}/live-{uuid4().hex}"
+
+
+def finished(stream: DataFrame, mode: str = "append",
+             sink: Callable[[str], Callable[[DataFrame, int], None]] = once_per_batch, schema: str | None = None
+             ) -> DataFrame:
+    """All that a stream gives for the input that is there, as a table: each batch in a folder of its own.
+
+    sink makes the function for foreachBatch from the folder; schema: of what it writes, if not the stream's.
+    """
+    folder = scratch(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(sink(f"{folder}/rows"))
+    available_now(writer, f"{folder}/checkpoint")
+    rows = stream.sparkSession.read.schema(schema or stream.schema).parquet(f"{folder}/rows")
+    return rows if schema else rows.select(*stream.columns)
+
 
 def available_now(writer: DataStreamWriter, checkpoint: str, name: str | None = None) -> StreamingQuery:
     """Everything that is there, in as many batches as the source makes, then the end.
