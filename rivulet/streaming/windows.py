@@ -61,6 +61,12 @@ class _Refiring(_Named):
     def open(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
+    def load(self) -> None:
+        """Reads the window's state, once for all records of a batch."""
+
+    def save(self) -> None:
+        """Writes what the records of a batch have made of it."""
+
     def held(self) -> bool:
         raise NotImplementedError
 
@@ -79,6 +85,7 @@ class _Refiring(_Named):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         now, end = timerValues.getCurrentWatermarkInMs(), key[-1] + self.size_ms
+        self.load()
         if now >= end and self.held():
             yield from self._first(key)
         for row in _in_order(rows):
@@ -89,6 +96,7 @@ class _Refiring(_Named):
             if now >= end:
                 self.fired.update((True,))
                 yield from self.emit(key, AGAIN, row["seq"])
+        self.save()
         if self.held():
             pending = set(self.handle.listTimers())
             for at in {end, end + self.allowed_ms} - pending:
@@ -101,6 +109,7 @@ class _Refiring(_Named):
             yield from self.emit(key, FIRE, None)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.load()
         if self.held():
             yield from self._first(key)
         if expiredTimerInfo.getExpiryTimeInMs() >= key[-1] + self.size_ms + self.allowed_ms:
@@ -119,15 +128,23 @@ class RefiringAggregate(_Refiring):
         self.state = handle.getValueState("state", "state binary")
         self.record = _named(self.columns)
 
+    def load(self) -> None:
+        self.begun, self.changed = self.state.exists(), False
+        self.current = pickle.loads(self.state.get()[0]) if self.begun else self.acc.create()
+
+    def save(self) -> None:
+        if self.changed:
+            self.state.update(_dumped(self.current))
+
     def held(self) -> bool:
-        return self.state.exists()
+        return self.begun
 
     def take(self, row: Row) -> None:
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.acc.create()
-        self.state.update(_dumped(self.acc.add(state, self.record(row))))
+        self.current = self.acc.add(self.current, self.record(row))
+        self.begun = self.changed = True
 
     def emit(self, key: tuple, kind: str, seq: int | None) -> Iterator[Row]:
-        yield self.row(*key, seq, kind, *self.acc.result(pickle.loads(self.state.get()[0])))
+        yield self.row(*key, seq, kind, *self.acc.result(self.current))
 
     def late(self, key: tuple, seq: int) -> Iterator[Row]:
         yield self.row(*key, seq, LATE, *[None] * self.width)
@@ -148,13 +165,23 @@ class RefiringCoGroup(_Refiring):
         self.lists = {side: handle.getListState(side, "record binary") for side in ("left", "right")}
         self.record = _named(self.columns)
 
+    def load(self) -> None:
+        self.waiting: dict[str, list[tuple[bytes]]] = {side: [] for side in self.lists}
+
+    def save(self) -> None:
+        for side, rows in self.waiting.items():
+            if rows:
+                self.lists[side].appendList(rows)
+        self.load()
+
     def held(self) -> bool:
-        return any(state.exists() for state in self.lists.values())
+        return any(self.waiting.values()) or any(state.exists() for state in self.lists.values())
 
     def take(self, row: Row) -> None:
-        self.lists[row["side"]].appendValue(_dumped(self.record(row)[:]))
+        self.waiting[row["side"]].append(_dumped(self.record(row)[:]))
 
     def emit(self, key: tuple, kind: str, seq: int | None) -> Iterator[Row]:
+        self.save()
         record = namedtuple("Record", self.columns)
         sides = [
             [record(*pickle.loads(r[0])) for r in state.get()] if state.exists() else [] for state in self.lists.values()
