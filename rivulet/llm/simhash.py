@@ -36,18 +36,30 @@ columns are named.
 
 keep_first, the pipeline's stage, has links of its own: texts whose sets of
 five-word shingles have a Jaccard similarity of ALIKE or more. A text of fewer
-words is its own shingle. Texts meet in one of BANDS keys of BAND_ROWS MinHash
-values each, where a pair of similarity 0.8 is missed with a chance of
-(1 - 0.8^4)^32 = 5e-8 and a more alike one with less, and every link is verified
-on the whole sets. Texts of equal sets are one node; crowded keys are walked to
-a spanning tree as above, in blocks of about BLOCK_SHINGLES shingles, which bounds
-a task's memory. A key of several blocks needs links between them too: its texts
-are compared with one of them, and where that leaves the key in several components
-every two blocks of it are walked together, so that no link is lost.
+words is its own shingle. At that similarity 10 of 64 bits of two fingerprints
+differ, so that three bits find few of these links; the steps are the same, with
+wider fingerprints and balls:
+
+1. A fingerprint has BLOCKS blocks of WIDTH bits, each a vote of the set's shingles.
+   The ball around it holds, of all blocks with up to WEAKEST flipped bits, the KEYS that
+   a text of similarity ALIKE has most likely: a bit turns the easier the closer its vote
+   was. Both texts flip, and so each half of the bits that differ: they meet in the middle.
+2. Nodes of a key whose COMPARED further bits differ in at most STAGE_RADIUS are candidates,
+   and every link is verified on the whole sets.
+3. Crowded keys give each of their nodes a pair with the least node it meets. Where these
+   leave a key in several components, it is walked to a spanning tree.
+
+A pair of similarity 0.8 shares about 27 keys in 11 blocks, a more alike one more; what
+is missed is in the README. Texts of equal sets are one node. Crowds are walked in blocks
+of about BLOCK_SHINGLES shingles, which bounds a task's memory. A key of several blocks needs
+links between them too: its texts are compared with one of them, and where that leaves
+the key in several components every two blocks of it are walked together, so that no link
+is lost.
 """
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
 from itertools import combinations
@@ -59,7 +71,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from rivulet.llm.common import checkpointed, in_parts
+from rivulet.llm.common import checkpointed, in_parts, released
 
 RADIUS = 3
 SHINGLE = 3
@@ -75,14 +87,38 @@ SPLIT_FROM = 1 << 16
 #: Every fourth bit, from each of the first four.
 QUARTERS = [0x1111111111111111, 0x2222222222222222, 0x4444444444444444, 0x8888888888888888 - (1 << 64)]
 
-#: The pipeline's stage: words in a shingle, the least similarity of a link, MinHash keys and values in a key.
+#: The pipeline's stage: words in a shingle, and the least similarity of a link.
 STAGE_SHINGLE = 5
 ALIKE = 0.8
-BANDS, BAND_ROWS = 32, 4
-#: Shingles whose MinHash values are taken at once, and those in a block of a crowded key.
-SKETCH_BLOCK = 1024
+#: Blocks of its fingerprints, bits in a block, and how many of these may flip.
+BLOCKS, WIDTH, WEAKEST = 64, 24, 5
+#: Keys in a ball; sets under FEW shingles, whose votes are coarse, have more.
+KEYS, KEYS_OF_FEW, FEW = 256, 512, 16
+#: Further bits that candidates are compared by, and how many may differ: of 128, 19 do at 0.8, and 64 of unlike texts.
+COMPARED, STAGE_RADIUS = 128, 48
+#: Shingles whose bits are added up at once, in bytes.
+VOTES = 255
+#: Nodes of a crowded key that are compared with each other, at most; shares of the crowded keys that are walked by turns.
+COMPARE_UP_TO = 4096
+TURNS = (16, 1)
+#: Sets that a task remembers, to know copies.
+SEEN = 1 << 18
+#: Shingles in a block of a crowded key.
 BLOCK_SHINGLES = 4_000_000
-_FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
+_BITS = BLOCKS * WIDTH
+_FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, (_BITS + COMPARED) // 64), dtype=np.uint64) | np.uint64(1)
+_FLIPS = np.array([[s >> b & 1 for b in range(WEAKEST)] for s in range(1 << WEAKEST)])
+
+
+def _likely() -> np.ndarray:
+    """The chance that a bit stays in a text of similarity ALIKE, by hundredths of its margin over the square root of the votes."""
+    cos = 2 * ALIKE / (1 + ALIKE)
+    slope = cos / math.sqrt(1 - cos * cos)
+    return np.array([min(0.5 * (1 + math.erf(slope * m / 100 / math.sqrt(2))), 1 - 1e-9) for m in range(400)])
+
+
+_STAYS = -np.log(_likely()).astype(np.float32)
+_TURNS = (-np.log(1 - _likely()) - _STAYS).astype(np.float32)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -298,16 +334,32 @@ def shingle_set(text: str | None, size: int = STAGE_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), SEED) for s in shingles), dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """The MinHash keys of a set."""
-    if not len(found):
-        return np.zeros(0, dtype=np.int64)
-    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, len(found), SKETCH_BLOCK):
-        values = (found[at : at + SKETCH_BLOCK, None] ^ _FLIP) * _TIMES
-        np.minimum(least, values.min(axis=0), out=least)
-    # the flips, odd and apart, tell bands and places in them from each other
-    return ((least ^ (least >> np.uint64(29))) * _FLIP).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+def margins(found: np.ndarray) -> np.ndarray:
+    """For every bit of a set's fingerprint, the shingles that have it less those that do not: the bit is 1 above zero."""
+    votes = np.zeros(_BITS + COMPARED, dtype=np.int64)
+    for at in range(0, len(found), VOTES):
+        bits = (found[at : at + VOTES, None] ^ _FLIP) * _TIMES
+        bits = (bits ^ (bits >> np.uint64(32))) * _TIMES[::-1]
+        bits ^= bits >> np.uint64(29)
+        votes += np.unpackbits(bits.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return 2 * votes - len(found)
+
+
+def balls(margin: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The keys (block, its bits) of each fingerprint, of sets of sizes above zero."""
+    margin = margin[:, :_BITS].reshape(-1, BLOCKS, WIDTH)
+    over = np.abs(margin) * (100 / np.sqrt(sizes))[:, None, None]
+    over = np.minimum(over.astype(np.int64), len(_STAYS) - 1)
+    weak = over.argpartition(WEAKEST - 1, axis=2)[:, :, :WEAKEST]
+    turned = np.take_along_axis(_TURNS[over], weak, axis=2) @ _FLIPS.T.astype(np.float32)
+    cost = (_STAYS[over].sum(axis=2)[:, :, None] + turned).reshape(-1, BLOCKS << WEAKEST)
+    bits = (margin > 0) @ (1 << np.arange(WIDTH)) | np.arange(BLOCKS) << WIDTH
+    keys = (bits[:, :, None] ^ (1 << weak) @ _FLIPS.T).astype(np.int32).reshape(-1, BLOCKS << WEAKEST)
+    out = []
+    for row, of_row, size in zip(cost, keys, sizes, strict=True):
+        n = KEYS_OF_FEW if size < FEW else KEYS
+        out.append(of_row[row.argpartition(n - 1)[:n]])
+    return out
 
 
 def alike_tree(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -377,10 +429,29 @@ def _crowded_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
     return known.unionByName(walk(both, ["key", "low", "high"]))
 
 
+def _partnered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a crowded key, the nodes with another within STAGE_RADIUS."""
+    first, second = (rows[c].to_numpy().astype(np.int64) for c in ("first", "second"))
+    near = [
+        np.count_nonzero(np.bitwise_count(first ^ f) + np.bitwise_count(second ^ s) <= STAGE_RADIUS) > 1
+        for f, s in zip(first, second, strict=True)
+    ]
+    return rows.loc[np.array(near), ["key", "node", "size"]]
+
+
+def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose compared bits differ in at most STAGE_RADIUS."""
+    of = lambda node: prints.select(F.col("node").alias(node), F.struct("first", "second").alias(f"of_{node}"))
+    apart = lambda c: F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}")))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    return met.where(apart("first") + apart("second") <= STAGE_RADIUS).select("a", "b")
+
+
 def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of similarity ALIKE or more.
 
-    first: node, row (id and text hash t of one of its documents), size (of its set) and keys; rows: doc_id, text.
+    first, a checkpoint that is deleted: node, row (id and text hash t of one of its documents), size (of its set), the
+    compared bits (first, second) and keys; rows: doc_id, text.
     """
 
     @F.pandas_udf("array<long>")
@@ -388,39 +459,83 @@ def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
         for texts in in_parts(batches):
             yield pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
-    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = first.select("node", "size", "keys").repartition(parts, "node")
-    spread = spread.select(F.explode("keys").alias("key"), "node", "size")
-    met = spread.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = checkpointed(met)
-    # only texts that met another give their sets
-    wanted = first.join(met.select("node").distinct(), "node", "left_semi").select("node", "row")
+    by_key = Window.partitionBy("key")
+    rest = checkpointed(first.drop("keys"))
+    prints = rest.select("node", "size", "first", "second")
+    spread = first.select(F.explode("keys").alias("key"), "node")
+    met = spread.withColumn("n", F.count("*").over(by_key)).withColumn("hub", F.min("node").over(by_key)).where("n > 1")
+    # one table of both, so that the keys are dealt once
+    few = _near(_pairs(met, "node").distinct(), prints).withColumn("key", F.lit(None).cast("int")).withColumn("n", F.lit(2))
+    many = met.where(F.col("n") > PAIRS_UP_TO).select(F.col("node").alias("a"), F.col("hub").alias("b"), "key", "n")
+    both = checkpointed(few.unionByName(many))
+    released(first)
+
+    stars = both.where(F.col("key").isNotNull()).groupBy("a").agg(F.min("b").alias("b")).where("a != b")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = checkpointed(both.where(F.col("key").isNull()).select("a", "b").unionByName(_near(stars, prints)).distinct())
+    crowds = both.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "n").join(prints, "node")
+    compared = crowds.where(F.col("n") <= COMPARE_UP_TO).groupBy("key").applyInPandas(_partnered, "key int, node long, size long")
+    crowds = checkpointed(compared.unionByName(crowds.where(F.col("n") > COMPARE_UP_TO).select("key", "node", "size")))
+
+    # only texts that are near another give their sets
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+    wanted = rest.join(ends.unionByName(crowds.select("node")).distinct(), "node", "left_semi").select("node", "row")
     named = rows.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row"), "text")
     texts = named.join(wanted, named["row"].eqNullSafe(wanted["row"])).select("node", sets_of("text").alias("found"))
     sets = checkpointed(texts.groupBy("node").agg(F.first("found").alias("found")))
 
-    crowded = _crowded_links(met.where(F.col("n") > PAIRS_UP_TO).select("key", "node", "size"), sets)
-    return _verified(_pairs(met, "node").distinct(), sets).unionByName(crowded).distinct()
+    known = checkpointed(_verified(near, sets))
+    for share in TURNS if crowds.limit(1).count() else ():
+        labelled = crowds.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).join(components(known), "node", "left")
+        labelled = labelled.withColumn("root", F.coalesce("root", "node"))
+        apart = labelled.withColumn("apart", F.min("root").over(by_key) != F.max("root").over(by_key)).where("apart")
+        apart = checkpointed(apart.select("key", "node", "size"))
+        if apart.limit(1).count():
+            known = checkpointed(known.unionByName(_crowded_links(apart, sets)).distinct())
+    return known
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, t): of every group of near copies the row with the smallest id, by the hash t of its text."""
 
-    @F.pandas_udf("node long, size long, keys array<long>")
+    @F.pandas_udf("node long, size long, first long, second long, keys array<int>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for texts in in_parts(batches):
             found = [shingle_set(t) for t in texts]
+            sizes = np.array([len(f) for f in found])
             nodes = np.array([xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "size": [len(f) for f in found], "keys": [band_keys(f) for f in found]})
+            # copies that a task meets again need no keys
+            seen = seen if len(seen) < SEEN else set()
+            fresh = []
+            for k, node in enumerate(nodes.tolist()):
+                if sizes[k] and node not in seen:
+                    fresh.append(k)
+                    seen.add(node)
+            keys: list[np.ndarray | None] = [None] * len(found)
+            compared = np.zeros((len(found), COMPARED // 64), dtype=np.int64)
+            if fresh:
+                margin = np.array([margins(found[k]) for k in fresh])
+                compared[fresh] = np.packbits(margin[:, _BITS:] > 0, axis=1).view(np.int64)
+                for k, of_text in zip(fresh, balls(margin, sizes[fresh]), strict=True):
+                    keys[k] = of_text
+            yield pd.DataFrame(
+                {"node": nodes, "size": sizes, "first": compared[:, 0], "second": compared[:, 1], "keys": keys}
+            )
 
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     marked = rows.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row"), sketched("text").alias("s"))
-    first = marked.groupBy("s.node").agg(
-        F.min("row").alias("row"), F.first("s.size").alias("size"), F.first("s.keys").alias("keys")
+    marked = marked.select("row", "s.*", F.col("s.keys").isNull().alias("again"))
+    # as many partitions as there are, since a row's keys are hundreds; one shuffle for both
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = marked.repartition(parts, "node").groupBy("node").agg(
+        F.min("row").alias("row"), F.min_by(F.struct("size", "first", "second", "keys"), "again").alias("s")
     )
-    first = checkpointed(first.select("node", "row", "size", "keys"))
-    groups = components(alike_links(first.select("node", "row", "size", "keys"), rows))
-    named = first.select("node", "row").join(groups, "node", "left")
+    # nodes are numbered, which their many rows take less room for
+    first = checkpointed(sets.select(F.monotonically_increasing_id().alias("node"), "row", "s.*"))
+    named = checkpointed(first.select("node", "row"))
+    groups = components(alike_links(first, rows))
+    named = named.join(groups, "node", "left")
     return named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*")
 
 

@@ -222,6 +222,33 @@ def test_stage_finds_near_copies(spark, docs):
     assert kept == brute_alike(data)
 
 
+def test_stage_links_come_from_fingerprints(spark, monkeypatch):
+    """The stage's fingerprints are votes of the shingles, near texts meet in their balls, and nothing is found beside these."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for size, gone in ((5, 1), (10, 2), (100, 20), (600, 120)):
+        for _ in range(25):
+            union = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+            sets = [union[gone // 2 :], union[: size - (gone - gone // 2)]]  # similarity 0.8
+            margin = np.array([simhash.margins(s) for s in sets])
+            one, two = simhash.balls(margin, np.array([len(s) for s in sets]))
+            missed += not set(one.tolist()) & set(two.tolist())
+            bits = (margin[:, simhash._BITS :] > 0).astype(int)
+            assert (bits[0] != bits[1]).sum() <= simhash.STAGE_RADIUS
+            blocks = (margin[0][: simhash._BITS] > 0).reshape(simhash.BLOCKS, simhash.WIDTH)
+            own = [sum(1 << k for k in range(simhash.WIDTH) if b[k]) for b in blocks]
+            for key in one.tolist():
+                assert (key % (1 << simhash.WIDTH) ^ own[key >> simhash.WIDTH]).bit_count() <= simhash.WEAKEST
+    assert not missed
+    parts = [simhash.margins(union[:300]), simhash.margins(union[300:])]
+    assert (simhash.margins(union) == parts[0] + parts[1]).all()  # votes of more shingles than a byte counts
+
+    data = [(k, " ".join(f"w{x}" for x in range(200)) + f" end{k}") for k in range(3)]
+    assert [r["doc_id"] for r in collected(simhash.keep_first(odd(spark, data)))] == [0]
+    monkeypatch.setattr(simhash, "balls", lambda margin, sizes: [np.array([k], dtype=np.int32) for k in range(len(sizes))])
+    assert {r["doc_id"] for r in collected(simhash.keep_first(odd(spark, data).coalesce(1)))} == {0, 1, 2}
+
+
 def test_split_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT_FROM", 20)
     rng = np.random.default_rng(4)
