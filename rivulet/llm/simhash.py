@@ -44,17 +44,18 @@ wider fingerprints and balls:
    The ball around it holds, of all blocks with up to WEAKEST flipped bits, the KEYS that
    a text of similarity ALIKE has most likely: a bit turns the easier the closer its vote
    was. Both texts flip, and so each half of the bits that differ: they meet in the middle.
-2. Nodes of a key whose COMPARED further bits differ in at most STAGE_RADIUS are candidates,
-   and every link is verified on the whole sets.
-3. Crowded keys give each of their nodes a pair with the least node it meets. Where these
-   leave a key in several components, it is walked to a spanning tree.
+2. Nodes of a key are near if of COMPARED further bits at most FINE_RADIUS differ, or STAGE_RADIUS if one of them has few
+   shingles, whose votes are coarse. The bits go with the keys, so that only near pairs become rows: of a key with few nodes
+   no more than connect its near ones, of a crowded key its least node, the hub, with each other one. Where a crowd is not
+   in one piece by this, its nodes are compared in a task, once for all keys of its hub.
+3. Every link lies within a component of the near pairs, a group. A group's sets meet in one task, once, and are walked there
+   to a spanning tree of links, verified on the whole sets.
 
 A pair of similarity 0.8 shares about 27 keys in 11 blocks, a more alike one more; what
-is missed is in the README. Texts of equal sets are one node. Crowds are walked in blocks
-of about BLOCK_SHINGLES shingles, which bounds a task's memory. A key of several blocks needs
-links between them too: its texts are compared with one of them, and where that leaves
-the key in several components every two blocks of it are walked together, so that no link
-is lost.
+is missed is in the README. Texts of equal sets are one node. Of a group of more than COMPARE_UP_TO
+texts or BLOCK_SHINGLES shingles the crowds of the hubs are walked, in blocks of about BLOCK_SHINGLES shingles, which bounds
+a task's memory. A crowd of several blocks needs links between them too: its texts are compared with one of them, and where
+that leaves the crowd in several components every two blocks of it are walked together, so that no link is lost.
 """
 
 from __future__ import annotations
@@ -96,14 +97,16 @@ BLOCKS, WIDTH, WEAKEST = 64, 24, 5
 KEYS, KEYS_OF_FEW, FEW = 256, 512, 16
 #: Further bits that candidates are compared by, and how many may differ: of 128, 19 do at 0.8, and 64 of unlike texts.
 COMPARED, STAGE_RADIUS = 128, 48
+#: How many may differ of sets that both have FEW shingles or more: at 0.8 five standard deviations above the mean of 19.
+FINE_RADIUS = 40
 #: Shingles whose bits are added up at once, in bytes.
 VOTES = 255
-#: Nodes of a crowded key that are compared with each other, at most; shares of the crowded keys that are walked by turns.
+#: Nodes of a crowd or a group that are compared with each other, at most; shares of the crowds that are walked by turns.
 COMPARE_UP_TO = 4096
 TURNS = (16, 1)
 #: Sets that a task remembers, to know copies.
 SEEN = 1 << 18
-#: Shingles in a block of a crowded key.
+#: Shingles in a group that is walked whole, at most, and in a block of a crowd.
 BLOCK_SHINGLES = 4_000_000
 _BITS = BLOCKS * WIDTH
 _FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, (_BITS + COMPARED) // 64), dtype=np.uint64) | np.uint64(1)
@@ -396,6 +399,23 @@ def _walk_alike(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
 
 
+def _walk_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links within each root's nodes, of rows (root, node, found) sorted by root; a group may lie in several batches."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        roots = batch["root"].to_numpy()
+        if waiting and waiting[-1]["root"].iloc[-1] != roots[0]:
+            yield _walk_alike(pd.concat(waiting))
+            waiting = []
+        cuts = [0, *(np.flatnonzero(roots[1:] != roots[:-1]) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            yield _walk_alike(pd.concat([*waiting, batch.iloc[start:end]]))
+            waiting = []
+        waiting.append(batch.iloc[cuts[-1] :])
+    if waiting:
+        yield _walk_alike(pd.concat(waiting))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose sets have a similarity of ALIKE or more."""
     shared = F.size(F.array_intersect("x", "y"))
@@ -408,7 +428,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _crowded_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within crowded keys (key, node, size). See the module's text for keys of several blocks."""
+    """Links within crowds (key, node, size). See the module's text for those of several blocks."""
     whole = Window.partitionBy("key")
     blocks = F.ceil(F.sum("size").over(whole) / BLOCK_SHINGLES).cast("int")
     dealt = crowds.withColumn("blocks", blocks).withColumn("hub", F.min("node").over(whole))
@@ -429,22 +449,81 @@ def _crowded_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
     return known.unionByName(walk(both, ["key", "low", "high"]))
 
 
-def _partnered(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a crowded key, the nodes with another within STAGE_RADIUS."""
-    first, second = (rows[c].to_numpy().astype(np.int64) for c in ("first", "second"))
-    near = [
-        np.count_nonzero(np.bitwise_count(first ^ f) + np.bitwise_count(second ^ s) <= STAGE_RADIUS) > 1
-        for f, s in zip(first, second, strict=True)
-    ]
-    return rows.loc[np.array(near), ["key", "node", "size"]]
+def _near(a: Column, b: Column) -> Column:
+    """Whether two prints (node, first, second, few) may belong to a link."""
+    apart = F.bit_count(a["first"].bitwiseXOR(b["first"])) + F.bit_count(a["second"].bitwiseXOR(b["second"]))
+    return apart <= F.when(a["few"] | b["few"], F.lit(STAGE_RADIUS)).otherwise(F.lit(FINE_RADIUS))
+
+
+def _candidates(spread: DataFrame) -> DataFrame:
+    """(a, b, near) of what meets in keys (key, node, first, second, few), a below b.
+
+    Of keys that hold few, near pairs that connect all near pairs of the key: two nodes that are both near its least
+    node, the hub, need no row of their own. Of crowded keys, the hub with every other node, near or not.
+    """
+    by_key = Window.partitionBy("key")
+    met = spread.withColumn("n", F.count("*").over(by_key)).where("n > 1")
+    met = met.select("key", "n", F.struct("node", "first", "second", "few").alias("p"))
+    hub = F.col("g")[0]
+    needed = lambda a, i, b: _near(a, b) & ((i == 0) | ~(_near(hub, a) & _near(hub, b)))
+    later = lambda a, i: F.filter(F.slice("g", i + 2, F.size("g")), lambda b: needed(a, i, b))
+    pair = lambda a, b: F.struct(a["node"].alias("a"), b["node"].alias("b"), _near(a, b).alias("near"))
+    few = met.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("g"))
+    few = few.select(
+        F.explode(F.flatten(F.transform("g", lambda a, i: F.transform(later(a, i), lambda b: pair(a, b))))).alias("p")
+    )
+    many = met.where(F.col("n") > PAIRS_UP_TO).withColumn("hub", F.min("p").over(by_key))
+    many = many.select(pair(F.col("hub"), F.col("p")).alias("p")).where("p.a != p.b")
+    # one table of both, so that the keys are dealt once
+    return few.unionByName(many).select("p.*").distinct()
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), a below b, with the same components: each b and its other neighbours below go to the least of these."""
+    below = edges.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("g"))
+    ends = F.concat(F.slice("g", 2, F.size("g")), F.array("b"))
+    return below.select(F.col("g")[0].alias("a"), F.explode(ends).alias("b")).distinct()
+
+
+def _near_tree(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a crowd, near pairs that reach all that such pairs reach."""
+    first, second, nodes = (rows[c].to_numpy().astype(np.int64) for c in ("first", "second", "node"))
+    few = rows["few"].to_numpy().astype(bool)
+    ends, left = [], np.arange(len(nodes))
+    while len(left):
+        waiting, left = [int(left[0])], left[1:]
+        while waiting and len(left):
+            at = waiting.pop()
+            apart = np.bitwise_count(first[left] ^ first[at]) + np.bitwise_count(second[left] ^ second[at])
+            near = apart <= np.where(few[left] | few[at], STAGE_RADIUS, FINE_RADIUS)
+            found, left = left[near].tolist(), left[~near]
+            ends += [(nodes[at], nodes[f]) for f in found]
+            waiting += found
+    ends = np.array(ends, dtype=np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": ends.min(axis=1), "b": ends.max(axis=1)})
+
+
+def _groups(met: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, root): the components of the near pairs of met, _candidates' rows. No link between these leaves a group."""
+    edges = _thinned(met.where("near").select("a", "b"))
+    labels = components(edges)
+    # a crowd is settled where its nodes that are far from the hub are in the hub's group
+    of = lambda node: labels.select(F.col("node").alias(node), F.col("root").alias(f"of_{node}"))
+    far = met.where("not near").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    hubs = checkpointed(far.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a").distinct())
+    if not hubs.limit(1).count():
+        return labels
+    crowds = _crowds(met.join(hubs, "a", "left_semi")).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    small = crowds.where(F.col("n") <= COMPARE_UP_TO).join(prints, "node")
+    large = crowds.where((F.col("n") > COMPARE_UP_TO) & (F.col("key") != F.col("node")))
+    more = small.groupBy("key").applyInPandas(_near_tree, "a long, b long")
+    more = more.unionByName(large.select(F.col("key").alias("a"), F.col("node").alias("b")))
+    return components(checkpointed(_thinned(edges.unionByName(more))))
 
 
-def _near(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose compared bits differ in at most STAGE_RADIUS."""
-    of = lambda node: prints.select(F.col("node").alias(node), F.struct("first", "second").alias(f"of_{node}"))
-    apart = lambda c: F.bit_count(F.col(f"of_a.{c}").bitwiseXOR(F.col(f"of_b.{c}")))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    return met.where(apart("first") + apart("second") <= STAGE_RADIUS).select("a", "b")
+def _crowds(met: DataFrame) -> DataFrame:
+    """(key, node): each hub with itself and all that it meets."""
+    return met.select(F.col("a").alias("key"), F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
@@ -459,33 +538,35 @@ def alike_links(first: DataFrame, rows: DataFrame) -> DataFrame:
         for texts in in_parts(batches):
             yield pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
-    by_key = Window.partitionBy("key")
+    few = (F.col("size") < FEW).alias("few")
     rest = checkpointed(first.drop("keys"))
-    prints = rest.select("node", "size", "first", "second")
-    spread = first.select(F.explode("keys").alias("key"), "node")
-    met = spread.withColumn("n", F.count("*").over(by_key)).withColumn("hub", F.min("node").over(by_key)).where("n > 1")
-    # one table of both, so that the keys are dealt once
-    few = _near(_pairs(met, "node").distinct(), prints).withColumn("key", F.lit(None).cast("int")).withColumn("n", F.lit(2))
-    many = met.where(F.col("n") > PAIRS_UP_TO).select(F.col("node").alias("a"), F.col("hub").alias("b"), "key", "n")
-    both = checkpointed(few.unionByName(many))
+    # the compared bits go with the keys, so that unlike nodes of a key never become rows of a join
+    met = checkpointed(_candidates(first.select(F.explode("keys").alias("key"), "node", "first", "second", few)))
     released(first)
-
-    stars = both.where(F.col("key").isNotNull()).groupBy("a").agg(F.min("b").alias("b")).where("a != b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = checkpointed(both.where(F.col("key").isNull()).select("a", "b").unionByName(_near(stars, prints)).distinct())
-    crowds = both.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "n").join(prints, "node")
-    compared = crowds.where(F.col("n") <= COMPARE_UP_TO).groupBy("key").applyInPandas(_partnered, "key int, node long, size long")
-    crowds = checkpointed(compared.unionByName(crowds.where(F.col("n") > COMPARE_UP_TO).select("key", "node", "size")))
-
-    # only texts that are near another give their sets
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
-    wanted = rest.join(ends.unionByName(crowds.select("node")).distinct(), "node", "left_semi").select("node", "row")
+    groups = _groups(met, rest.select("node", "first", "second", few))
+    whole = Window.partitionBy("root")
+    groups = groups.join(rest.select("node", "row", "size"), "node").withColumn("n", F.count("*").over(whole))
+    small = (F.col("n") <= COMPARE_UP_TO) & (F.sum("size").over(whole) <= BLOCK_SHINGLES)
+    groups = checkpointed(groups.withColumn("small", small).drop("n"))
+
+    # only texts of groups give their sets
+    wanted = groups.select("node", "root", "small", "row")
     named = rows.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("row"), "text")
-    texts = named.join(wanted, named["row"].eqNullSafe(wanted["row"])).select("node", sets_of("text").alias("found"))
-    sets = checkpointed(texts.groupBy("node").agg(F.first("found").alias("found")))
-
-    known = checkpointed(_verified(near, sets))
-    for share in TURNS if crowds.limit(1).count() else ():
+    texts = named.join(wanted, named["row"].eqNullSafe(wanted["row"]))
+    texts = texts.select("node", "root", "small", sets_of("text").alias("found"))
+    sets = checkpointed(texts.groupBy("node", "root", "small").agg(F.first("found").alias("found")))
+    dealt = sets.where("small").select("root", "node", "found").repartition("root").sortWithinPartitions("root")
+    known = checkpointed(dealt.mapInPandas(_walk_groups, "a long, b long"))
+
+    # of larger groups, what meets in keys of one hub is walked
+    large = groups.where("not small").select("node", "size")
+    if not large.limit(1).count():
+        return known
+    by_key = Window.partitionBy("key")
+    sets = sets.where("not small").select("node", "found")
+    crowds = _crowds(met.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
+    crowds = checkpointed(crowds.join(large, "node"))
+    for share in TURNS:
         labelled = crowds.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).join(components(known), "node", "left")
         labelled = labelled.withColumn("root", F.coalesce("root", "node"))
         apart = labelled.withColumn("apart", F.min("root").over(by_key) != F.max("root").over(by_key)).where("apart")

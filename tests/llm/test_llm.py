@@ -9,6 +9,7 @@ from collections import Counter
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
@@ -249,6 +250,61 @@ def test_stage_links_come_from_fingerprints(spark, monkeypatch):
     assert {r["doc_id"] for r in collected(simhash.keep_first(odd(spark, data).coalesce(1)))} == {0, 1, 2}
 
 
+def rows_made(spark, after, kind):
+    """Rows that the operators of a kind (a part of their name) made in the executions after one."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, made = store.executionsList(), 0
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        if run <= after:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for metric in (node.metrics().apply(j) for j in range(node.metrics().size()) if kind in node.name()):
+                found = values.get(metric.accumulatorId())
+                if metric.name() == "number of output rows" and found.isDefined():
+                    made += int(found.get().replace(",", ""))
+    return made
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_rows_of_keys_grow_with_the_nodes(spark, monkeypatch, alike):
+    """Unlike texts that share small keys make no pairs for a join; near copies in crowded keys are not handed on by key."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    data = []
+    for i in range(240):
+        text = list(base) if alike else [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        if alike:
+            for at in rng.choice(150, 3 if i else 0, replace=False):
+                text[at] = f"e{i}"
+        data.append((i, " ".join(text)))
+    if not alike:  # each text meets up to 7 others in each of 64 keys
+        deals = [rng.permutation(240) // 8 for _ in range(64)]
+        place = iter(range(240))
+        dealt = lambda: [k << simhash.WIDTH | int(deal[i]) for i in [next(place)] for k, deal in enumerate(deals)]
+        monkeypatch.setattr(simhash, "balls", lambda margin, sizes: [np.array(dealt(), dtype=np.int32) for _ in sizes])
+    store = spark._jsparkSession.sharedState().statusStore()
+    after = max((store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())), default=-1)
+    kept = {r["doc_id"] for r in collected(simhash.keep_first(odd(spark, data).coalesce(1)))}
+    assert kept == brute_alike(data)
+    assert rows_made(spark, after, "FlatMapGroupsInPandas" if alike else "SortMergeJoin") < 240 * 20
+
+
+def test_groups_in_several_batches():
+    """A group's rows may come in any cuts."""
+    rng = np.random.default_rng(6)
+    frames = []
+    for root in range(6):
+        one = rng.integers(0, 1 << 62, 40)
+        frames += [(root, 10 * root + k, np.unique(np.append(one, k))) for k in range(root + 1)]
+    rows = pd.DataFrame(frames, columns=["root", "node", "found"])
+    for size in (1, 2, 5, 100):
+        cut = [rows.iloc[k : k + size] for k in range(0, len(rows), size)]
+        links = pd.concat(simhash._walk_groups(iter(cut)))
+        assert sorted(zip(links["a"], links["b"], strict=True)) == [(10 * r, 10 * r + k) for r in range(6) for k in range(1, r + 1)]
+
+
 def test_split_keys_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT_FROM", 20)
     rng = np.random.default_rng(4)
